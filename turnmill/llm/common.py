@@ -42,3 +42,8 @@ def text_of(df: DataFrame) -> Column:
 def cores(spark: SparkSession) -> int:
     """Tasks that run at once."""
     return max(1, spark.sparkContext.defaultParallelism)
+
+
+def named(df: DataFrame) -> str:
+    """The columns and types of a table, as a schema string."""
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, packing, wavelet
+from . import audio, minhash, mixing, packing, toxicity, wavelet
 from .common import shared_dir, table
 
 
@@ -22,13 +22,29 @@ def op2_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op4_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.scored(docs, model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op8_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = audio.store(table(spark, sf_dir, "documents"))
+    return audio.decoded(files, keep_pcm=False)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     digest = cut.select("doc_id", "piece", "start", "length", "part", "nth", F.crc32("ids").alias("ids_crc32"))
     return packing.pack(digest).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_wavelet_tokens, op2_minhash_near_duplicates, op9_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_wavelet_tokens, op2_minhash_near_duplicates, op4_subword_toxicity, op7_source_mixing, op8_telephony_audio, op9_best_fit_packing)}
 
 SQL: dict[str, str] = {
     "op2_minhash_near_duplicates": r"""
