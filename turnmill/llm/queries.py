@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, minhash, mixing, packing, toxicity, wavelet
+from . import audio, minhash, mixing, packing, pii, toxicity, wavelet
 from .common import shared_dir, table
 
 
@@ -29,6 +29,11 @@ def op4_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.annotated(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", pii.listed(F.col("_spans")).alias("spans"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
@@ -44,7 +49,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(digest).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_wavelet_tokens, op2_minhash_near_duplicates, op4_subword_toxicity, op7_source_mixing, op8_telephony_audio, op9_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_wavelet_tokens, op2_minhash_near_duplicates, op4_subword_toxicity, op5_personal_data, op7_source_mixing, op8_telephony_audio, op9_best_fit_packing)}
 
 SQL: dict[str, str] = {
     "op2_minhash_near_duplicates": r"""

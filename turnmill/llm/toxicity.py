@@ -29,7 +29,7 @@ from .common import named, text_of
 from .shingles import mix, words_of
 
 BUCKETS, DIM, SHORTEST, LONGEST = 1 << 17, 4, 3, 6
-MAX_DOCUMENTS = 6000
+MAX_DOCUMENTS = 8000
 THRESHOLD = 0.3
 _STRIPPED = ".,;:!?\"'()[]{}*$%&#|<>-_"
 _PRIME = np.uint64(0x100000001B3)
@@ -103,7 +103,7 @@ def weighted_bags(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(kept_rows or [np.empty(0, np.int32)]), np.concatenate(kept_weights or [np.empty(0, np.float32)]), np.array(begins)
 
 
-def train(texts: pa.Array, toxic: np.ndarray, epochs: int = 10, batch: int = 64, rate: float = 0.05, decay: float = 1e-3, seed: int = 7) -> Model:
+def train(texts: pa.Array, toxic: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.05, decay: float = 1e-3, seed: int = 7) -> Model:
     """Joint training of embeddings and softmax by Adam on the cross-entropy."""
     share = float(toxic.mean()) if len(toxic) else 0.0
     if share in (0.0, 1.0):
