@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, minhash, mixing, packing, pii, toxicity, wavelet
+from . import audio, backoff, minhash, mixing, packing, pii, resample, topk, toxicity, wavelet
 from .common import shared_dir, table
 
 
@@ -22,6 +22,10 @@ def op2_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -34,6 +38,10 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", pii.listed(F.col("_spans")).alias("spans"))
 
 
+def op6_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.scores(table(spark, sf_dir, "documents"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
@@ -49,9 +57,42 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(digest).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_wavelet_tokens, op2_minhash_near_duplicates, op4_subword_toxicity, op5_personal_data, op7_source_mixing, op8_telephony_audio, op9_best_fit_packing)}
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.searched(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_wavelet_tokens, op2_minhash_near_duplicates, op3_importance_resampling, op4_subword_toxicity, op5_personal_data,
+        op6_stupid_backoff, op7_source_mixing, op8_telephony_audio, op9_best_fit_packing, op10_top_k,
+    )
+}
 
 SQL: dict[str, str] = {
+    "op6_stupid_backoff": r"""
+WITH words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents),
+tokens AS (SELECT doc_id, unnest(w) AS w, unnest([NULL] || w[1:len(w) - 1]) AS v FROM words WHERE len(w) > 0),
+one AS (SELECT w, count(*) AS c FROM tokens GROUP BY w),
+pair AS (SELECT v, w, count(*) AS c FROM tokens WHERE v IS NOT NULL GROUP BY v, w),
+n AS (SELECT count(*) AS n FROM tokens),
+scored AS (
+  SELECT t.doc_id, count(*) AS k, sum(ln(CASE WHEN t.v IS NULL THEN a.c / n.n WHEN p.c >= 2 THEN p.c / b.c ELSE 0.4 * a.c / n.n END)) AS s
+  FROM tokens t JOIN one a ON t.w = a.w LEFT JOIN one b ON t.v = b.w LEFT JOIN pair p ON p.v = t.v AND p.w = t.w CROSS JOIN n
+  GROUP BY t.doc_id)
+SELECT d.doc_id, coalesce(k, 0) AS n_words, round(coalesce(s, 0), 4) AS log_score, round(s / k, 6) AS mean_score
+FROM words d LEFT JOIN scored USING (doc_id)""",
+    "op10_top_k": r"""
+WITH ready AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM ready q JOIN ready c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 10""",
     "op2_minhash_near_duplicates": r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
