@@ -37,7 +37,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Wider patterns, for candidates only.
 SPELT = rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++\x20?[\[(]at[\])]\x20?{_HOST}++(?:\x20?(?:[\[(]dot[\])]|\.)\x20?{_HOST}++)++"
 LOCAL_PHONE = r"(?<![0-9A-Za-z+])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z])"
-SECRET = r"(?<![0-9A-Za-z])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?i:password|passwd|pwd|secret|token|api[_-]?key)\x20?[=:]\x20?\"?[0-9A-Za-z_+/-]{8,}+"
+SECRET = r"(?<![0-9A-Za-z])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?i:password|passwd|pwd|secret|token|api[_-]?key)\x20?[=:]\x20?\"?[0-9A-Za-z_+/-]{8,}+\"?"
 
 _CUES = {
     "email": "mail|contact|write|address|correo|courriel|adresse",
