@@ -11,10 +11,11 @@ with a binomial tail below 1e-9).  So under one global order both lists' first
 m - least_shared + 1 values share one.  The order is by how many classes hold a value, rare
 ones first: values that many documents share are listed only for documents with little else.
 
-Long lists.  Within a list of more than `long_list` classes, first the class that holds most
-widely held values is compared with all others, and components are formed; a few such rounds
-join a group of near copies in a number of comparisons in proportion to its size.  Pairs that
-then are still in different components are all compared, so no link is lost.
+Long lists.  Classes with values that more than `long_list` classes hold among those listed
+are listed again by their full sets, where only the rarest fraction is needed.  What still is in
+long lists is a group of near copies: each is compared with the list's hub, and the rest by
+what they differ in from the hub (`_around_hubs`), so no link between components is lost and the
+work stays in proportion to the group's size.
 
 Nulls and ties: a null text is empty; a document without words is linked with nothing.  A
 null doc_id is in no link, has component null and stays.  Rows with equal doc_id and equal
@@ -28,7 +29,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved, text_of
@@ -94,69 +95,109 @@ class _Links:
         self.docs, self.classes, self.width, self.k, self.percent = docs, classes, width, k, percent
         self.least = least_shared(k, percent)
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """node, hashes of the wanted classes: the document named by each, with the class's own set."""
+        own = self.classes.select("node", "digest").join(wanted, "node", "left_semi")
+        return saved(_sets(self.docs, wanted, self.width).join(own, ["node", "digest"], "left_semi").dropDuplicates(["node"]).select("node", "hashes"), "sets")
+
+    def estimated(self, pairs: DataFrame) -> DataFrame:
+        """a, b, whole of the pairs whose union's sketch allows a link; `whole`: both sets are in their sketches and the link is sure."""
         k, percent = self.k, self.percent
         side = lambda c: self.classes.select(F.col("node").alias(c), F.col("sketch").alias(f"s{c}"))
         held = pairs.join(side("a"), "a").join(side("b"), "b")
         union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
         common = F.size(F.array_intersect(F.array_intersect(union, "sa"), F.col("sb")))
-        # a union no larger than k is known whole; of a larger one the sketch is a sample
         whole = F.greatest("na", "nb") <= k
         likely = F.when(whole, 100 * F.size(F.array_intersect("sa", "sb")) >= percent * F.size(F.array_union("sa", "sb"))).otherwise(common >= F.least(F.lit(self.least), F.size(union)))
-        hopeful = saved(held.where(likely).select("a", "b", whole.alias("whole")), "hopeful")
-        sure, open_ = hopeful.where("whole").select("a", "b"), hopeful.where("not whole").select("a", "b")
-        wanted = open_.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        # one row a class: the document named by it, with the class's own set
-        sets = saved(_sets(self.docs, wanted, self.width).join(self.classes.select("node", "digest"), ["node", "digest"], "left_semi").dropDuplicates(["node"]).select("node", "hashes"), "sets")
+        return saved(held.where(likely).select("a", "b", whole.alias("whole")), "hopeful")
+
+    def exact(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """a, b of the pairs that the full sets link."""
         one = lambda c: sets.select(F.col("node").alias(c), F.col("hashes").alias(f"h{c}"))
-        both = open_.join(one("a"), "a").join(one("b"), "b").withColumn("i", F.size(F.array_intersect("ha", "hb")))
-        exact = both.where(100 * F.col("i") >= percent * (F.size("ha") + F.size("hb") - F.col("i")))
-        return saved(sure.union(exact.select("a", "b")), "links")
+        both = pairs.join(one("a"), "a").join(one("b"), "b").withColumn("i", F.size(F.array_intersect("ha", "hb")))
+        return both.where(100 * F.col("i") >= self.percent * (F.size("ha") + F.size("hb") - F.col("i"))).select("a", "b")
+
+    def confirmed(self, pairs: DataFrame) -> DataFrame:
+        hopeful = self.estimated(pairs)
+        open_ = hopeful.where("not whole").select("a", "b")
+        sets = self.sets(open_.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        return saved(hopeful.where("whole").select("a", "b").union(self.exact(open_, sets)), "links")
+
+
+def _pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes that stand in one list (v, node, n), each pair once, with sizes that allow a link."""
+    x, y = lists.alias("x"), lists.alias("y")
+    fits = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    both = x.join(y, (F.col("x.v") == F.col("y.v")) & (F.col("x.node") < F.col("y.node"))).where(fits)
+    return both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int = 64, long_list: int = 24, rounds: int = 2) -> DataFrame:
+def _prefixed(values: DataFrame, room: Column, long_list: int) -> DataFrame:
+    """v, node, n, wide, long: each class's rarest values (values: node, n, v), as many as `room` lists of size m leave.
+
+    Values that no other class holds stand first and are not listed; wide is how many of a class's values are in long lists.
+    """
+    held_by = values.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
+    shared = values.join(held_by, "v").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("held"), F.count(F.when(F.col("c") > long_list, 1)).alias("wide"))
+    listed = F.greatest(room + F.size("held"), F.lit(0)).cast("int")
+    return shared.select("node", "n", "wide", F.explode(F.slice("held", 1, listed)).alias("x")).select("node", "n", "wide", F.col("x.v").alias("v"), (F.col("x.c") > long_list).alias("long"))
+
+
+def _around_hubs(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that join the components of long lists (v, node, n, wide), without comparing all pairs.
+
+    A list's hub is its class of most widely held values.  D is the difference of a class's set
+    from its hub's; two classes differ in |D1| + |D2| - 2 |D1 & D2| values, and are linked if
+    that is at most (na + nb) (100 - p) / (100 + p).  Classes linked with their hub are
+    joined by it.  A class f that isn't has |D| beyond that bound, so any B it is linked with
+    shares more than half of B's own D with it: one of them is among the rarest half of B's D.
+    """
+    # floats would round: all bounds are kept times (100 + p)
+    up, gap = 100 + percent, 100 - percent
+    hubs = lists.groupBy("v").agg(F.max_by(F.struct("node", "n"), F.struct("wide", "node")).alias("h")).select("v", F.col("h.node").alias("hub"), F.col("h.n").alias("nh"))
+    near = lists.join(hubs, "v").where("node != hub").select("hub", "nh", "node", "n").distinct()
+    mine, theirs = sets.select("node", F.col("hashes").alias("x")), sets.select(F.col("node").alias("hub"), F.col("hashes").alias("h"))
+    both = near.join(mine, "node").join(theirs, "hub")
+    d = F.concat(F.array_except("x", "h"), F.array_except("h", "x"))
+    around = both.withColumn("d", d).select("hub", "nh", "node", "n", "d", F.size("d").cast("long").alias("dn"))
+    around = saved(around.withColumn("linked", up * F.col("dn") <= gap * (F.col("n") + F.col("nh"))), "around")
+    spokes = around.where("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    free = around.where("not linked").select("hub").distinct()  # hubs that have nothing else to join are done
+    entries = around.join(free, "hub", "left_semi").select("hub", "nh", "node", "n", "dn", "linked", F.explode("d").alias("v"))
+    often = entries.groupBy("hub", "v").agg(F.count("*").alias("c")).where("c > 1")
+    held = entries.join(often, ["hub", "v"])
+    probe = held.where("not linked").select("hub", "v", F.col("node").alias("f"))
+    # 2 * shared * up > up * |D| - gap * (n - nh)
+    shared = F.floor((up * F.col("dn") - gap * (F.col("n") - F.col("nh"))) / (2 * up)) + 1
+    ranked = held.groupBy("hub", "nh", "node", "n", "dn").agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("held"))
+    listed = F.greatest((F.col("dn") - shared + 1) - (F.col("dn") - F.size("held")), F.lit(0)).cast("int")
+    index = ranked.select("hub", "node", F.explode(F.slice("held", 1, listed)).alias("x")).select("hub", "node", F.col("x.v").alias("v"))
+    pairs = probe.join(index, ["hub", "v"]).where("f != node").select("hub", F.least("f", "node").alias("a"), F.greatest("f", "node").alias("b")).distinct()
+    side = lambda c: around.select("hub", F.col("node").alias(c), F.col("d").alias(f"d{c}"), F.col("n").alias(f"n{c}"))
+    compared = pairs.join(side("a"), ["hub", "a"]).join(side("b"), ["hub", "b"])
+    apart = F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))
+    others = compared.where(up * apart <= gap * (F.col("na") + F.col("nb"))).select("a", "b")
+    return saved(spokes.union(others), "spokes")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int = 64, long_list: int = 24) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that can be reached) and kept, for every row of docs."""
     found = saved(sketches(docs, width, k), "sketches")
     classes = saved(found.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.any_value("n_shingles").alias("n"), F.any_value("sketch").alias("sketch")), "classes")
-    # a doc_id may stand for two texts: such classes take part under the least digest only through the doc_id itself
-    values = classes.select("node", "n", F.explode("sketch").alias("v"))
-    held_by = values.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
-    shared = values.join(held_by, "v").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("held"), F.count(F.when(F.col("c") > long_list, 1)).alias("wide"))
-    m = F.least(F.col("n"), F.lit(k))
-    needed = F.least(F.ceil(F.col("n") * percent / 100).cast("long"), F.lit(least_shared(k, percent)))
-    listed = (m - needed + 1) - (m - F.size("held"))  # values that no other class holds stand first
-    index = saved(shared.select("node", "n", "wide", F.explode(F.slice("held", 1, F.greatest(listed, F.lit(0)).cast("int"))).alias("x")).select("node", "n", "wide", F.col("x.v").alias("v"), (F.col("x.c") > long_list).alias("long")), "index")
     links = _Links(docs, classes, width, k, percent)
-
-    def paired(left: DataFrame, right: DataFrame, on: list[str], *conditions) -> DataFrame:
-        """Pairs from two lists of v, each once, with sizes that allow a link."""
-        a, b = left.alias("x"), right.alias("y")
-        both = a.join(b, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in on] + list(conditions))
-        fits = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
-        first = F.col("x.node") < F.col("y.node")
-        side = lambda c, d: F.when(first, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}")).alias(d)
-        other = lambda c, d: F.when(first, F.col(f"y.{c}")).otherwise(F.col(f"x.{c}")).alias(d)
-        return both.where(fits & (F.col("x.node") != F.col("y.node"))).select(side("node", "a"), other("node", "b"), side("n", "na"), other("n", "nb")).distinct()
-
-    short, long_ = index.where("not long"), index.where("long")
-    known = links.confirmed(paired(short, short, ["v"], F.col("x.node") < F.col("y.node")))
-    if long_.limit(1).count():
-        for _ in range(rounds + 1):
-            last = _ == rounds
-            roots = components(known)
-            members = saved(long_.join(roots.withColumnRenamed("root", "r"), "node", "left").withColumn("root", F.coalesce("r", "node")).drop("r") if "root" not in long_.columns else long_, "members")
-            lists = members.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("v")
-            members = members.join(lists, "v", "left_semi")
-            if last:
-                pairs = paired(members, members, ["v"], F.col("x.root") < F.col("y.root"))
-            else:
-                # the class that holds most widely held values, among those outside of the list's largest component once there is one
-                size = members.groupBy("v", "root").agg(F.count("*").alias("many"))
-                largest = size.groupBy("v").agg(F.max_by("root", F.struct("many", "root")).alias("big"), F.max("many").alias("most"))
-                free = members.join(largest, "v").where((F.col("most") == 1) | (F.col("root") != F.col("big"))) if _ else members
-                hubs = free.groupBy("v").agg(F.max_by(F.struct("node", "n", "root"), F.struct("wide", "node")).alias("h")).select("v", "h.*")
-                pairs = paired(hubs, members, ["v"], F.col("x.root") != F.col("y.root"))
-            known = saved(known.union(links.confirmed(pairs)), "known")
+    needed = F.ceil(F.col("n") * percent / 100).cast("long")
+    # of m retained values, all but least_shared - 1 are listed, less those that no other class holds
+    room = 1 - F.least(needed, F.lit(links.least))
+    index = saved(_prefixed(classes.select("node", "n", F.explode("sketch").alias("v")), room, long_list), "index")
+    known = links.confirmed(_pairs(index.where("not long"), percent))
+    wide = index.where("long").select("node").distinct()
+    if wide.limit(1).count():
+        # the classes in long lists again, by their full sets: their lists are those of the rarest values among themselves
+        sets = links.sets(wide)
+        full = sets.select("node", F.size("hashes").cast("long").alias("n"), F.explode("hashes").alias("v"))
+        lists = saved(_prefixed(full, 1 - needed, long_list), "lists")
+        short = links.exact(_pairs(lists.where("not long"), percent), sets)
+        known = saved(known.union(short).union(_around_hubs(lists.where("long"), sets, percent)), "known")
     roots = components(known)
     by_class = classes.select("digest", "node").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("_root"))
     joined = found.drop("sketch").join(by_class, "digest", "left")
