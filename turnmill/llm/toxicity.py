@@ -103,12 +103,15 @@ def weighted_bags(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(kept_rows or [np.empty(0, np.int32)]), np.concatenate(kept_weights or [np.empty(0, np.float32)]), np.array(begins)
 
 
-def train(texts: pa.Array, toxic: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.05, decay: float = 1e-3, seed: int = 7) -> Model:
+def train(texts: pa.Array | list[pa.Array], toxic: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.05, decay: float = 1e-3, seed: int = 7) -> Model:
     """Joint training of embeddings and softmax by Adam on the cross-entropy."""
     share = float(toxic.mean()) if len(toxic) else 0.0
     if share in (0.0, 1.0):
         return Model(np.zeros(BUCKETS, np.float32), -30.0 if share == 0 else 30.0)
-    rows, weights, at = weighted_bags(texts)
+    parts = [weighted_bags(t) for t in (texts if isinstance(texts, list) else [texts])]
+    rows, weights = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[2]) for p in parts]))])
+    del parts
     random = np.random.default_rng(seed)
     table = np.zeros((BUCKETS, DIM), np.float32)
     top, bias = (random.standard_normal((DIM, 2)) * 0.5).astype(np.float32), np.log([1 - share, share]).astype(np.float32)
@@ -143,9 +146,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_documents: int = MAX_DOCUMENTS)
     """A model of the labelled documents that are not held out."""
     known = labels.where(labels["toxic"].isNotNull() & labels["doc_id"].isNotNull() & ~held_out(labels["doc_id"])).groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_documents)  # so many (id, label) rows at most
-    texts = docs.select(F.col("doc_id"), text_of(docs).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").limit(max_documents).toArrow()
-    return train(rows.column("text").combine_chunks(), rows.column("_toxic").to_numpy().astype(np.int64).clip(0, 1))
+    texts = docs.select("doc_id", text_of(docs).alias("text")).join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").limit(max_documents)
+
+    def learn(batches):
+        # one task holds the sample, of bounded size; should it be lost, Spark runs it again
+        parts = [b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)]
+        toxic = np.concatenate([p.column("_toxic").to_numpy() for p in parts] or [np.empty(0)]).astype(np.int64).clip(0, 1)
+        model = train([p.column("text") for p in parts], toxic)
+        yield pa.RecordBatch.from_pydict({"table": pa.array([model.table.astype("<f4").tobytes()], pa.binary()), "bias": [model.bias]})
+
+    model = texts.select("text", F.col("_toxic").cast("int").alias("_toxic")).coalesce(1).mapInArrow(learn, "table binary, bias double").first()
+    return Model(np.frombuffer(model["table"], "<f4"), model["bias"])
 
 
 def scored(docs: DataFrame, model: Model, rows_at_once: int = 2000) -> DataFrame:
