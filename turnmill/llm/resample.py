@@ -5,8 +5,8 @@ give each document a log weight: the sum over its n-grams of the log ratio of th
 probabilities.  Gumbel noise is added, drawn from a hash of doc_id, and the k greatest keys are
 kept, which samples k documents without replacement in proportion to their weights.
 
-The raw model counts all documents, the target model all labelled ones of quality 1 that are not
-held out (crc32 of doc_id as text mod 4 is 2); counts are summed by bucket before they are
+The raw model counts all documents; the target model counts labelled ones of quality 1 that are
+not held out (crc32 of doc_id as text mod 4 is 2), the `MAX_TARGET` of least hash if there are more; counts are summed by bucket before they are
 shuffled, and only the table of `BUCKETS` log ratios reaches the driver.  k is the labels' share
 of quality 1 times the number of documents.  The k-th key is found by histograms of the keys, so
 no sort of all documents is made; ties go to the smaller doc_id.
@@ -27,6 +27,8 @@ from .shingles import mix, word_hashes, words_of
 from .toxicity import held_out
 
 BUCKETS = 1 << 15
+#: Labelled documents that the target model counts, at most; so many ids are broadcast.
+MAX_TARGET = 50_000
 
 
 def ngrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -46,8 +48,8 @@ def log_ratios(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     """Each bucket's log ratio of target to raw probability, and the share of quality 1 among the labels."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     n, good = known.agg(F.count("*"), F.coalesce(F.sum((F.col("quality") == 1).cast("long")), F.lit(0))).first()
-    target = known.where((F.col("quality") == 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.lit(True).alias("_target"))
-    both = docs.select("doc_id", text_of(docs).alias("text")).join(target, "doc_id", "left").select("text", F.coalesce("_target", F.lit(False)).alias("_target"))
+    target = known.where((F.col("quality") == 1) & ~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TARGET).select("doc_id", F.lit(True).alias("_target"))
+    both = docs.select("doc_id", text_of(docs).alias("text")).join(F.broadcast(target), "doc_id", "left").select("text", F.coalesce("_target", F.lit(False)).alias("_target"))
 
     def count(batches):
         sums = np.zeros((2, BUCKETS), np.int64)
