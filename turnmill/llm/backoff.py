@@ -28,7 +28,26 @@ from .shingles import mix, word_hashes, words_of
 BLOCK_ROWS, BUCKET_WORDS = 4096, 1_000_000
 FACTOR, LEAST = 0.4, 2
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
-_BLOCK = "block long, doc_ids array<long>, sizes array<int>, vocab array<long>, words binary, n long"
+_BLOCK = "block long, doc_ids array<long>, sizes array<int>, vocab binary, words binary, n long"
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers as zstd-compressed byte planes: what few high bytes say takes next to no room."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view("<u8").ravel()
+
+
+def steps(rising: np.ndarray) -> np.ndarray:
+    """The first of rising numbers, then the differences."""
+    return np.diff(rising, prepend=rising.dtype.type(0))
 
 
 def blocks(docs: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
@@ -41,8 +60,8 @@ def blocks(docs: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
                 some = batch.slice(k, rows)
                 words, counts = words_of(some.column("text"))
                 vocab, place = np.unique(word_hashes(words), return_inverse=True)
-                values = [[part << 32 | n], [some.column("doc_id").to_pylist()], [counts.tolist()], [vocab.view(np.int64)], [place.astype("<i4").tobytes()], [len(place)]]
-                kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary(), pa.int64())
+                values = [[part << 32 | n], [some.column("doc_id").to_pylist()], [counts.tolist()], [packed(steps(vocab))], [packed(place)], [len(place)]]
+                kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds, strict=True)], names=["block", "doc_ids", "sizes", "vocab", "words", "n"])
                 n += 1
 
@@ -52,7 +71,7 @@ def blocks(docs: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
 
 def _grams(vocab: np.ndarray, words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, and of the pairs that end in them (0 for a text's first word)."""
-    one = vocab.view(np.uint64)[words]
+    one = vocab[words]
     pair = np.zeros(len(one), np.uint64)
     if len(one) > 1:
         pair[1:] = mix(one[:-1] * _PAIR + one[1:]) | np.uint64(1)
@@ -70,7 +89,7 @@ def _dealt(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.array(row["vocab"], np.int64), np.frombuffer(row["words"], "<i4"), np.array(row["sizes"], np.int64)
+    return np.cumsum(unpacked(row["vocab"]), dtype=np.uint64), unpacked(row["words"]).astype(np.int64), np.array(row["sizes"], np.int64)
 
 
 def scores(docs: DataFrame, rows: int = BLOCK_ROWS, bucket_words: int = BUCKET_WORDS) -> DataFrame:
@@ -78,6 +97,8 @@ def scores(docs: DataFrame, rows: int = BLOCK_ROWS, bucket_words: int = BUCKET_W
     held = blocks(docs, rows)
     total = held.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(16, -(-total // bucket_words))
+    bottom = lambda b: np.uint64(-(-(b << 32) // buckets) << 32)  # noqa: E731  the least hash of a bucket
+    shift = np.uint64(max(0, 64 - buckets.bit_length() + 1 - 48))
 
     def explode(batches):
         for batch in batches:
@@ -87,19 +108,17 @@ def scores(docs: DataFrame, rows: int = BLOCK_ROWS, bucket_words: int = BUCKET_W
                     keys, counts, _, at = _dealt(hashes, buckets)
                     used = np.flatnonzero(np.diff(at))
                     cells = [(keys[at[b] : at[b + 1]], counts[at[b] : at[b + 1]]) for b in used]
-                    # with the bucket, six bytes tell the keys apart (about two chance matches in a thousand buckets)
-                    low = [k.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for k, _ in cells]
-                    yield pa.RecordBatch.from_pydict({"gram_order": pa.array(np.full(len(used), order, np.int32)), "bucket": pa.array(used), "block": pa.array(np.full(len(used), row["block"])), "keys": pa.array(low, pa.binary()), "counts": pa.array([c.astype("<u4").tobytes() for _, c in cells], pa.binary())})
+                    # a bucket's keys by their upper 48 bits within it: about two chance matches in a thousand buckets
+                    low = [packed(steps((k - bottom(b)) >> shift)) for b, (k, _) in zip(used.tolist(), cells, strict=True)]
+                    yield pa.RecordBatch.from_pydict({"gram_order": pa.array(np.full(len(used), order, np.int32)), "bucket": pa.array(used), "block": pa.array(np.full(len(used), row["block"])), "keys": pa.array(low, pa.binary()), "counts": pa.array([packed(c) for _, c in cells], pa.binary())})
 
     def count(table: pa.Table) -> pa.Table:
-        keys, counts = ([v.as_py() for v in table.column(c)] for c in ("keys", "counts"))
-        sizes = np.array([len(k) // 6 for k in keys])
-        wide = np.zeros((int(sizes.sum()), 8), np.uint8)
-        wide[:, :6] = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, 6)
-        _, place = np.unique(wide.view("<u8")[:, 0], return_inverse=True)
-        sums = np.bincount(place, np.frombuffer(b"".join(counts), "<u4"))[place].astype("<u8")
+        keys, counts = ([unpacked(v.as_py()) for v in table.column(c)] for c in ("keys", "counts"))
+        sizes = np.array([len(k) for k in keys])
+        _, place = np.unique(np.concatenate([np.cumsum(k, dtype=np.uint64) for k in keys]), return_inverse=True)
+        sums = np.bincount(place, np.concatenate(counts))[place]
         cuts = np.concatenate([[0], np.cumsum(sizes)])
-        return pa.table({"block": table.column("block"), "gram_order": table.column("gram_order"), "bucket": table.column("bucket"), "totals": pa.array([sums[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
+        return pa.table({"block": table.column("block"), "gram_order": table.column("gram_order"), "bucket": table.column("bucket"), "totals": pa.array([packed(sums[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
 
     grams = held.select("block", "sizes", "vocab", "words").mapInArrow(explode, "gram_order int, bucket long, block long, keys binary, counts binary")
     counted = grams.groupBy("gram_order", "bucket").applyInArrow(count, "block long, gram_order int, bucket long, totals binary")
@@ -112,7 +131,7 @@ def scores(docs: DataFrame, rows: int = BLOCK_ROWS, bucket_words: int = BUCKET_W
         for row in block.to_pylist():
             vocab, words, sizes = _unpacked(row)
             one, pair = _grams(vocab, words, sizes)
-            of = {k: np.frombuffer(b"".join(v for _, v in sorted(parts[k])), "<u8").astype(np.float64) for k in parts}
+            of = {k: np.concatenate([unpacked(v) for _, v in sorted(parts[k])] or [np.empty(0)]).astype(np.float64) for k in parts}
             single = of[1][_dealt(one, buckets)[2]] if len(one) else np.empty(0)
             after = np.zeros(len(one))
             inner = pair != 0
