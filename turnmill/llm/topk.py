@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
-SCALE, BLOCK, GROUP = 1024, 4096, 1024
+SCALE, BLOCK, GROUP = 1024, 8192, 1024
 
 
 def quantised(vectors: DataFrame) -> DataFrame:
@@ -36,33 +36,40 @@ class Block:
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.x = ids[order], x[order]
+        self.ids, self.x = ids[order], x[order].astype(np.float64)  # exact: sums of products stay below 2^53
         self.rising = np.argsort(self.x, axis=0, kind="stable").T.copy()  # a list for each component
+        self.sorted = np.take_along_axis(self.x, self.rising.T, 0).T.copy()
 
     def top(self, query_id: int, q: np.ndarray, k: int, few: int = 64) -> tuple[np.ndarray, np.ndarray]:
         """The k best ids other than the query's, and their scores; fewer in a small block."""
-        n, dims = self.x.shape
+        n = len(self.ids)
         used = np.flatnonzero(q)
-        q = q.astype(np.int64)
-        lists = np.where((q[used] > 0)[:, None], self.rising[used, ::-1], self.rising[used])
-        own = self.ids == query_id
-        worst = q[used] * self.x[lists[:, -1], used]
-        gained, unread = np.zeros(n), np.ones((n, len(used)), np.float32)
-        alive = np.flatnonzero(~own)
-        depth, step = 0, max(64, n // 16)
+        w = q[used].astype(np.float64)
+        up = w > 0
+        # a list's worst entry stands at the end that is read last
+        worst = w * np.where(up, self.sorted[used, 0], self.sorted[used, -1])
+        low, gained = worst.sum(), np.zeros(n)
+        unread = np.ones((len(used), n), np.float32)
+        alive, others = np.arange(n), self.ids != query_id
+        depth, step = 0, max(64, n // 5)
         while depth < n and len(alive) > max(few, k) and len(used):
             upto = min(n, depth + step)
-            rows = lists[:, depth:upto]
-            value = q[used][:, None] * self.x[rows, used[:, None]]
-            gained += np.bincount(rows.ravel(), (value - worst[:, None]).ravel(), n)
-            unread[rows, np.arange(len(used))[:, None]] = 0
+            frontier = np.empty(len(used))
+            for j, d in enumerate(used):
+                part = slice(n - upto, n - depth) if up[j] else slice(depth, upto)
+                rows, values = self.rising[d, part], self.sorted[d, part] * w[j]
+                gained[rows] += values - worst[j]
+                unread[j][rows] = 0
+                frontier[j] = values[0] if up[j] else values[-1]
             depth = upto
-            # exact in doubles: sums of products of 31-bit numbers
-            lower = gained[alive] + worst.sum()
-            room = unread[alive].astype(np.float64) @ (value[:, -1] - worst).astype(np.float64)
-            least = np.partition(lower, len(lower) - k)[len(lower) - k] if len(lower) >= k else -np.inf
-            alive = alive[lower + room >= least]
-        scores = self.x[alive].astype(np.int64) @ q
+            gap = frontier - worst
+            # single precision, and so much more than its error
+            room = gap.astype(np.float32) @ unread + np.float32(1 + 1e-4 * gap.sum())
+            mine = gained[others]
+            least = np.partition(mine, len(mine) - k)[len(mine) - k] if len(mine) >= k else -np.inf
+            alive = np.flatnonzero((gained + room >= least) & others)
+        alive = alive[others[alive]]
+        scores = (self.x[alive] @ q.astype(np.float64)).astype(np.int64)
         best = np.lexsort((self.ids[alive], -scores))[:k]
         return self.ids[alive][best], scores[best]
 
