@@ -16,6 +16,7 @@ score is the share of toxic ones among the labels, or 0.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,26 +40,31 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def bags(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The table rows of every word and its n-grams, one word after the other, and where each word's begin (one end more)."""
+def grams(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Table rows and the numbers of the words they belong to: of the words themselves, then of their n-grams, one length after the other."""
     if not words:
-        return np.empty(0, np.int64), np.zeros(1, np.int64)
+        return
+    yield (pd.util.hash_array(np.array(words, dtype=object), categorize=False) % np.uint64(BUCKETS)).astype(np.int32), np.arange(len(words), dtype=np.int32)
     letters = np.frombuffer(("<" + "><".join(words) + ">").encode("utf-32-le"), np.uint32).astype(np.uint64)
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    word = np.repeat(np.arange(len(words)), lengths)
-    rows, owners = [(pd.util.hash_array(np.array(words, dtype=object), categorize=False) % np.uint64(BUCKETS)).astype(np.int64)], [np.arange(len(words))]
-    rolled = letters.copy()
+    word = np.repeat(np.arange(len(words), dtype=np.int32), np.fromiter(map(len, words), np.int64, len(words)) + 2)
+    rolled = letters
     for n in range(2, LONGEST + 1):
         if n > len(letters):
             break
         rolled = rolled[:-1] * _PRIME + letters[n - 1 :]
         if n >= SHORTEST:
             inside = np.flatnonzero(word[: len(rolled)] == word[n - 1 :])
-            rows.append((mix(rolled[inside] + np.uint64(n)) % np.uint64(BUCKETS)).astype(np.int64))
-            owners.append(word[inside])
-    owner = np.concatenate(owners)
+            yield (mix(rolled[inside] + np.uint64(n)) % np.uint64(BUCKETS)).astype(np.int32), word[inside]
+
+
+def bags(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The table rows of every word and its n-grams, one word after the other, and where each word's begin (one end more)."""
+    parts = list(grams(words))
+    if not parts:
+        return np.empty(0, np.int32), np.zeros(1, np.int64)
+    owner = np.concatenate([p[1] for p in parts])
     order = np.argsort(owner, kind="stable")
-    return np.concatenate(rows)[order], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(words)))])
+    return np.concatenate([p[0] for p in parts])[order], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(words)))])
 
 
 def cut(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -77,9 +83,12 @@ class Model:
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         words, index, counts = cut(texts)
-        rows, at = bags(words)
-        worth = np.add.reduceat(self.table[rows], at[:-1]) / np.diff(at) if len(words) else np.empty(0)
-        upto = np.concatenate([[0.0], np.cumsum(worth[index].astype(np.float64))])
+        worth, size = np.zeros(len(words)), np.zeros(len(words))
+        for rows, owner in grams(words):  # one length at a time, so memory stays small
+            worth += np.bincount(owner, self.table[rows], len(words))
+            size += np.bincount(owner, minlength=len(words))
+        worth /= np.maximum(1, size)
+        upto = np.concatenate([[0.0], np.cumsum(worth[index])])
         ends = np.cumsum(counts)
         logit = self.bias + (upto[ends] - upto[ends - counts]) / np.maximum(1, counts)
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
@@ -109,9 +118,13 @@ def train(texts: pa.Array | list[pa.Array], toxic: np.ndarray, epochs: int = 8,
     if share in (0.0, 1.0):
         return Model(np.zeros(BUCKETS, np.float32), -30.0 if share == 0 else 30.0)
     parts = [weighted_bags(t) for t in (texts if isinstance(texts, list) else [texts])]
-    rows, weights = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
     at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[2]) for p in parts]))])
-    del parts
+    rows, weights = np.empty(at[-1], np.int32), np.empty(at[-1], np.float32)
+    begin = 0
+    while parts:
+        row, weight, _ = parts.pop(0)
+        rows[begin : begin + len(row)], weights[begin : begin + len(row)] = row, weight
+        begin += len(row)
     random = np.random.default_rng(seed)
     table = np.zeros((BUCKETS, DIM), np.float32)
     top, bias = (random.standard_normal((DIM, 2)) * 0.5).astype(np.float32), np.log([1 - share, share]).astype(np.float32)
@@ -150,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_documents: int = MAX_DOCUMENTS)
 
     def learn(batches):
         # one task holds the sample, of bounded size; should it be lost, Spark runs it again
-        parts = [b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)]
+        parts = [b.slice(k, 250) for b in batches for k in range(0, b.num_rows, 250)]
         toxic = np.concatenate([p.column("_toxic").to_numpy() for p in parts] or [np.empty(0)]).astype(np.int64).clip(0, 1)
         model = train([p.column("text") for p in parts], toxic)
         yield pa.RecordBatch.from_pydict({"table": pa.array([model.table.astype("<f4").tobytes()], pa.binary()), "bias": [model.bias]})
@@ -159,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_documents: int = MAX_DOCUMENTS)
     return Model(np.frombuffer(model["table"], "<f4"), model["bias"])
 
 
-def scored(docs: DataFrame, model: Model, rows_at_once: int = 2000) -> DataFrame:
+def scored(docs: DataFrame, model: Model, rows_at_once: int = 1000) -> DataFrame:
     """docs and score (0 to 1), predicted (1 from THRESHOLD on)."""
     def add(batches):
         for batch in batches:
