@@ -1,0 +1,63 @@
+"""Personal data (5): base spans against Python's regular expressions, one text at a time."""
+
+import hashlib
+import re
+
+import duckdb
+
+from turnmill.llm import pii
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def _luhn(digits):
+    return sum(sum(divmod(int(d) * (1 + k % 2), 10)) for k, d in enumerate(digits[::-1])) % 10 == 0
+
+
+def _passes(kind, text):
+    digits = re.sub("[^0-9]", "", text)
+    return {"email": True, "ip": kind == "ip" and all(int(p) <= 255 for p in text.split(".")), "card": 16 <= len(digits) <= 19 and _luhn(digits), "phone": 8 <= len(digits) <= 15}[kind]
+
+
+def _base(text):
+    return [(kind, m.start(), m.end()) for kind, p in BASE.items() for m in re.finditer(p, text or "") if _passes(kind, m[0])]
+
+
+def _compare(found, texts):
+    for r in found:
+        base = _base(texts[r["doc_id"]])
+        assert [r[f"n_{k}"] for k in BASE] == [sum(b[0] == k for b in base) for k in BASE], r["doc_id"]
+        listed = [f"{k}:{a}:{b}" for k, a, b in base]
+        assert r["base_sha256"] == hashlib.sha256(",".join(listed).encode()).hexdigest()
+        assert set(listed) <= {f"{s['kind']}:{s['start']}:{s['end']}" for s in r["_spans"]}
+
+
+def test_base_spans(docs, rows, empty):
+    found = pii.annotated(docs).collect()
+    assert len(found) == len(rows)
+    _compare(found, {r[0]: r[1] for r in rows})
+    assert pii.annotated(empty).count() == 0
+
+
+def test_base_spans_of_the_documents(spark):
+    path = "/root/testdata/sf0.001/documents.parquet"
+    _compare(pii.annotated(spark.read.parquet(path)).collect(), dict(duckdb.sql(f"SELECT doc_id, text FROM '{path}'").fetchall()))
+
+
+def test_redaction(docs, rows):
+    done = {r["doc_id"]: r["text"] for r in pii.redacted(docs).collect()}
+    for doc_id, text, *_ in rows:
+        if not _base(text) and "api_key" not in (text or "") and "bad card" not in (text or ""):
+            assert done[doc_id] == text
+    at = next(r[0] for r in rows if r[1] and r[1].startswith("Write to"))
+    assert done[at] == "Write to [email] or call [phone]."
+
+
+def test_unreliable_labelers_are_outvoted():
+    chances = pii.learn({("email", "++++"): 900, ("email", "+-0+"): 40, ("email", "---0"): 500, ("email", "--0-"): 300})
+    assert chances["email ++++"] > 0.5 > chances["email ---0"]

@@ -50,8 +50,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
     rest = F.sum("source_size").over(everything) * share - F.coalesce(F.sum("_cap").over(before), zero)
     rest_w = F.sum("_w").over(everything) - F.coalesce(F.sum("_w").over(before), zero)
     level = weighed.withColumn("_level", rest / rest_w).withColumn("_full", F.col("_level") * F.col("_w") > F.col("_cap"))
-    # the level at the first source that isn't capped holds for it and all after it
-    final = F.min(F.when(~F.col("_full"), F.struct(F.col("_cap") / F.col("_w"), F.col("_level")))).over(everything)["_level"]
+    # the level at the first source that isn't capped, of equal ratios the one of greatest level, holds for it and all after it
+    final = -F.min(F.when(~F.col("_full"), F.struct(F.col("_cap") / F.col("_w"), (-F.col("_level")).alias("_down")))).over(everything)["_down"]
     target = F.when(F.col("_full"), F.col("_cap").cast("double")).otherwise(F.least(F.col("_cap").cast("double"), final * F.col("_w")))
     return level.select("source", "source_size", target.alias("target"))
 
