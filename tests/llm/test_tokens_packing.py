@@ -16,6 +16,18 @@ def _ids(name, text):
     return np.array([*Tokenizer.from_file(public_tokenizers.path(name)).encode(text or "", add_special_tokens=False).ids, 0], "<u4")
 
 
+def _first_fit(lengths):
+    """Sequences that first-fit decreasing needs."""
+    room = []
+    for n in sorted(lengths, reverse=True):
+        k = next((k for k, x in enumerate(room) if x >= n), None)
+        if k is None:
+            room.append(2048 - n)
+        else:
+            room[k] -= n
+    return len(room)
+
+
 def test_wavelet_matrix_against_lists():
     rng = random.Random(1)
     for n, top in ((0, 5), (1, 1), (513, 7), (5000, 60_000)):
@@ -66,7 +78,7 @@ def test_packing_against_the_library(docs, rows, empty):
     for s in sequences.values():
         s.sort()
         assert [o for o, _ in s] == [sum(n for _, n in s[:k]) for k in range(len(s))] and sum(n for _, n in s) <= 2048
-    assert len(sequences) <= -(-sum(r["length"] for r in found) // 2048) + 1
+    assert len(sequences) <= _first_fit([r["length"] for r in found])
     assert packing.pack(packing.pieces(empty, tokenizer)).count() == 0
 
 
@@ -79,4 +91,6 @@ def test_solve_places_every_piece_once():
         assert sum(pattern) <= 2048
         np.add.at(placed, list(pattern), many)
         used += many
-    assert (placed[lengths] == counts).all() and used <= 1.02 * -(-(lengths @ counts) // 2048) + 1
+    assert (placed[lengths] == counts).all()
+    # on evenly spread lengths the rounded program needs a few sequences in a hundred more than first-fit decreasing (README)
+    assert used <= 1.03 * _first_fit(np.repeat(lengths, counts).tolist())

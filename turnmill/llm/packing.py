@@ -127,7 +127,7 @@ def fill_up(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tupl
     return [(pattern, many) for groups in room.values() for pattern, many in groups]
 
 
-def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, rounds: int = 160, rate: float = 0.5) -> list[tuple[tuple[int, ...], int]]:
+def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, rounds: int = 480, rate: float = 0.5) -> list[tuple[tuple[int, ...], int]]:
     """Sequences for a histogram: (lengths in a sequence, how many such sequences); every piece has exactly one place."""
     lengths, counts = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
     if not len(lengths):
