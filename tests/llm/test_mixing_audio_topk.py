@@ -1,5 +1,6 @@
 """Source mixing (7), telephony audio (8) and exact top-k (10) against plain loops."""
 
+import glob
 import hashlib
 import math
 import random
@@ -10,7 +11,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from turnmill.llm import audio, mixing, topk
+from turnmill.llm import audio, mixing, queries, topk
+from turnmill.llm.common import shared_dir
 
 
 def _targets(sizes, weights=(5, 2, 1), most=3):
@@ -103,6 +105,21 @@ def test_audio_round_trip(docs, rows, empty, kind):
     assert audio.decoded(audio.store(empty)).count() == 0
 
 
+def test_audio_query_stores_the_pcm(spark, docs, rows, tmp_path):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    root = shared_dir(spark).removeprefix("file:").replace("//", "/")
+    before = set(glob.glob(f"{root}/turnmill-pcm-*"))
+    found = queries.op8_telephony_audio(spark, str(tmp_path)).collect()
+    (path,) = set(glob.glob(f"{root}/turnmill-pcm-*")) - before
+    stored = Counter((r["doc_id"], bytes(r["pcm"])) for r in spark.read.parquet(f"file://{path}").collect())
+    table = audio.mulaw_table()
+    text = [(r[0], (r[1] or "").encode()) for r in rows]
+    pcm = [(k, audio.resample(table[np.frombuffer(raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0"), np.uint8)], 2, 1)) for k, raw in text]
+    assert stored == Counter((k, x.astype("<i2").tobytes()) for k, x in pcm)
+    wanted = Counter((k, audio.features(x, 16000), hashlib.sha256(x.astype("<i2").tobytes()).hexdigest()) for k, x in pcm)
+    assert Counter((r["doc_id"], r["feature"], r["pcm_sha256"]) for r in found) == wanted
+
+
 def test_other_formats_raise():
     with pytest.raises(ValueError):
         audio.parse(b"not a file")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import audio, backoff, minhash, mixing, packing, pii, resample, topk, toxicity, wavelet
-from .common import shared_dir, table
+from .common import saved, shared_dir, table
 
 
 def op1_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = audio.store(table(spark, sf_dir, "documents"))
-    return audio.decoded(files, keep_pcm=False)
+    return audio.described(saved(audio.decoded(files), "pcm"))
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
