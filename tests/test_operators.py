@@ -139,6 +139,54 @@ def test_cache(spark):
     assert [r.key for r in cache.invalidated(entries, spark.createDataFrame([(1,)], "session_id long")).collect()] == ["graph:u:2"]
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_large_groups_are_walked_a_row_at_a_time(spark):
+    import random
+
+    rng = random.Random(4)
+    # one key beyond an Arrow batch, few of the others, and a null key
+    log = [(k, rng.randrange(40_000), i) for i, k in enumerate(["hot"] * 25_000 + ["a"] * 50 + [None] * 50)]
+    made = cache.lookups(spark.createDataFrame([(k, dt.datetime.fromtimestamp(t, dt.UTC), i) for k, t, i in log], "key string, ts timestamp, i long").repartition(5), "key", "ts", 300, "i")
+    wanted, until = {}, {}
+    for k, t, i in sorted(log, key=lambda x: x[1:]):
+        wanted[i] = t <= until.get(k, -1)
+        until[k] = until[k] if wanted[i] else t + 300
+    assert {r.i: r.hit for r in made.collect()} == wanted and made.columns == ["key", "ts", "i", "hit"]
+    chunks = [(k, i, "w " * (n := rng.choice([0, 1, 5, 300])), rng.randrange(50) / 50, n) for i, (k, *_) in enumerate(log)]
+    packed = relevance.packed(spark.createDataFrame(chunks, "q string, c long, t string, score double, n long").repartition(5), "q", "c", "t", budget=900)
+    expected, rank, used = {}, {}, {}
+    for k, i, _, _, n in sorted(chunks, key=lambda x: (-x[3], x[1])):
+        rank[k] = rank.get(k, 0) + 1
+        fits = used.get(k, 0) + n <= 900
+        used[k] = used.get(k, 0) + n * fits
+        expected[i] = (rank[k], n, fits)
+    assert {r.chunk_id: (r["rank"], r.tokens, r.kept) for r in packed.collect()} == expected
+    assert not any("collect_list" in _plan(df) for df in (made, packed))
+
+
+@pytest.mark.parametrize("kind", ["double", "long"])
+def test_ranks_of_a_group_without_its_list(spark, kind):
+    import math
+    import random
+    import statistics
+
+    rng = random.Random(9)
+    number = (lambda: rng.choice([rng.gauss(0, 1), rng.gauss(0, 1) * 1e200, 0.0, -0.0, 1e-300, 7.5])) if kind == "double" else (lambda: rng.choice([rng.randrange(-5, 5), rng.randrange(-(2**62), 2**62)]))
+    groups = {"a": [number() for _ in range(3001)], "b": [number() for _ in range(40)], None: [number()], "d": [number(), number()]}
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("none", None)]
+    made = telemetry.latency(spark.createDataFrame(rows, f"g string, v {kind}").repartition(4), "g", "v")
+    found = {r.g: r for r in made.collect()}
+    assert set(found) == {*groups, "none"} and found["none"].p95_ms is None and found["none"].median_ms is None
+    for g, vs in groups.items():
+        assert (found[g].n, found[g].p95_ms) == (len(vs), sorted(vs)[max(1, math.floor(len(vs) * 0.95)) - 1])
+        assert found[g].median_ms == pytest.approx(statistics.median(vs))
+    assert made.columns == ["g", "n", "min_ms", "mean_ms", "median_ms", "max_ms", "stdev_ms", "p95_ms"]
+    assert not any(x in _plan(made) for x in ("collect_list", "median(", "percentile("))
+
+
 def _run(stream, path, mode="update"):
     rows = []
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", str(path)).trigger(availableNow=True).foreachBatch(lambda df, _: rows.extend(df.collect())).start()

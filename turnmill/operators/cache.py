@@ -5,8 +5,10 @@ Times are timestamps; nothing reads a clock, `now` is a parameter.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 TTL_SECONDS = {"turn": 300, "prefix": 3600, "compose": 180, "chat": 120, "default": 120, "graph": 86_400}
 SWEEP_EVERY = 200
@@ -16,20 +18,28 @@ def lookups(log: DataFrame, key: str, ts: str, ttl_seconds: int, tie: str | None
     """log and hit: whether the key's entry was still valid.  A miss writes the entry anew; a hit doesn't prolong it.
 
     Entries begin at misses, so a key's lookups form runs: each run is a miss and the lookups within its time to live.
+    A key's log goes through one task in order, a row at a time; only the entry's end is held.
     """
-    order = [ts] + ([tie] if tie else [])
-    seconds = F.col(ts).cast("timestamp").cast("double")
-    lists = log.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(seconds.alias("t"), *([F.col(tie).alias("i")] if tie else []), F.struct(*[F.col(c) for c in log.columns]).alias("row")))).alias("all")) if tie else None
-    if lists is None:
-        raise ValueError(f"{order}: lookups at one time need a column that orders them")
-    start = F.struct(F.lit(None).cast("double").alias("until"), F.array().cast("array<boolean>").alias("hits"))
-
-    def step(acc: Column, x: Column) -> Column:
-        hit = F.coalesce(x["t"] <= acc["until"], F.lit(False))
-        return F.struct(F.when(hit, acc["until"]).otherwise(x["t"] + ttl_seconds).alias("until"), F.concat(acc["hits"], F.array(hit)).alias("hits"))
-
-    done = lists.withColumn("_h", F.aggregate("all", start, step)["hits"])
-    return done.select(F.explode(F.arrays_zip("all", "_h")).alias("x")).select("x.all.row.*", F.col("x._h").alias("hit"))
+    if tie is None:
+        raise ValueError(f"{[ts]}: lookups at one time need a column that orders them")
+    timed = log.withColumn("_t", F.col(ts).cast("timestamp").cast("double"))
+    ordered = timed.repartition(key).sortWithinPartitions(key, "_t", tie)
+    columns = log.columns
+
+    def walk(batches):
+        last, until = object(), None
+        for batch in batches:
+            hits = []
+            for k, t in zip(batch.column(key).to_pylist(), batch.column("_t").to_pylist(), strict=True):
+                if k != last:
+                    last, until = k, None
+                hit = t is not None and until is not None and t <= until
+                if not hit:
+                    until = None if t is None else t + ttl_seconds
+                hits.append(hit)
+            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in columns} | {"hit": pa.array(hits, pa.bool_())})
+
+    return ordered.mapInArrow(walk, StructType([*log.schema.fields, StructField("hit", BooleanType())]))
 
 
 def stats(looked_up: DataFrame, entries: DataFrame | None = None) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnmill.functions import similarity, tokens
@@ -54,12 +55,27 @@ def prune_confidence(kept: str = "kept_rel", score: str = "score", standalone: b
 
 
 def packed(chunks: DataFrame, query_id: str, chunk_id: str, content: str, budget: int = CHUNK_BUDGET) -> DataFrame:
-    """query_id, chunk_id, rank, score, tokens, kept (columns of `scored` chunks): by score, each chunk that still fits is taken, others are skipped."""
-    sized = chunks.select(F.col(query_id).alias("query_id"), F.col(chunk_id).alias("chunk_id"), "score", tokens.words(F.col(content)).alias("tokens"))
-    ranked = sized.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")))
-    lists = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "score", "tokens"))).alias("all"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("taken"))
-    fits = lambda acc, c: acc["used"] + c["tokens"] <= budget
-    take = lambda acc, c: F.when(fits(acc, c), F.struct((acc["used"] + c["tokens"]).alias("used"), F.concat(acc["taken"], F.array(c["rank"])).alias("taken"))).otherwise(acc)
-    done = lists.withColumn("taken", F.aggregate("all", start, take)["taken"])
-    return done.select("query_id", "taken", F.explode("all").alias("c")).select("query_id", "c.chunk_id", "c.rank", "c.score", "c.tokens", F.array_contains("taken", F.col("c.rank")).alias("kept"))
+    """query_id, chunk_id, rank, score, tokens, kept (columns of `scored` chunks): by score, each chunk that still fits is taken, others are skipped.
+
+    A query's chunks go through one task in order, a row at a time; only the tokens used so far are held.
+    """
+    sized = chunks.select(F.col(query_id).alias("query_id"), F.col(chunk_id).alias("chunk_id"), "score", tokens.words(F.col(content)).cast("long").alias("tokens"))
+    ordered = sized.repartition("query_id").sortWithinPartitions("query_id", F.desc("score"), "chunk_id")
+
+    def walk(batches):
+        key, rank, used = object(), 0, 0
+        for batch in batches:
+            ranks, kept = [], []
+            for k, size in zip(batch.column("query_id").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
+                if k != key:
+                    key, rank, used = k, 0, 0
+                rank += 1
+                fits = size is not None and used + size <= budget
+                used += size if fits else 0
+                ranks.append(rank)
+                kept.append(fits)
+            given = {c: batch.column(c) for c in ("query_id", "chunk_id", "score", "tokens")}
+            yield pa.RecordBatch.from_pydict({"query_id": given["query_id"], "chunk_id": given["chunk_id"], "rank": pa.array(ranks, pa.int32()), "score": given["score"], "tokens": given["tokens"], "kept": pa.array(kept, pa.bool_())})
+
+    kind = {f.name: f.dataType.simpleString() for f in sized.schema.fields}
+    return ordered.mapInArrow(walk, f"query_id {kind['query_id']}, chunk_id {kind['chunk_id']}, rank int, score {kind['score']}, tokens long, kept boolean")
