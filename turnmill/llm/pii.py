@@ -117,12 +117,12 @@ def candidates(text: Column) -> Column:
     at = text.contains("@")
     groups = [
         matches(text, EMAIL, "email", at),
-        matches(text, SPELT, "email", text.contains("(at)") | text.contains("[at]")),
+        matches(text, SPELT, "email", text.rlike(r"[\[(]at[\])]")),
         matches(text, IP, "ip", digit & text.contains(".")),
         F.filter(matches(text, CARD, "card", digit), lambda x: F.length(_digits(x)).between(13, 19)),
         matches(text, PHONE, "phone", text.contains("+")),
         F.filter(matches(text, LOCAL_PHONE, "phone", digit), lambda x: ~x["left"].rlike(r"\+[0-9][\x20().0-9-]*$")),
-        matches(text, SECRET, "secret", digit),
+        matches(text, SECRET, "secret", text.contains("AKIA") | text.rlike("[=:]")),
     ]
     empty = F.array().cast("array<struct<kind:string,start:int,end:int,text:string,left:string,right:string>>")
     every = F.concat(*[F.coalesce(g, empty) for g in groups])
