@@ -108,6 +108,17 @@ def test_plan_adds_up(spark):
     assert savings.gated(every).count() == 3
 
 
+def test_plan_keeps_where_entities_of_a_long_query_came_first(spark):
+    files = [f"{a}{b}.py" for a in ("alpha", "bravo", "delta") for b in ("Kilo", "Mango", "Tango", "Zulu")]
+    filler = " ".join(f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(300))
+    history = [f"{filler} {files[0]}", "unrelated chatter about weather", f"again {filler} {files[0]} now"]
+    every = turns(spark, [*history, "a reply", "Please compare " + ", ".join(files)])
+    plan = {r.turn_id: r for r in savings.annotated(every, savings.Settings(dedup_threshold=2.0)).collect()}
+    assert plan[0].score < relevance.THRESHOLD and plan[2].score < relevance.THRESHOLD
+    # the first turn names one of twelve entities, and first; the third names it again
+    assert [plan[k].kept_rel for k in (0, 1, 2)] == [True, False, False]
+
+
 def test_telemetry(spark):
     facts = spark.createDataFrame([("r", dt.datetime(2024, 1, 1), "e", "gpt-4o", "s", 500, 350, {"structural": 150}, "lossy", 0.9, 1.5, 0.0)], "request_id string, ts timestamp, endpoint string, model string, session_id string, raw_tokens long, post_tokens long, savings_by_stage map<string,long>, compression_mode string, confidence_score double, overhead_ms double, llm_latency_ms double")
     events = telemetry.recorded(facts)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from turnmill.functions import entities, structural, tokens
 from turnmill.functions import text as T
-from turnmill.operators import dedup, quality, relevance, reuse, summary
+from turnmill.operators import dedup, graph, quality, relevance, reuse, summary
 from turnmill.sources import chat
 
 
@@ -46,8 +46,10 @@ def annotated(turns: DataFrame, settings: Settings, query: str = "last_user") ->
         if settings.with_entities:
             named = marked.withColumn("_names", entities.all_names(F.col("clean"))).withColumn("_asked", entities.all_names(F.col("query")))
             scored = relevance.scored(named, "clean", "query", "_names", "_asked")
-            bearing = F.when(F.size("_asked") > 0, F.size(F.array_intersect("_names", "_asked")) / F.size("_asked") >= relevance.LOAD_BEARING).otherwise(F.lit(False))
-            scored = relevance.pruned(scored.withColumn("_protected", bearing), settings.relevance_threshold, "_protected").drop("_names", "_asked", "_protected")
+            edges = graph.edges(clean.select("session_id", "turn_id", F.col("clean").alias("content")))
+            asked = clean.select("session_id", "query").distinct().select("session_id", F.explode(entities.all_names(F.col("query"))).alias("name"))
+            bearing = relevance.load_bearing(edges, asked).withColumn("_protected", F.lit(True))
+            scored = relevance.pruned(scored.join(bearing, ["session_id", "turn_id"], "left"), settings.relevance_threshold, "_protected").drop("_names", "_asked", "_protected")
         else:
             scored = relevance.pruned(relevance.scored(marked, "clean", "query"), settings.relevance_threshold)
     stays = scored.withColumn("_stays", F.col("kept_dedup") & F.col("kept_rel"))
