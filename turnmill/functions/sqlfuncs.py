@@ -23,7 +23,7 @@ _SQL = {
 
 
 def register(spark: SparkSession) -> list[str]:
-    """Registers ctx_token_count, ctx_keyword_sim, ctx_normalize, ctx_compress, ctx_entities and the table function ctx_extract_entities."""
+    """Registers ctx_token_count, ctx_keyword_sim, ctx_normalize, ctx_compress and the table function ctx_extract_entities."""
     for name, (parameters, kind, body) in _SQL.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {kind} RETURN {body}")
     spark.udf.register("ctx_rewrite_json", structural.json_rewriter())

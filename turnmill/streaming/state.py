@@ -1,7 +1,7 @@
-"""Sessions as streaming state: the entity graph, the rolling summary and the latest compression.
+"""Streaming state: the entity graph and the rolling summary of sessions, and cache entries.
 
-`transformWithStateInPandas` keeps, for each session, the graph's nodes and turns seen, the
-summary, and the last compression, all with a time to live; a turn that comes twice is taken once.
+`transformWithStateInPandas` keeps, for each session, the graph's nodes and turns seen, and the
+summary, all with a time to live; a turn that comes twice is taken once.
 The batch plan (`operators.graph.resolved`) folds the same way, so both agree.
 """
 
