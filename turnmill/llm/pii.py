@@ -7,12 +7,18 @@ for (1), against (-1) or not at all (0): the pattern's own check, a gazetteer (d
 codes, issuers, reserved addresses, key names), the words before it, and the characters around
 it.  Votes are counted by pattern over all documents - a few hundred patterns, whatever the
 corpus - and expectation-maximisation estimates each labeler's reliability for each kind from
-the counts alone.  A logistic classifier is trained on the patterns with the posteriors as soft
-labels; candidates of probability 0.5 or more are added, those that fail their own check only
-where words before them name their kind.  Base spans always stay.
+the counts alone.
+
+The posteriors are soft labels for the span classifier, a logistic regression over features of
+the span (length, digits, separators, letters) and of its context (the characters around it and
+the word before it, hashed), which the labelers mostly don't look at.  Each step is an aggregate
+over the table of distinct feature lists with their counts; only `FEATURES` sums reach the driver.
+Candidates of probability 0.5 or more are added, those that fail their own check (such as a
+card number's Luhn digit) only where words before them name their kind.  Base spans always stay.
 
 Positions are code points: a text is cut by the pattern (`split`), and running sums of the
-lengths of gaps and matches give each match's place, so no position is searched for.
+lengths of gaps and matches give each match's place, so no position is searched for.  What a
+lambda needs more than once is bound first (`bound`), so the work stays in proportion to the text.
 
 A null or empty text has no spans.  Repeated rows give repeated results; other columns are carried along.
 """
@@ -20,6 +26,7 @@ A null or empty text has no spans.  Repeated rows give repeated results; other c
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +34,10 @@ from pyspark.sql import functions as F
 from .common import saved
 
 KINDS = ("email", "ip", "card", "phone", "secret")
+#: Places of the classifier's weights; a feature's place is a hash of its kind, name and value.
+FEATURES = 1024
+#: Characters of a block in which a text is cut to replace spans.
+CUT = 4096
 #: Patterns of the base spans, without backtracking into what is taken.  A match cannot start
 #: within a run that could have started earlier, unless the match before it ended there.
 _LOCAL, _HOST = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
@@ -52,35 +63,52 @@ _ISSUERS = "4|5[1-5]|2[2-7]|3[47]|6011|65|62|35"
 _CALLING = "1|7|20|27|3[0-469]|4[0-13-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 
 
-def running(lengths: Column, block: int = 256) -> Column:
-    """The sum of all entries before each entry, in blocks, so a long array isn't copied for every entry."""
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it is used: within a lambda, a plain column would be computed again for every element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def scanned(values: Column, op: Callable[[Column, Column], Column], block: int = 256) -> Column:
+    """op over all entries before each entry, from 0 on, and over all of them last; in blocks, so a long array isn't copied for every entry."""
     zero = F.lit(0)
 
     def before(array: Column, first: Column) -> Column:
         start = F.struct(first.cast("int").alias("at"), F.array().cast("array<int>").alias("seen"))
-        return F.aggregate(array, start, lambda acc, n: F.struct((acc["at"] + n).cast("int").alias("at"), F.concat(acc["seen"], F.array(acc["at"])).alias("seen")))["seen"]
+        return F.aggregate(array, start, lambda acc, n: F.struct(op(acc["at"], n).cast("int").alias("at"), F.concat(acc["seen"], F.array(acc["at"])).alias("seen")))["seen"]
+
+    def blocked(all_: Column) -> Column:
+        places = F.sequence(zero, F.floor((F.greatest(F.size(all_), F.lit(1)) - 1) / block).cast("int"))
+        return F.transform(places, lambda b: F.slice(all_, b * block + 1, F.lit(block)))
+
+    def scan(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, zero, lambda acc, n: op(acc, n).cast("int")))
+        return F.flatten(F.transform(F.arrays_zip(blocks.alias("b"), before(totals, zero).alias("s")), lambda x: before(x["b"], x["s"])))
 
-    blocks = F.transform(F.sequence(zero, F.floor((F.greatest(F.size(lengths), F.lit(1)) - 1) / block).cast("int")), lambda b: F.slice(lengths, b * block + 1, F.lit(block)))
-    sums = F.transform(blocks, lambda b: F.aggregate(b, zero, lambda acc, n: acc + n))
-    return F.flatten(F.transform(F.arrays_zip(blocks.alias("b"), before(sums, zero).alias("s")), lambda x: before(x["b"], x["s"])))
+    return bound(F.concat(values, F.array(zero)), lambda v: bound(blocked(v), scan))
 
 
-def matches(text: Column, pattern: str, kind: str, hint: Column) -> Column:
-    """Leftmost non-overlapping matches: kind, start, end, text, the characters before and the one after; none without the hint."""
+def matches(text: Column, pattern: str, kind: str, hint: Column, keep: Callable[[Column], Column] | None = None) -> Column:
+    """Leftmost non-overlapping matches: kind, start, end, text, the characters before and the one after; none without the hint.
+
+    `keep` drops matches by their text before anything else is done with them.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
     def placed(m: Column, gaps: Column) -> Column:
-        begin = running(F.transform(m, lambda x, i: F.length(x) + F.length(F.get(gaps, i))))
+        n = F.size(m)
+        begin = scanned(F.transform(m, lambda x, i: F.length(x) + F.length(F.get(gaps, i))), lambda a, b: a + b)
+        each = F.arrays_zip(m.alias("m"), F.slice(gaps, 1, n).alias("gap"), F.slice(gaps, 2, n).alias("next"), F.slice(begin, 1, n).alias("at"))
+        start = lambda x: x["at"] + F.length(x["gap"])
         return F.transform(
-            m,
-            lambda x, i: F.struct(
-                F.lit(kind).alias("kind"), (F.get(begin, i) + F.length(F.get(gaps, i))).alias("start"), (F.get(begin, i) + F.length(F.get(gaps, i)) + F.length(x)).alias("end"),
-                x.alias("text"), F.lower(F.substring(F.get(gaps, i), -32, 32)).alias("left"), F.substring(F.get(gaps, i + 1), 1, 1).alias("right"),
+            each if keep is None else F.filter(each, lambda x: keep(x["m"])),
+            lambda x: F.struct(
+                F.lit(kind).alias("kind"), start(x).alias("start"), (start(x) + F.length(x["m"])).alias("end"),
+                x["m"].alias("text"), F.lower(F.substring(x["gap"], -32, 32)).alias("left"), F.substring(x["next"], 1, 1).alias("right"),
             ),
         )
 
-    # lambdas over one-element arrays hold the matches and gaps, so each pattern runs twice and not once a use
-    cut = F.flatten(F.transform(F.array(F.struct(found.alias("m"))), lambda s: F.when(F.size(s["m"]) > 0, F.flatten(F.transform(F.array(F.struct(s["m"].alias("m"), F.split(text, pattern, -1).alias("g"))), lambda p: placed(p["m"], p["g"]))))))
+    # matches and gaps are bound, so each pattern runs twice and not once a use
+    cut = bound(found, lambda m: F.when(F.size(m) > 0, bound(F.split(text, pattern, -1), lambda g: placed(m, g))))
     return F.when(hint, cut)
 
 
@@ -119,7 +147,7 @@ def candidates(text: Column) -> Column:
         matches(text, EMAIL, "email", at),
         matches(text, SPELT, "email", text.rlike(r"[\[(]at[\])]")),
         matches(text, IP, "ip", digit & text.contains(".")),
-        F.filter(matches(text, CARD, "card", digit), lambda x: F.length(_digits(x)).between(13, 19)),
+        matches(text, CARD, "card", digit, lambda m: F.length(F.regexp_replace(m, "[^0-9]", "")).between(13, 19)),
         matches(text, PHONE, "phone", text.contains("+")),
         F.filter(matches(text, LOCAL_PHONE, "phone", digit), lambda x: ~x["left"].rlike(r"\+[0-9][\x20().0-9-]*$")),
         matches(text, SECRET, "secret", text.contains("AKIA") | text.rlike("[=:]")),
@@ -127,7 +155,7 @@ def candidates(text: Column) -> Column:
     empty = F.array().cast("array<struct<kind:string,start:int,end:int,text:string,left:string,right:string>>")
     every = F.concat(*[F.coalesce(g, empty) for g in groups])
     spelt = lambda x: (x["kind"] == "email") & ~x["text"].contains("@")
-    return F.transform(every, lambda x: F.struct(*[x[c].alias(c) for c in ("kind", "start", "end")], (checked(x) & ~spelt(x)).alias("base"), votes(x).alias("votes")))
+    return F.transform(every, lambda x: F.struct(*[x[c].alias(c) for c in ("kind", "start", "end")], (checked(x) & ~spelt(x)).alias("base"), votes(x).alias("votes"), features(x).alias("features")))
 
 
 def votes(x: Column) -> Column:
@@ -176,43 +204,69 @@ def _posteriors(counts: dict[str, float], rounds: int = 40) -> dict[str, float]:
     return post
 
 
-def learn(counts: dict[tuple[str, str], int], steps: int = 400, rate: float = 0.5) -> dict[str, float]:
-    """Probability of each 'kind votes', from how often each was seen: posteriors, then a logistic classifier trained on them."""
-    soft: dict[tuple[str, str], float] = {}
-    for kind in {k for k, _ in counts}:
-        own = {p: float(n) for (k, p), n in counts.items() if k == kind}
-        soft |= {(kind, p): v for p, v in _posteriors(own).items()}
-    names = {key: [f"kind {key[0]}", *(f"{key[0]} {i}{v}" for i, v in enumerate(key[1])), *(f"{i}{v}" for i, v in enumerate(key[1]))] for key in counts}
-    weight = {n: 0.0 for key in names for n in names[key]}
-    # each kind counts alike, and within it patterns by the logarithm of how often they were seen
-    mass = {key: math.log1p(n) for key, n in counts.items()}
-    whole = sum(mass.values()) or 1.0
-
-    def chance(key: tuple[str, str]) -> float:
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(weight[n] for n in names[key])))))
-
-    for _ in range(steps):
-        slope = dict.fromkeys(weight, 0.0)
-        for key in names:
-            off = mass[key] / whole * (chance(key) - soft[key])
-            for n in names[key]:
-                slope[n] += off
-        for n in weight:
-            weight[n] -= rate * len(names[key]) * (slope[n] + 1e-5 * weight[n])
-    return {f"{k} {p}": chance((k, p)) for k, p in counts}
-
-
-def fit(found: DataFrame) -> dict[str, float]:
-    """Probabilities by 'kind votes' from a column `_found` of candidates."""
-    each = found.select(F.explode("_found").alias("x")).groupBy(F.col("x.kind").alias("kind"), F.col("x.votes").alias("votes")).count()
-    return learn({(r["kind"], r["votes"]): r["count"] for r in each.collect()})  # at most kinds * 3^4 rows
-
-
-def accepted(found: Column, chances: dict[str, float], least: float = 0.5) -> Column:
-    """Base spans and the candidates that the classifier takes."""
-    taken = sorted(k for k, p in chances.items() if p >= least and (k.split(" ")[1][0] != "-" or k.split(" ")[1][2] == "+"))
-    key = lambda x: F.concat_ws(" ", x["kind"], x["votes"])
-    return F.filter(found, lambda x: x["base"] | (key(x).isin(taken) if taken else F.lit(False)))
+def features(x: Column) -> Column:
+    """Places of what the classifier reads: the span's shape and its context, each with its kind."""
+    text, left, digits = x["text"], x["left"], _digits(x)
+    read = {
+        "kind": F.lit(""),
+        "digits": F.least(F.length(digits), F.lit(24)).cast("string"),
+        "different": F.size(F.array_distinct(F.split(digits, ""))).cast("string"),
+        "first": F.substring(digits, 1, 2),
+        "length": F.floor(F.log2(F.length(text) + 1) * 2).cast("string"),
+        "marks": F.substring(F.regexp_replace(text, "[0-9A-Za-z]", ""), 1, 4),
+        "letters": F.concat(*[F.when(text.rlike(c), "1").otherwise("0") for c in ("[a-z]", "[A-Z]", "[0-9]")]),
+        "end": F.regexp_extract(F.lower(text), "([a-z]{1,4})[^a-z]*$", 1),
+        "before": F.substring(left, -1, 1),
+        "after": x["right"],
+        "word": F.regexp_extract(left, r"(\p{L}+)\P{L}*$", 1),
+    }
+    return F.array(*[F.pmod(F.xxhash64(x["kind"], F.lit(name), value), F.lit(FEATURES)).cast("int") for name, value in read.items()])
+
+
+def chance(places: Column, weights: list[float]) -> Column:
+    """The classifier's probability from a span's feature places."""
+    table_ = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")  # a constant, folded once
+    return 1 / (1 + F.exp(-F.aggregate(places, F.lit(0.0), lambda acc, k: acc + F.get(table_, k))))
+
+
+def learn(groups: DataFrame, soft: dict[tuple[str, str], float], steps: int = 24, rate: float = 0.4) -> list[float]:
+    """Weights of a logistic regression on soft labels by (kind, votes), from groups (kind, votes, features, count); Adam over whole passes.
+
+    Kinds count alike, and within a kind a group by the logarithm of how often it was seen and the square of how many labelers voted.
+    """
+    weights, first, second = [0.0] * FEATURES, [0.0] * FEATURES, [0.0] * FEATURES
+    label = F.coalesce(*[F.when((F.col("kind") == k) & (F.col("votes") == v), F.lit(float(y))) for (k, v), y in sorted(soft.items())], F.lit(0.0))
+    voted = F.length(F.regexp_replace("votes", "0", ""))
+    massed = saved(groups.select("kind", "features", label.alias("y"), (F.log1p("count") * voted * voted).alias("mass")), "pii-groups")
+    whole = {r["kind"]: r["mass"] for r in massed.groupBy("kind").agg(F.sum("mass").alias("mass")).collect()}  # one row a kind
+    share = F.col("mass") / F.coalesce(*[F.when(F.col("kind") == k, F.lit(float(v))) for k, v in sorted(whole.items())], F.lit(1.0))
+    for step in range(1, steps + 1):
+        off = (share * (chance(F.col("features"), weights) - F.col("y"))).alias("off")
+        slopes = {r["k"]: r["g"] for r in massed.select(F.explode("features").alias("k"), off).groupBy("k").agg(F.sum("off").alias("g")).collect()}  # FEATURES rows at most
+        now = rate * (1 - (step - 1) / steps)
+        for k, g in slopes.items():
+            g = round(g, 12) + 1e-4 * weights[k]  # sums in any order give one model
+            first[k] += 0.1 * (g - first[k])
+            second[k] += 0.01 * (g * g - second[k])
+            weights[k] -= now * (first[k] / (1 - 0.9**step)) / (math.sqrt(second[k] / (1 - 0.99**step)) + 1e-9)
+    return [round(w, 6) for w in weights]
+
+
+def fit(found: DataFrame) -> list[float]:
+    """The classifier's weights from a column `_found` of candidates."""
+    each = found.select(F.explode("_found").alias("x")).select("x.kind", "x.votes", "x.features")
+    groups = saved(each.groupBy("kind", "votes", "features").count(), "pii-seen")
+    counts: dict[str, dict[str, float]] = {}
+    for r in groups.groupBy("kind", "votes").agg(F.sum("count").alias("n")).collect():  # at most kinds * 3^4 rows
+        counts.setdefault(r["kind"], {})[r["votes"]] = float(r["n"])
+    soft = {(kind, p): y for kind, own in counts.items() for p, y in _posteriors(own).items()}
+    return learn(groups, soft) if soft else [0.0] * FEATURES
+
+
+def accepted(found: Column, weights: list[float], least: float = 0.5) -> Column:
+    """Base spans and the candidates that the classifier takes; of those that fail their own check only such as follow words that name their kind."""
+    named = lambda x: ~x["votes"].startswith("-") | (F.substring(x["votes"], 3, 1) == "+")
+    return F.filter(found, lambda x: x["base"] | (named(x) & (chance(x["features"], weights) >= least)))
 
 
 def of_kind(spans: Column, kind: str) -> Column:
@@ -237,18 +291,38 @@ def annotated(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), accepted(F.col("_found"), fit(found)).alias("_spans"))
 
 
+def _cut(text: Column) -> Callable[[Column, Column], Column]:
+    """(from, to) -> that part of a bound array of a text's blocks of CUT characters, in time of the part."""
+
+    def part(lo: Column, hi: Column) -> Column:
+        i, j = F.floor(lo / CUT).cast("int"), F.floor(hi / CUT).cast("int")
+        block = lambda k: F.coalesce(F.get(text, k), F.lit(""))
+        inner = F.array_join(F.slice(text, i + 2, F.greatest(j - i - 1, F.lit(0))), "")
+        return F.when(i == j, F.substring(block(i), lo - i * CUT + 1, hi - lo)).otherwise(F.concat(F.substring(block(i), lo - i * CUT + 1, F.lit(CUT)), inner, F.substring(block(j), F.lit(1), hi - j * CUT)))
+
+    return part
+
+
+def replaced(text: Column, spans: Column) -> Column:
+    """The text with every span replaced by its kind in brackets; overlapping spans together, by the first one's."""
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0))
+    ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
+
+    def made(b: Column, s: Column, ends: Column) -> Column:
+        part, n = _cut(b), F.size(s)
+        each = F.arrays_zip(s.alias("x"), F.slice(ends, 1, n).alias("upto"))
+        pieces = F.transform(F.filter(each, lambda e: e["x"]["start"] >= e["upto"]), lambda e: F.concat(part(e["upto"], e["x"]["start"]), F.lit("["), e["x"]["kind"], F.lit("]")))
+        last = F.get(ends, n)
+        return F.concat(F.array_join(pieces, ""), part(last, F.greatest(last, (F.size(b) - 1) * CUT + F.length(F.get(b, F.size(b) - 1)))))
+
+    with_ends = lambda b, s: bound(scanned(F.transform(s, lambda x: x["end"]), F.greatest), lambda ends: made(b, s, ends))
+    return F.when(F.size(spans) > 0, bound(blocks, lambda b: bound(ordered, lambda s: with_ends(b, s)))).otherwise(text)
+
+
 def redacted(docs: DataFrame) -> DataFrame:
-    """docs with every span replaced by its kind in brackets; overlapping spans by the first one's."""
-    found = docs.withColumn("_found", candidates(docs["text"]))
-    chances = fit(found.select("_found"))
-    spans = F.array_sort(F.transform(accepted(F.col("_found"), chances), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    text = F.col("text")
-
-    def replace(acc: Column, x: Column) -> Column:
-        piece = F.concat(F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit("["), x["kind"], F.lit("]"))
-        new = F.struct(x["end"].alias("at"), F.concat(acc["parts"], F.array(piece)).alias("parts"))
-        return F.when(x["start"] >= acc["at"], new).otherwise(F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["parts"].alias("parts")))
-
-    done = F.aggregate(spans, first, replace, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    return found.withColumn("text", F.when(F.size("_found") > 0, done).otherwise(text)).drop("_found")
+    """docs with every span replaced by its kind in brackets."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    found = saved(rows.withColumn("_found", candidates(F.col("row.text"))), "pii-documents")
+    weights = fit(found)
+    text = replaced(F.col("row.text"), accepted(F.col("_found"), weights))
+    return found.select(F.col("row").withField("text", F.when(F.size("_found") > 0, text).otherwise(F.col("row.text"))).alias("row")).select("row.*")
