@@ -89,13 +89,13 @@ def test_posteriors_follow_planted_reliabilities():
 
 
 def test_classifier_tells_held_out_spans_by_features(spark):
-    """Written in brackets they are numbers to call, with points parts; every second one has no word before it that a labeler knows."""
+    """Written in brackets they are numbers to call, with points parts; on every second one the labelers that could tell abstain."""
     rng = random.Random(6)
 
     def line(k):
         real, told = k % 2 == 0, k % 4 < 2
         a, b, c = rng.randrange(200, 999), rng.randrange(100, 999), rng.randrange(1000, 9999)
-        return ("phone" if real else "section") * told + "which" * (not told) + (f" ({a}) {b}-{c} " if real else f" {a}.{b}.{c} ")
+        return ("phone" if real else "section") * told + "which" * (not told) + (f" ({a}) {b}-{c} " if real else f" {a}.{b}.{c}" + "_" * told)
 
     rows = [(k, line(k)) for k in range(1200)]
     found = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", pii.candidates(F.col("text")).alias("_found"))
