@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -136,7 +137,26 @@ def test_top_k(spark):
         best = sorted(((-int(good[q] @ x), i) for i, x in good.items() if i != q))[:10]
         wanted += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
     assert sorted(map(tuple, topk.searched(table).collect())) == sorted(wanted)
-    vectors = topk.quantised(table)
+    vectors = topk.taking_part(table)
     blocked = topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), block=64, group=2)
     assert sorted(map(tuple, blocked.collect())) == sorted(wanted)
     assert topk.searched(table.limit(0)).count() == 0
+
+
+def test_top_k_of_any_finite_components(spark):
+    """Against Python's integers: great and mixed components, repeated ids, unequal lengths, empty vectors."""
+    rng = random.Random(3)
+    great = lambda: rng.choice([rng.gauss(0, 1), rng.gauss(0, 1e5), rng.gauss(0, 9e5), rng.choice([-1, 1]) * rng.random() * 2.0**rng.randrange(40)])
+    rows = [(k, [great() for _ in range(64)]) for k in range(330)] + [(1000 + k, [rng.gauss(0, 1) for _ in range(5)]) for k in range(101)] + [(2000, []), (2001, []), (2002, [])]
+    rows += [(3000, [1e9] * 3), (3001, [1e9, 1e9, 1e9 + 1]), (3002, [-1e9] * 3), (3003, [1e300, -1e308, 1.0]), (3004, [1e9, 1e9, 1e9 + 2]), (3100, [0.0] * 3), (4000, [1.7e308] * 2), (4001, [1.6e308] * 2), (4002, [-1.6e308] * 2)]
+    rows += [(7, rows[8][1]), (9, rows[9][1])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    of = [(i, [math.floor(Fraction(v) * 1024) for v in x]) for i, x in rows]
+    clamp = lambda s: max(-(2**63), min(2**63 - 1, s))
+    wanted = []
+    for i, q in ((i, q) for i, q in of if i % 100 == 0):
+        best = sorted({(-sum(a * b for a, b in zip(q, x)), j) for j, x in of if j != i and len(x) == len(q)})[:10]
+        wanted += [(i, n + 1, j, clamp(-s)) for n, (s, j) in enumerate(best)]
+    assert sorted(map(tuple, topk.searched(table).collect())) == sorted(wanted)
+    vectors = topk.taking_part(table)
+    assert sorted(map(tuple, topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), block=100, group=2).collect())) == sorted(wanted)

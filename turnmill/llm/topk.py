@@ -7,9 +7,13 @@ from below with the worst entries of the unread lists, from above with the last
 Reading stops once the vectors whose upper bound reaches the k-th best lower bound are few; their
 scores are resolved exactly, and a window over the blocks' results keeps k for each query.
 
-Left out: null ids, vectors that are null, empty or hold a null, non-finite or (for exact sums)
-greater component than 2^20, and pairs of different length.  Repeated ids are no candidates for
-themselves.  Ties go to the smaller id.
+Components are whole numbers floor(SCALE * x).  Bounds are doubles, of components scaled to at
+most 1, and leave room for rounding; scores are sums of whole numbers, of any size.  A score
+beyond 64 bits is ranked by its own value and given as the nearest long.
+
+Left out: null ids, vectors that are null or hold a null or non-finite component, and pairs of
+different length (empty vectors score 0 among themselves).  Rows of the query's id are no
+candidates for it; of repeated query ids the least vector asks.  Ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -22,13 +26,35 @@ from pyspark.sql import functions as F
 from .common import saved
 
 SCALE, BLOCK, GROUP = 1024, 8192, 1024
+_LONG = 2**63 - 1
+
+
+def taking_part(vectors: DataFrame) -> DataFrame:
+    """vec_id and x of those vectors that take part; floats stay floats."""
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    x = F.col("embedding") if kind == "array<float>" else F.col("embedding").cast("array<double>")
+    good = F.forall("x", lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False)))
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & good)
+
+
+def quantised(x: np.ndarray) -> np.ndarray:
+    """floor(SCALE * x) by SCALE, which a double holds whatever x is: from 2^42 on, x is a multiple of 1 / SCALE already."""
+    x = x.astype(np.float64)
+    small = np.abs(x) < 2.0**42
+    return np.where(small, np.floor(np.where(small, x, 0.0) * SCALE) / SCALE, x)
+
+
+def whole(x: np.ndarray) -> np.ndarray:
+    """Quantised components as Python integers."""
+    return np.array([int(v * SCALE) if abs(v) < 2.0**1000 else int(v) * SCALE for v in x.ravel().tolist()], object).reshape(x.shape)
 
 
-def quantised(vectors: DataFrame) -> DataFrame:
-    """vec_id and its components as floor(SCALE * x), of those vectors that take part."""
-    whole = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x"))
-    good = F.forall("x", lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) <= 2.0**20), F.lit(False)))
-    return whole.where(F.col("vec_id").isNotNull() & (F.size("x") > 0) & good).select("vec_id", F.transform("x", lambda v: F.floor(v * SCALE).cast("int")).alias("x"))
+def exact_scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products of quantised vectors with a quantised query, as whole numbers."""
+    most = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * SCALE * SCALE * max(1, len(q))
+    if most < 2.0**62:
+        return (x * SCALE).astype(np.int64) @ (q * SCALE).astype(np.int64)
+    return (whole(x) * whole(q)).sum(1) if len(q) else np.zeros(len(x), np.int64)
 
 
 class Block:
@@ -36,19 +62,22 @@ class Block:
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.x = ids[order], x[order].astype(np.float64)  # exact: sums of products stay below 2^53
-        self.rising = np.argsort(self.x, axis=0, kind="stable").T.copy()  # a list for each component
-        self.sorted = np.take_along_axis(self.x, self.rising.T, 0).T.copy()
+        self.ids, self.exact = ids[order], quantised(x[order])
+        self.unit = 2.0 ** -np.frexp(np.abs(self.exact).max(initial=0.0))[1] if self.exact.any() else 1.0
+        scaled = self.exact * self.unit  # at most 1, and exact but for what is too small to matter
+        self.rising = np.argsort(scaled, axis=0, kind="stable").T.copy()  # a list for each component
+        self.sorted = np.take_along_axis(scaled, self.rising.T, 0).T.copy()
 
     def top(self, query_id: int, q: np.ndarray, k: int, few: int = 64) -> tuple[np.ndarray, np.ndarray]:
-        """The k best ids other than the query's, and their scores; fewer in a small block."""
+        """The k best ids other than the query's, and their scores (whole numbers); fewer in a small block.  q is quantised."""
         n = len(self.ids)
         used = np.flatnonzero(q)
-        w = q[used].astype(np.float64)
+        w = q[used] * (2.0 ** -np.frexp(np.abs(q).max())[1]) if len(used) else np.empty(0)
         up = w > 0
         # a list's worst entry stands at the end that is read last
-        worst = w * np.where(up, self.sorted[used, 0], self.sorted[used, -1])
-        low, gained = worst.sum(), np.zeros(n)
+        worst = w * np.where(up, self.sorted[used, 0], self.sorted[used, -1]) if n else w
+        rounding = 1e-9 * float(np.abs(w).sum()) + 1e-300  # components are at most 1, so this is far more than what sums lose
+        gained = np.zeros(n)
         unread = np.ones((len(used), n), np.float32)
         alive, others = np.arange(n), self.ids != query_id
         depth, step = 0, max(64, n // 5)
@@ -64,42 +93,46 @@ class Block:
             depth = upto
             gap = frontier - worst
             # single precision, and so much more than its error
-            room = gap.astype(np.float32) @ unread + np.float32(1 + 1e-4 * gap.sum())
+            room = gap.astype(np.float32) @ unread + (1e-4 * gap.sum() + rounding)
             mine = gained[others]
-            least = np.partition(mine, len(mine) - k)[len(mine) - k] if len(mine) >= k else -np.inf
+            least = np.partition(mine, len(mine) - k)[len(mine) - k] - rounding if len(mine) >= k else -np.inf
             alive = np.flatnonzero((gained + room >= least) & others)
         alive = alive[others[alive]]
-        scores = (self.x[alive] @ q.astype(np.float64)).astype(np.int64)
-        best = np.lexsort((self.ids[alive], -scores))[:k]
+        scores = exact_scores(self.exact[alive], q)
+        best = sorted(range(len(alive)), key=lambda j: (-int(scores[j]), self.ids[alive[j]]))[:k]
         return self.ids[alive][best], scores[best]
 
 
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOCK, group: int = GROUP) -> DataFrame:
-    """query_id, rank, vec_id, score for each query (both tables: vec_id, x as from `quantised`)."""
+    """query_id, rank, vec_id, score for each query (both tables: vec_id, x as from `taking_part`)."""
     n_blocks, n_groups = max(1, -(-candidates.count() // block)), max(1, -(-queries.count() // group))
     part = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     left = candidates.select("vec_id", "x", F.size("x").alias("_dims"), part(n_blocks).alias("_block"), F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("_group"))
     right = queries.select("vec_id", "x", F.size("x").alias("_dims"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("_block"), part(n_groups).alias("_group"))
 
     def search(mine: pa.Table, asked: pa.Table) -> pa.Table:
-        found = {"query_id": [], "vec_id": [], "score": []}
+        found = {"query_id": [], "vec_id": [], "score": [], "high": []}
         if mine.num_rows and asked.num_rows:
-            matrix = lambda t: t.column("x").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+            dims = mine.column("_dims")[0].as_py()
+            matrix = lambda t: t.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, dims)
             here = Block(mine.column("vec_id").to_numpy(), matrix(mine))
-            for query_id, q in zip(asked.column("vec_id").to_pylist(), matrix(asked), strict=True):
+            for query_id, q in zip(asked.column("vec_id").to_pylist(), quantised(matrix(asked)), strict=True):
                 ids, scores = here.top(query_id, q, k)
-                found["query_id"].append(np.full(len(ids), query_id))
-                found["vec_id"].append(ids)
-                found["score"].append(scores)
-        return pa.table({c: pa.array(np.concatenate(v) if v else np.empty(0), pa.int64()) for c, v in found.items()})
+                found["query_id"] += [query_id] * len(ids)
+                found["vec_id"] += ids.tolist()
+                found["score"] += [max(-_LONG - 1, min(_LONG, int(s))) for s in scores]
+                # the whole score as text that sorts as the number does, where 64 bits don't hold it
+                found["high"] += [None if abs(int(s)) <= _LONG else ("+" if s > 0 else "-") + f"{int(s) if s > 0 else 10**700 + int(s):0700d}" for s in scores]
+        return pa.table({c: pa.array(v, pa.string() if c == "high" else pa.int64()) for c, v in found.items()})
 
     keys = ("_dims", "_block", "_group")
-    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score long, high string")
+    best = (F.desc("score"), F.desc_nulls_last("high"), F.asc("vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*best))
     return near.distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def searched(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     """Top k of all vectors for those whose id is divisible by `every`."""
-    ready = saved(quantised(vectors), "vectors")
-    return top_k(ready, ready.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]), k)
+    ready = saved(taking_part(vectors), "vectors")
+    return top_k(ready, ready.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("x").alias("x")), k)
