@@ -3,8 +3,9 @@
 `pieces` encodes whole texts and cuts those over the capacity.  `solve` packs a histogram of
 lengths (at most `capacity` numbers, whatever the corpus): multiplicative weights price the
 lengths, an unbounded-knapsack dynamic program finds the sequence of greatest price, whole
-numbers of those sequences are taken, and best-fit decreasing places the rest.  `pack` gives
-every piece its place: the n-th piece of a length takes the plan's n-th place for that length.
+numbers of those sequences are taken, and best-fit decreasing places the rest (see `solve`).
+`pack` gives every piece its place: the n-th piece of a length takes the plan's n-th place for
+that length.
 
 A null text is empty: it has the end id alone.  Repeated rows are packed each for itself.
 """
@@ -127,33 +128,102 @@ def fill_up(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tupl
     return [(pattern, many) for groups in room.values() for pattern, many in groups]
 
 
-def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, rounds: int = 480, rate: float = 0.5) -> list[tuple[tuple[int, ...], int]]:
-    """Sequences for a histogram: (lengths in a sequence, how many such sequences); every piece has exactly one place."""
-    lengths, counts = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
-    if not len(lengths):
-        return []
-    price = lengths / capacity
+def first_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """First-fit decreasing over a histogram; like sequences that were begun one after the other are one group."""
+    groups: list[tuple[tuple[int, ...], int]] = []
+    spaces = np.empty(0, np.int64)
+    for k in np.argsort(-lengths):
+        length, left, at = int(lengths[k]), int(counts[k]), 0
+        while left:
+            fits = np.flatnonzero(spaces[at:] >= length)
+            if not len(fits):
+                each = capacity // length
+                new = [((length,) * each, left // each)] * (left >= each) + [((length,) * (left % each), 1)] * (left % each > 0)
+                groups += new
+                spaces = np.append(spaces, [capacity - sum(p) for p, _ in new])
+                break
+            at += int(fits[0])
+            pattern, many = groups[at]
+            each = int(spaces[at]) // length
+            full = min(many, left // each)
+            left -= full * each
+            part = left if full < many and left < each else 0
+            left -= part
+            split = [(pattern + (length,) * each, full)] * (full > 0) + [(pattern + (length,) * part, 1)] * (part > 0) + [(pattern, many - full - (part > 0))] * (many > full + (part > 0))
+            groups[at : at + 1] = split
+            spaces = np.concatenate([spaces[:at], [capacity - sum(p) for p, _ in split], spaces[at + 1 :]]).astype(np.int64)
+            at += len(split)
+    return groups
+
+
+def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int, rate: float) -> tuple[dict[bytes, float], float]:
+    """Sequences with how often a fractional solution takes them, and a lower bound of any packing's number of sequences.
+
+    Multiplicative weights over the lengths' demands.  Prices are feasible for the dual once divided by the price
+    of the dearest sequence, so each round's prices bound the number from below.
+    """
+    price, bound = lengths / capacity, float(lengths @ counts) / capacity
     amount: dict[bytes, float] = {}
     for _ in range(rounds):
         taken = best_sequence(lengths, price, counts, capacity)
         used = np.flatnonzero(taken)
+        worth = float(price @ taken)
+        if (taken < counts).all() and worth > 0:  # else the counts kept the sequence from being the dearest one
+            bound = max(bound, float(price @ counts) / worth)
         step = float((counts[used] / taken[used]).min())
         amount[taken.tobytes()] = amount.get(taken.tobytes(), 0.0) + step
         price[used] *= np.exp(-rate * step * taken[used] / counts[used])
-    # the fractional solution covers a length `cover` times at most; scaled by that, its whole part is never too much
+    # a length is covered `cover` times; scaled by the greatest cover of a sequence's lengths, its whole part is never too much
     cover = sum(np.frombuffer(k, np.int64) * v for k, v in amount.items()) / counts
-    left, out = counts.copy(), []
-    by_fill = sorted(amount.items(), key=lambda kv: (-int(np.frombuffer(kv[0], np.int64) @ lengths), kv[0]))
-    for key, value in by_fill:
+    return {k: v / max(1.0, float(cover[np.frombuffer(k, np.int64) > 0].min())) for k, v in amount.items()}, bound
+
+
+def rounded(lengths: np.ndarray, left: np.ndarray, amount: dict[bytes, float], least_fill: float) -> tuple[list[tuple[tuple[int, ...], int]], np.ndarray]:
+    """Whole numbers of the fractional solution's sequences that are filled to `least_fill`, and what is left of the counts."""
+    out = []
+    for key, value in sorted(amount.items(), key=lambda kv: (-int(np.frombuffer(kv[0], np.int64) @ lengths), kv[0])):
         taken = np.frombuffer(key, np.int64)
         used = np.flatnonzero(taken)
-        if taken @ lengths < 0.97 * capacity:
+        if taken @ lengths < least_fill:
             continue
-        many = int(min(value / max(1.0, float(cover[used].min())), (left[used] // taken[used]).min()))
+        many = int(min(value, (left[used] // taken[used]).min()))
         if many > 0:
             left = left - many * taken
             out.append((tuple(np.repeat(lengths, taken)[::-1].tolist()), many))
-    return out + fill_up(lengths[left > 0], left[left > 0], capacity)
+    return out, left
+
+
+def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, rounds: int = 160, rate: float = 0.5) -> list[tuple[tuple[int, ...], int]]:
+    """Sequences for a histogram: (lengths in a sequence, how many such sequences); every piece has exactly one place.
+
+    The program is solved and rounded, and solved again for what is left as long as that takes half of it or more; best-fit
+    or first-fit decreasing places the rest.  Sequences count as full from several fills on, and the least number of
+    sequences wins.  Should one of the two heuristics alone need fewer, it is taken: no packing is worse than theirs.
+    """
+    lengths, counts = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
+    if not len(lengths):
+        return []
+    size = lambda sequences: sum(many for _, many in sequences)
+    amount, bound = fractional(lengths, counts, capacity, rounds, rate)
+    lower = int(np.ceil(bound - 1e-6))
+    best: list[tuple[tuple[int, ...], int]] = []
+    for fill in (1.0, 0.998, 0.99, 0.97):
+        taken, left = rounded(lengths, counts, amount, fill * capacity)
+        for again in (4, 8):
+            rest = left > 0
+            if not rest.any() or left.sum() * 2 > counts.sum() or (best and size(best) == lower):
+                break
+            more, _ = fractional(lengths[rest], left[rest], capacity, max(1, rounds // again), rate)
+            found, after = rounded(lengths[rest], left[rest], more, fill * capacity)
+            taken, left = taken + found, left.copy()
+            left[rest] = after
+        for place in (fill_up, first_fit):
+            whole = taken + place(lengths[left > 0], left[left > 0], capacity)
+            if not best or size(whole) < size(best):
+                best = whole
+        if size(best) == lower:
+            return best
+    return min((best, fill_up(lengths, counts, capacity), first_fit(lengths, counts, capacity)), key=size)
 
 
 class Plan:
