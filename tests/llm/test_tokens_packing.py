@@ -7,9 +7,11 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pytest
 from tokenizers import Tokenizer
 
-from turnmill.llm import packing, wavelet
+from turnmill.llm import packing, tokens, wavelet
 
 
 def _ids(name, text):
@@ -82,15 +84,57 @@ def test_packing_against_the_library(docs, rows, empty):
     assert packing.pack(packing.pieces(empty, tokenizer)).count() == 0
 
 
-def test_solve_places_every_piece_once():
+def _best_fit(lengths):
+    """Sequences that best-fit decreasing needs."""
+    room = []
+    for n in sorted(lengths, reverse=True):
+        space, k = min(((x, k) for k, x in enumerate(room) if x >= n), default=(None, None))
+        if k is None:
+            room.append(2048 - n)
+        else:
+            room[k] = space - n
+    return len(room)
+
+
+def _histograms():
     rng = np.random.default_rng(2)
-    lengths = np.unique(rng.integers(1, 2049, 300))
-    counts = rng.integers(1, 50, len(lengths))
+    yield np.unique(rng.integers(1, 2049, 300)), 50
+    yield np.unique(rng.integers(700, 1400, 120)), 9
+    yield np.unique(rng.lognormal(5.5, 1, 1500).astype(int).clip(1, 2048)), 5
+    yield np.array([683, 684, 600, 300, 2048, 1025]), 70
+    yield np.array([2048]), 3
+    yield np.array([1]), 5000
+
+
+@pytest.mark.parametrize("k", range(6))
+def test_solve_places_every_piece_once_and_is_no_worse_than_heuristics(k):
+    lengths, most = [*_histograms()][k]
+    counts = np.random.default_rng(k).integers(1, most + 1, len(lengths))
     placed, used = np.zeros(2049, int), 0
     for pattern, many in packing.solve(lengths, counts):
         assert sum(pattern) <= 2048
         np.add.at(placed, list(pattern), many)
         used += many
     assert (placed[lengths] == counts).all()
-    # on evenly spread lengths the rounded program needs a few sequences in a hundred more than first-fit decreasing (README)
-    assert used <= 1.03 * _first_fit(np.repeat(lengths, counts).tolist())
+    every = np.repeat(lengths, counts).tolist()
+    assert _first_fit(every) == sum(n for _, n in packing.first_fit(lengths, counts, 2048))
+    assert packing.fractional(lengths, counts, 2048, 40, 0.5)[1] - 1e-6 <= used <= min(_first_fit(every), _best_fit(every))
+
+
+def _odd_texts(n):
+    rng = random.Random(11)
+    words = ["the", "Cat", "DENİZLİ", "İ", "naïve", "o\u0308", "\u0301a", "ﬁn", "Ωmega", "straße", "日本", "ру", "don't", "I'LL", "42", "x_1", "🙂", "\u0345", "ǅ", "K", "\u00aa\u00ba"]
+    marks = [",", ".", "!?", "...", ";", ":", "", "", "", "'s", "-", "\u0327", "\u0307,"]
+    between = [" ", " ", " ", " ", "  ", "\t", "\n", " \n", "\u0085", "\u00a0", "\u2003", "\x1c", "\x0b", "", "\r\n"]
+    special = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "|>"]
+    return ["".join(rng.choice(special if rng.random() < 0.05 else words) + rng.choice(marks) + rng.choice(between) for _ in range(rng.randrange(8))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_are_the_librarys(name):
+    path, texts = public_tokenizers.path(name), _odd_texts(10_000)
+    ids, counts = tokens.Encoder(path, max_words=2000).encode(pa.array([*texts, None], pa.string()))
+    parts = np.split(ids, np.cumsum(counts)[:-1])
+    wanted = Tokenizer.from_file(path).encode_batch([*texts, ""], add_special_tokens=False)
+    for text, mine, theirs in zip([*texts, None], parts, wanted, strict=True):
+        assert mine.tolist() == theirs.ids, repr(text)

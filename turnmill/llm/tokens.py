@@ -4,8 +4,10 @@ A byte-pair tokenizer first cuts a text into pieces and then encodes every piece
 so equal pieces have equal ids wherever they stand.  `Encoder` cuts texts at single
 spaces (where both tokenizers used here also cut), finds the distinct words of a batch
 with Arrow, cuts words it hasn't met into pieces, has the `tokenizers` library's model
-encode new pieces, and gathers the ids of the texts with numpy.  A text in which a run of white space would be cut apart goes to
-the library whole, so the ids are always those of the library for the whole text.
+encode new pieces, and gathers the ids of the texts with numpy.  Whatever this isn't proven for
+goes to the library: texts in which a run of white space would be cut apart and texts that hold a
+special token's string as wholes, words with letters beyond U+024F or rare white space as words.
+So the ids are always those that the library, as loaded, gives for the whole text.
 """
 
 from __future__ import annotations
@@ -18,6 +20,11 @@ import pyarrow.compute as pc
 
 #: White space of any kind next to a space that is followed by white space or by the end.
 _UNSAFE = r"[\s\x0b\x1c-\x1f\x85\p{Z}] (?:[\s\x0b\x1c-\x1f\x85\p{Z}]|$)"
+#: Letters up to U+024F, but for U+0130, whose lower case ends in a combining mark; and a word of them with marks after it.
+_LETTERS = r"[A-Za-z\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}]+"
+_MARKED = rf"^{_LETTERS}[.,;:!?]+$"
+#: Characters that the two libraries' patterns might class apart, and U+0130.
+_ODD = frozenset("\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u0130")
 
 
 def runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -51,7 +58,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.model, self.normalizer = self.library.model, self.library.normalizer
         with open(path, encoding="utf-8") as f:
             cut = json.load(f)["pre_tokenizer"]
@@ -90,11 +97,15 @@ class Encoder:
                 if normalize:
                     word = word.lower()
                 bare = word[1:] if self.spaced and word[:1] == " " else word
+                if not _ODD.isdisjoint(word):
+                    flat += self._whole(word)
+                    lengths.append(len(flat) - before)
+                    continue
                 if bare.isalpha():  # one piece
                     flat += [t.id for t in tokenize("\u0120" + bare if bare is not word else word)]
                     lengths.append(len(flat) - before)
                     continue
-            elif max(word) > "\u024f":
+            elif max(word) > "\u024f" or not _ODD.isdisjoint(word):
                 flat += self._whole(word)
                 lengths.append(len(flat) - before)
                 continue
@@ -119,9 +130,9 @@ class Encoder:
 
     def _halves(self, words: pa.Array, prefix: str) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of each word's letters and of the marks after them; a word of another kind is all in the first."""
-        plain = pc.match_substring_regex(words, r"^\p{L}+[.,;:!?]+$")
+        plain = pc.match_substring_regex(words, _MARKED)
         stems = pc.if_else(plain, pc.utf8_rtrim(words, ".,;:!?"), words).dictionary_encode()
-        marks = pc.if_else(plain, pc.replace_substring_regex(words, r"^\p{L}+", ""), "").dictionary_encode()
+        marks = pc.if_else(plain, pc.replace_substring_regex(words, f"^{_LETTERS}", ""), "").dictionary_encode()
         return (self._at(stems.dictionary, prefix)[stems.indices.to_numpy()], self._at(marks.dictionary)[marks.indices.to_numpy()])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -130,6 +141,8 @@ class Encoder:
         if not len(texts):
             return np.empty(0, np.uint16), np.empty(0, np.int64)
         whole = np.asarray(pc.match_substring_regex(texts, _UNSAFE).to_numpy(zero_copy_only=False), bool)
+        for token in self.special:
+            whole |= np.asarray(pc.match_substring(texts, token, ignore_case=True).to_numpy(zero_copy_only=False), bool)
         safe = pc.if_else(pa.array(whole), "", texts) if whole.any() else texts
         cut = pc.split_pattern(safe, " ")
         per_text = np.diff(cut.offsets.to_numpy())
