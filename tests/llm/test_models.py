@@ -77,11 +77,35 @@ def test_unseen_misspelling_and_edges():
     assert one_class.scores(pa.array(["a"]))[0] < 1e-6
 
 
+def test_scores_against_plain_bags():
+    """One word and one n-gram at a time, from the trained table."""
+    model = toxicity.train(pa.array(["good words here", "awful words there"] * 20), np.array([0, 1] * 20), epochs=2)
+
+    def logit(text):
+        words = ["".join(c.lower() if "A" <= c <= "Z" else c for c in w).lower().strip(toxicity._STRIPPED) for w in (text or "").split()]
+        total = 0.0
+        for w in words:
+            rows = [int(toxicity.pd.util.hash_array(np.array([w], dtype=object), categorize=False)[0]) % toxicity.BUCKETS]
+            marked = f"<{w}>"
+            for n in range(toxicity.SHORTEST, toxicity.LONGEST + 1):
+                for k in range(len(marked) - n + 1):
+                    rolled = 0
+                    for c in marked[k : k + n]:
+                        rolled = (rolled * int(toxicity._PRIME) + ord(c)) % 2**64 if rolled else ord(c)
+                    rows.append(int(toxicity.mix(np.array([(rolled + n) % 2**64], np.uint64))[0]) % toxicity.BUCKETS)
+            total += sum(float(model.table[r]) for r in rows) / len(rows)
+        return model.bias + total / max(1, len(words))
+
+    texts = ["good awful", "Awful, WORDS! (there)", "", None, "a", "  naïve café " * 30, "x" * 500, "... !!"]
+    assert np.allclose(model.scores(pa.array(texts, pa.string())), [1 / (1 + math.exp(-logit(t))) for t in texts], atol=1e-6)
+
+
 def test_toxicity_of_odd_rows(spark, docs, rows, empty):
     labels = spark.createDataFrame([(k, 0, k % 2) for k in range(40)] + [(None, 0, 1), (3, 0, None), (2, 0, 0), (9999, 0, 1)], "doc_id long, quality int, toxic int")
     model = toxicity.fit(docs, labels)
     found = toxicity.scored(docs, model).collect()
-    assert len(found) == len(rows) and all(0 <= r["_score"] <= 1 and r["_predicted"] == (r["_score"] >= 0.3) for r in found)
+    assert len(found) == len(rows) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in found)
+    assert sorted(map(str, (tuple(r["row"]) for r in found))) == sorted(map(str, rows))
     assert toxicity.scored(empty, toxicity.fit(empty, labels)).count() == 0
 
 

@@ -1,4 +1,4 @@
-"""Tables in the cluster's shared folder, and texts that no column name can clash with."""
+"""Tables in the cluster's shared folder, and rows as structs that no column name can clash with."""
 
 from __future__ import annotations
 
@@ -13,9 +13,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of this machine's own only where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir; where that is unset, one of this machine's own, if driver and executors are this machine (local mode)."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="turnmill-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -44,6 +46,6 @@ def cores(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 
 
-def named(df: DataFrame) -> str:
-    """The columns and types of a table, as a schema string."""
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+def row_of(df: DataFrame) -> Column:
+    """All columns in one struct: beside it no name of an operator's own can clash with theirs."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])

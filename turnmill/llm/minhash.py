@@ -18,8 +18,11 @@ what they differ in from the hub (`_around_hubs`), so no link between components
 work stays in proportion to the group's size.
 
 Nulls and ties: a null text is empty; a document without words is linked with nothing.  A
-null doc_id is in no link, has component null and stays.  Rows with equal doc_id and equal
-text are in one class.  Other columns of the input are carried along unseen.
+null doc_id is in no link, has component null and stays.  Classes are named by their sets, so
+rows of one doc_id with different texts keep all their links; in `near_duplicates` such rows
+share a component, as they share the id, in `one_of_each` each text is in its own group.  Of rows
+equal in doc_id and text `one_of_each` keeps one, of those that differ in other columns the one
+of least hash.  Other columns of the input are carried along unseen.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, text_of
+from .common import row_of, saved, text_of
 from .components import components
 from .shingles import shingle_sets
 
@@ -61,31 +64,30 @@ def _signed(hashes: list[np.ndarray]) -> pa.Array:
 
 
 def sketches(docs: DataFrame, width: int, k: int, rows_at_once: int = 2000) -> DataFrame:
-    """doc_id, n_shingles, digest (of the whole set) and sketch (the k least hashes)."""
+    """doc_id, mark (a hash of the text), n_shingles, digest (of the whole set) and sketch (the k least hashes)."""
 
     def make(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, rows_at_once):
                 rows = batch.slice(at, rows_at_once)
                 sets = shingle_sets(rows.column("text"), width)
-                yield pa.RecordBatch.from_pydict({"doc_id": rows.column("doc_id"), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "digest": [_digest(s) for s in sets], "sketch": _signed([s[:k] for s in sets])})
+                yield pa.RecordBatch.from_pydict({"doc_id": rows.column("doc_id"), "mark": rows.column("mark"), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "digest": [_digest(s) for s in sets], "sketch": _signed([s[:k] for s in sets])})
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    return source.mapInArrow(make, "doc_id long, n_shingles long, digest string, sketch array<long>")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), text_of(docs).alias("text"))
+    return source.mapInArrow(make, "doc_id long, mark long, n_shingles long, digest string, sketch array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """node and full set of the documents that stand for the wanted classes (column node)."""
+    """digest and full set of the documents whose ids stand for the wanted classes (column doc_id)."""
 
     def make(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
-                rows = batch.slice(at, 2000)
-                sets = shingle_sets(rows.column("text"), width)
-                yield pa.RecordBatch.from_pydict({"node": rows.column("doc_id"), "digest": [_digest(s) for s in sets], "hashes": _signed(sets)})
+                sets = shingle_sets(batch.slice(at, 2000).column("text"), width)
+                yield pa.RecordBatch.from_pydict({"digest": [_digest(s) for s in sets], "hashes": _signed(sets)})
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text")).join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    return source.mapInArrow(make, "node long, digest string, hashes array<long>")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text")).join(wanted, "doc_id", "left_semi")
+    return source.select("text").mapInArrow(make, "digest string, hashes array<long>")
 
 
 class _Links:
@@ -96,9 +98,10 @@ class _Links:
         self.least = least_shared(k, percent)
 
     def sets(self, wanted: DataFrame) -> DataFrame:
-        """node, hashes of the wanted classes: the document named by each, with the class's own set."""
-        own = self.classes.select("node", "digest").join(wanted, "node", "left_semi")
-        return saved(_sets(self.docs, wanted, self.width).join(own, ["node", "digest"], "left_semi").dropDuplicates(["node"]).select("node", "hashes"), "sets")
+        """node, hashes of the wanted classes (column node), from documents that hold their sets."""
+        own = self.classes.select("node", "digest", "doc_id").join(wanted, "node", "left_semi")
+        # a doc_id may have texts of other sets too, and rows may repeat: the digest tells, and one row a class is kept
+        return saved(_sets(self.docs, own.select("doc_id"), self.width).join(own.select("node", "digest"), "digest").dropDuplicates(["node"]).select("node", "hashes"), "sets")
 
     def estimated(self, pairs: DataFrame) -> DataFrame:
         """a, b, whole of the pairs whose union's sketch allows a link; `whole`: both sets are in their sketches and the link is sure."""
@@ -180,10 +183,11 @@ def _around_hubs(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return saved(spokes.union(others), "spokes")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int = 64, long_list: int = 24) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id that can be reached) and kept, for every row of docs."""
+def _grouped(docs: DataFrame, width: int, percent: int, k: int, long_list: int) -> tuple[DataFrame, DataFrame]:
+    """The sketches without their values, and digest, root for every class; classes of one root can be reached from one another."""
     found = saved(sketches(docs, width, k), "sketches")
-    classes = saved(found.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.any_value("n_shingles").alias("n"), F.any_value("sketch").alias("sketch")), "classes")
+    counted = found.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.any_value("n_shingles").alias("n"), F.any_value("sketch").alias("sketch"))
+    classes = saved(counted.withColumn("node", F.monotonically_increasing_id()), "classes")  # written, so a node keeps its number
     links = _Links(docs, classes, width, k, percent)
     needed = F.ceil(F.col("n") * percent / 100).cast("long")
     # of m retained values, all but least_shared - 1 are listed, less those that no other class holds
@@ -198,9 +202,37 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
         lists = saved(_prefixed(full, 1 - needed, long_list), "lists")
         short = links.exact(_pairs(lists.where("not long"), percent), sets)
         known = saved(known.union(short).union(_around_hubs(lists.where("long"), sets, percent)), "known")
-    roots = components(known)
-    by_class = classes.select("digest", "node").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("_root"))
-    joined = found.drop("sketch").join(by_class, "digest", "left")
-    component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("_root"))).otherwise(F.col("doc_id"))
-    out = joined.select("doc_id", "n_shingles", component.alias("component_id"))
+    by_class = classes.select("digest", "node").join(components(known), "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
+    return found.drop("sketch"), by_class
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int = 64, long_list: int = 24) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least doc_id that can be reached) and kept, for every row of docs."""
+    found, by_class = _grouped(docs, width, percent, k, long_list)
+    ids = found.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id", "digest").agg(F.lit(1).alias("_one")).join(by_class, "digest").select("doc_id", "root")
+    least = ids.groupBy("root").agg(F.min("doc_id").alias("least"))
+    per_id = saved(ids.join(least, "root").groupBy("doc_id").agg(F.min("least").alias("least"), F.max("least").alias("other")), "ids")
+    several = per_id.where("least <> other").select(F.col("least").alias("a"), F.col("other").alias("b"))
+    if several.limit(1).count():  # ids with texts in several components join these
+        every = ids.join(least, "root").select("doc_id", F.col("least").alias("b")).join(per_id.where("least <> other").select("doc_id", F.col("least").alias("a")), "doc_id")
+        moved = components(every.select("a", "b")).select(F.col("node").alias("least"), "root")
+        per_id = per_id.join(moved, "least", "left").select("doc_id", F.coalesce("root", "least").alias("least"))
+    out = found.join(per_id.select("doc_id", "least"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, k: int = 64, long_list: int = 24) -> DataFrame:
+    """docs without near copies: of each group of linked texts the row of least doc_id, of equal ids that of least text hash."""
+    found, by_class = _grouped(docs, width, percent, k, long_list)
+    linked = found.where("n_shingles > 0 and doc_id is not null")
+    by_digest = linked.groupBy("digest").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
+    firsts = by_digest.join(by_class, "digest").groupBy("root").agg(F.min("first").alias("first")).select("first.*")
+    times = saved(linked.groupBy("doc_id", "mark").count(), "times")
+    gone = saved(times.select("doc_id", "mark").join(firsts, ["doc_id", "mark"], "left_anti"), "gone")
+    rows = docs.select(row_of(docs).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"))
+    once = rows.join(gone, ["doc_id", "mark"], "left_anti")
+    repeated = times.where("count > 1").select("doc_id", "mark").join(gone, ["doc_id", "mark"], "left_anti")
+    if repeated.limit(1).count():
+        single = once.join(repeated, ["doc_id", "mark"], "left_semi").groupBy("doc_id", "mark").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+        once = once.join(repeated, ["doc_id", "mark"], "left_anti").select("row").union(single.select("row"))
+    return once.select("row.*")

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, saved
+from .common import WORD, row_of, saved
 
 #: Up to so many sources are broadcast (a few hundred bytes each); more are joined by shuffle.
 MAX_BROADCAST_SOURCES = 10_000
@@ -94,6 +94,7 @@ def emitted(docs: DataFrame, **settings) -> DataFrame:
     """The documents as the mix takes them: each as often as it has copies, with the columns of docs."""
     sized = saved(docs.select("source", words(docs["text"]).alias("size"), mark(docs).alias("_mark")), "sized")
     rate = rates(sized, **settings).drop("source_size", "target")
-    joined = _near(docs.withColumn("_mark", mark(docs)), rate, docs["source"].eqNullSafe(rate["_source"]))
+    rows = docs.select(row_of(docs).alias("row"), F.col("source").alias("_of"), mark(docs).alias("_mark"))
+    joined = _near(rows, rate, F.col("_of").eqNullSafe(F.col("_source")))
     copies = F.coalesce(F.col("_whole") + drawn(F.col("_seed"), F.col("_fraction")), F.lit(0))
-    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*[docs[c] for c in docs.columns])
+    return joined.select("row", F.explode(F.array_repeat(F.lit(1), copies.cast("int"))).alias("_copy")).select("row.*")

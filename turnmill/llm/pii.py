@@ -31,7 +31,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import row_of, saved
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 #: Places of the classifier's weights; a feature's place is a hash of its kind, name and value.
@@ -323,7 +323,7 @@ def replaced(text: Column, spans: Column) -> Column:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with every span replaced by its kind in brackets."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = docs.select(row_of(docs).alias("row"))
     found = saved(rows.withColumn("_found", candidates(F.col("row.text"))), "pii-documents")
     weights = fit(found)
     text = replaced(F.col("row.text"), accepted(F.col("_found"), weights))

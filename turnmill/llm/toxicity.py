@@ -25,8 +25,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import named, text_of
+from .common import row_of, text_of
 from .shingles import mix, words_of
 
 BUCKETS, DIM, SHORTEST, LONGEST = 1 << 17, 4, 3, 6
@@ -173,12 +174,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_documents: int = MAX_DOCUMENTS)
 
 
 def scored(docs: DataFrame, model: Model, rows_at_once: int = 1000) -> DataFrame:
-    """docs and score (0 to 1), predicted (1 from THRESHOLD on)."""
+    """row (all columns of docs), score (0 to 1) and predicted (1 from THRESHOLD on)."""
+
     def add(batches):
         for batch in batches:
             for k in range(0, batch.num_rows, rows_at_once):
-                part = batch.slice(k, rows_at_once)
-                score = model.scores(part.column("text"))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score, pa.float64()), pa.array((score >= THRESHOLD).astype(np.int32))], names=[*part.schema.names, "_score", "_predicted"])
+                part = batch.column("row").slice(k, rows_at_once)
+                score = model.scores(pc.struct_field(part, "text"))
+                yield pa.RecordBatch.from_pydict({"row": part, "score": pa.array(score, pa.float64()), "predicted": pa.array((score >= THRESHOLD).astype(np.int32))})
 
-    return docs.mapInArrow(add, named(docs) + ", _score double, _predicted int")
+    rows = docs.select(row_of(docs).alias("row"))
+    return rows.mapInArrow(add, StructType([*rows.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())]))
