@@ -4,8 +4,9 @@ Each stage takes (spark, docs, sf_dir), works on all rows that the stage before
 returns a DataFrame; all but the last return the columns of `documents`.
 
 Nulls: a null text is never toxic, is linked with nothing and stays as it is; a null doc_id is
-linked with nothing.  Rows that repeat a doc_id leave the duplicate stage once.  An empty
-table goes through every stage.
+linked with nothing.  Rows equal in doc_id and text leave the duplicate stage once; rows of one
+doc_id with different texts are judged each by its text.  Columns of any name go through every
+stage but the last, and so does an empty table.
 """
 
 from __future__ import annotations
@@ -21,24 +22,18 @@ from turnmill.llm.common import saved, table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't call toxic."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model).where("_predicted = 0").select(*docs.columns)
+    return toxicity.scored(docs, model).where("predicted = 0").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that shingles of five words link at a similarity of 0.8 or more: the one of least doc_id."""
-    found = saved(minhash.near_duplicates(docs, width=5, percent=80).select("doc_id", "kept"), "kept")
-    once = docs.join(found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if repeated.limit(1).count():
-        single = once.join(repeated, "doc_id", "left_anti").select(*docs.columns)
-        return single.unionByName(once.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
-    return once
+    return minhash.one_of_each(docs, width=5, percent=80)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by its kind, and n_chars after it."""
     done = pii.redacted(docs)
-    return done.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*docs.columns) if "n_chars" in docs.columns else done.select(*docs.columns)
+    return done.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))) if "n_chars" in docs.columns else done
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
