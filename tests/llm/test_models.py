@@ -109,23 +109,32 @@ def test_toxicity_of_odd_rows(spark, docs, rows, empty):
     assert toxicity.scored(empty, toxicity.fit(empty, labels)).count() == 0
 
 
-def test_backoff_against_counting(docs, rows, empty):
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_backoff_against_counting(docs, rows, empty, order):
     split = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").split()
-    one, pair = Counter(), Counter()
+    counts = Counter()
     for r in rows:
         w = split(r[1])
-        one.update(w)
-        pair.update(zip(w, w[1:]))
-    n, wanted = sum(one.values()), defaultdict(list)
+        counts.update(tuple(w[k : k + n]) for n in range(1, order + 1) for k in range(len(w) - n + 1))
+    total = sum(c for g, c in counts.items() if len(g) == 1)
+
+    def score(gram):
+        if len(gram) == 1:
+            return counts[gram] / total
+        return counts[gram] / counts[gram[:-1]] if counts[gram] >= 2 else 0.4 * score(gram[1:])
+
+    wanted = defaultdict(list)
     for r in rows:
-        w, score = split(r[1]), 0.0
-        for v, x in zip([None, *w], w):
-            score += math.log(one[x] / n if v is None else pair[v, x] / one[v] if pair[v, x] >= 2 else 0.4 * one[x] / n)
-        wanted[r[0]] = [len(w), score, score / len(w) if w else None]
-    found = backoff.scores(docs, rows=50, bucket_words=2000).collect()
+        w = split(r[1])
+        logs = sum(math.log(score(tuple(w[max(0, k - order + 1) : k + 1]))) for k in range(len(w)))
+        wanted[r[0]] = [len(w), logs, logs / len(w) if w else None]
+    found = backoff.scores(docs, order, rows=50, bucket_words=2000).collect()
     assert len(found) == len(rows)
     for r in found:
-        k, total, mean = wanted[r["doc_id"]]
-        assert r["n_words"] == k and r["log_score"] == pytest.approx(total, abs=2e-4)
+        k, logs, mean = wanted[r["doc_id"]]
+        assert r["n_words"] == k and r["log_score"] == pytest.approx(logs, abs=2e-4)
         assert r["mean_score"] is None if mean is None else r["mean_score"] == pytest.approx(mean, abs=1e-4)
-    assert backoff.scores(empty).count() == 0
+    table = backoff.count_tables(docs, order, rows=50, bucket_words=2000).collect()
+    assert len({(r["gram_order"], r["gram"]) for r in table}) == len(table)
+    assert Counter((r["gram_order"], r["n"]) for r in table) == Counter((len(g), c) for g, c in counts.items())
+    assert backoff.scores(empty, order).count() == 0 == backoff.count_tables(empty, order).count()

@@ -1,14 +1,17 @@
-"""Stupid-backoff scores (Brants et al. 2007) over word pairs, counted from all documents.
+"""Stupid-backoff scores (Brants et al. 2007), counted from all documents.
 
-The score of a word w after v is c(v w) / c(v) where the pair occurs `least` times or more in
-the corpus, else 0.4 * c(w) / N; a text's first word has c(w) / N.  A document's score is the
-sum of the logarithms, and their mean.
+The score of a word after the `order` - 1 words before it is c(these words and it) / c(these
+words) where the n-gram occurs `least` times or more in the corpus, else 0.4 times its score after
+one word less; a word alone scores c(w) / N.  Near a text's begin there are fewer words before it.
+A document's score is the sum of the logarithms, and their mean.
 
-Documents are read in blocks.  A block's distinct words and pairs are exploded as sorted 64-bit
-hashes and dealt out by hash bucket, each with its number in the block; a bucket adds up the
-numbers of all blocks (its part of the count tables), joins the totals to the blocks' rows, and
-each block sums its documents' scores.  A pair that a third of all documents hold is one entry
-a block, and a bucket's size doesn't grow with the corpus, since the number of buckets does.
+Documents are read in blocks.  A block's distinct n-grams of each order are exploded as sorted
+64-bit hashes, each with its number in the block, and dealt out by hash bucket.  A bucket adds up
+the numbers of all blocks, which is its part of the count tables (`count_tables` gives them as
+rows), and joins the totals to the blocks' n-grams on the whole hash; count and join share the
+bucket's task, so the exploded n-grams are shuffled once.  Then each block sums its documents'
+scores.  An n-gram that a third of all documents hold is one entry a block, and a bucket's size
+doesn't grow with the corpus, since the number of buckets does.
 
 A null or empty text has no words: score 0, mean null.  A null doc_id is carried along.  Repeated
 rows are counted and scored each for itself.
@@ -69,15 +72,19 @@ def blocks(docs: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
     return saved(source.mapInArrow(cut, _BLOCK), "blocks")
 
 
-def _grams(vocab: np.ndarray, words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and of the pairs that end in them (0 for a text's first word)."""
+def _grams(vocab: np.ndarray, words: np.ndarray, sizes: np.ndarray, order: int) -> list[np.ndarray]:
+    """For each order the hashes of the n-grams that end in each word (0 where the text began too late)."""
     one = vocab[words]
-    pair = np.zeros(len(one), np.uint64)
-    if len(one) > 1:
-        pair[1:] = mix(one[:-1] * _PAIR + one[1:]) | np.uint64(1)
     begins = np.cumsum(sizes) - sizes
-    pair[begins[sizes > 0]] = 0
-    return one, pair
+    place = np.arange(len(one)) - np.repeat(begins, sizes)
+    out = [one]
+    for n in range(2, order + 1):
+        gram = np.zeros(len(one), np.uint64)
+        if len(one) > 1:
+            gram[1:] = mix(out[-1][:-1] * _PAIR + one[1:]) | np.uint64(1)
+        gram[place < n - 1] = 0
+        out.append(gram)
+    return out
 
 
 def _dealt(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -92,54 +99,82 @@ def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.cumsum(unpacked(row["vocab"]), dtype=np.uint64), unpacked(row["words"]).astype(np.int64), np.array(row["sizes"], np.int64)
 
 
-def scores(docs: DataFrame, rows: int = BLOCK_ROWS, bucket_words: int = BUCKET_WORDS) -> DataFrame:
-    """doc_id, n_words, log_score (the sum) and mean_score of every document."""
-    held = blocks(docs, rows)
-    total = held.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    buckets = max(16, -(-total // bucket_words))
-    bottom = lambda b: np.uint64(-(-(b << 32) // buckets) << 32)  # noqa: E731  the least hash of a bucket
-    shift = np.uint64(max(0, 64 - buckets.bit_length() + 1 - 48))
+def _exploded(held: DataFrame, order: int, buckets: int) -> DataFrame:
+    """gram_order, bucket, block, keys (the block's distinct n-grams of the bucket, from its least hash on, as steps) and counts."""
 
     def explode(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                one, pair = _grams(*_unpacked(row))
-                for order, hashes in ((1, one), (2, pair[pair != 0])):
-                    keys, counts, _, at = _dealt(hashes, buckets)
+                for n, grams in enumerate(_grams(*_unpacked(row), order), 1):
+                    keys, counts, _, at = _dealt(grams[grams != 0] if n > 1 else grams, buckets)
                     used = np.flatnonzero(np.diff(at))
-                    cells = [(keys[at[b] : at[b + 1]], counts[at[b] : at[b + 1]]) for b in used]
-                    # a bucket's keys by their upper 48 bits within it: about two chance matches in a thousand buckets
-                    low = [packed(steps((k - bottom(b)) >> shift)) for b, (k, _) in zip(used.tolist(), cells, strict=True)]
-                    yield pa.RecordBatch.from_pydict({"gram_order": pa.array(np.full(len(used), order, np.int32)), "bucket": pa.array(used), "block": pa.array(np.full(len(used), row["block"])), "keys": pa.array(low, pa.binary()), "counts": pa.array([packed(c) for _, c in cells], pa.binary())})
+                    low = [packed(steps(keys[at[b] : at[b + 1]] - _bottom(b, buckets))) for b in used.tolist()]
+                    many = [packed(counts[at[b] : at[b + 1]]) for b in used.tolist()]
+                    yield pa.RecordBatch.from_pydict({"gram_order": pa.array(np.full(len(used), n, np.int32)), "bucket": pa.array(used), "block": pa.array(np.full(len(used), row["block"])), "keys": pa.array(low, pa.binary()), "counts": pa.array(many, pa.binary())})
+
+    return held.select("block", "sizes", "vocab", "words").mapInArrow(explode, "gram_order int, bucket long, block long, keys binary, counts binary")
+
+
+def _bottom(bucket: int, buckets: int) -> np.uint64:
+    """The least hash of a bucket."""
+    return np.uint64(-(-(bucket << 32) // buckets) << 32)
+
+
+def _counted(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A bucket's distinct keys with their totals, and each given key's place among them and how many each row has."""
+    keys, counts = ([unpacked(v.as_py()) for v in table.column(c)] for c in ("keys", "counts"))
+    distinct, place = np.unique(np.concatenate([np.cumsum(k, dtype=np.uint64) for k in keys]), return_inverse=True)
+    return distinct, np.bincount(place, np.concatenate(counts)).astype(np.int64), place, np.array([len(k) for k in keys])
+
+
+def _plan(docs: DataFrame, order: int, rows: int, bucket_words: int) -> tuple[DataFrame, int, int]:
+    """The blocks, how many words they have, and how many buckets n-grams are dealt to."""
+    held = blocks(docs, rows)
+    total = held.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return held, total, max(16, -(-total // bucket_words))
+
+
+def count_tables(docs: DataFrame, order: int = 2, rows: int = BLOCK_ROWS, bucket_words: int = BUCKET_WORDS) -> DataFrame:
+    """gram_order, gram (its hash as a long) and n of every n-gram of the documents."""
+    held, _, buckets = _plan(docs, order, rows, bucket_words)
 
     def count(table: pa.Table) -> pa.Table:
-        keys, counts = ([unpacked(v.as_py()) for v in table.column(c)] for c in ("keys", "counts"))
-        sizes = np.array([len(k) for k in keys])
-        _, place = np.unique(np.concatenate([np.cumsum(k, dtype=np.uint64) for k in keys]), return_inverse=True)
-        sums = np.bincount(place, np.concatenate(counts))[place]
-        cuts = np.concatenate([[0], np.cumsum(sizes)])
-        return pa.table({"block": table.column("block"), "gram_order": table.column("gram_order"), "bucket": table.column("bucket"), "totals": pa.array([packed(sums[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
+        keys, totals, _, _ = _counted(table)
+        n, bucket = table.column("gram_order")[0].as_py(), table.column("bucket")[0].as_py()
+        return pa.table({"gram_order": pa.array(np.full(len(keys), n, np.int32)), "gram": pa.array((keys + _bottom(bucket, buckets)).view(np.int64)), "n": pa.array(totals)})
+
+    return _exploded(held, order, buckets).groupBy("gram_order", "bucket").applyInArrow(count, "gram_order int, gram long, n long")
+
+
+def scores(docs: DataFrame, order: int = 2, rows: int = BLOCK_ROWS, bucket_words: int = BUCKET_WORDS, least: int = LEAST) -> DataFrame:
+    """doc_id, n_words, log_score (the sum) and mean_score of every document."""
+    held, total, buckets = _plan(docs, order, rows, bucket_words)
+
+    def joined(table: pa.Table) -> pa.Table:
+        _, totals, place, sizes = _counted(table)
+        cuts, each = np.concatenate([[0], np.cumsum(sizes)]), totals[place]
+        return pa.table({"block": table.column("block"), "gram_order": table.column("gram_order"), "bucket": table.column("bucket"), "totals": pa.array([packed(each[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
 
-    grams = held.select("block", "sizes", "vocab", "words").mapInArrow(explode, "gram_order int, bucket long, block long, keys binary, counts binary")
-    counted = grams.groupBy("gram_order", "bucket").applyInArrow(count, "block long, gram_order int, bucket long, totals binary")
+    counted = _exploded(held, order, buckets).groupBy("gram_order", "bucket").applyInArrow(joined, "block long, gram_order int, bucket long, totals binary")
 
-    def score(block: pa.Table, totals: pa.Table) -> pa.Table:
+    def score(block: pa.Table, found: pa.Table) -> pa.Table:
         out = {"doc_id": [], "n_words": [], "log_score": []}
-        parts: dict[int, list] = {1: [], 2: []}
-        for order, bucket, values in zip(*(totals.column(c).to_pylist() for c in ("gram_order", "bucket", "totals")), strict=True):
-            parts[order].append((bucket, values))
+        parts: dict[int, list] = {n: [] for n in range(1, order + 1)}
+        for n, bucket, values in zip(*(found.column(c).to_pylist() for c in ("gram_order", "bucket", "totals")), strict=True):
+            parts[n].append((bucket, values))
         for row in block.to_pylist():
             vocab, words, sizes = _unpacked(row)
-            one, pair = _grams(vocab, words, sizes)
-            of = {k: np.concatenate([unpacked(v) for _, v in sorted(parts[k])] or [np.empty(0)]).astype(np.float64) for k in parts}
-            single = of[1][_dealt(one, buckets)[2]] if len(one) else np.empty(0)
-            after = np.zeros(len(one))
-            inner = pair != 0
-            if inner.any():
-                after[inner] = of[2][_dealt(pair[inner], buckets)[2]]
-            before = np.concatenate([[1.0], single[:-1]]) if len(single) else single
-            chance = np.where(inner, np.where(after >= LEAST, after / before, FACTOR * single / total), single / max(1, total))
-            upto = np.concatenate([[0.0], np.cumsum(np.log(chance))]) if len(chance) else np.zeros(1)
+            before, chance = np.full(len(words), max(1, total), np.float64), np.empty(0)
+            for n, grams in enumerate(_grams(vocab, words, sizes, order), 1):
+                full = grams != 0 if n > 1 else np.ones(len(grams), bool)
+                now = np.zeros(len(grams))
+                if full.any():
+                    totals = np.concatenate([unpacked(v) for _, v in sorted(parts[n])]).astype(np.float64)
+                    now[full] = totals[_dealt(grams[full], buckets)[2]]
+                seen = now / np.maximum(1, before)
+                chance = seen if n == 1 else np.where(full, np.where(now >= least, seen, FACTOR * chance), chance)
+                before = np.concatenate([[1.0], now[:-1]]) if len(now) else now  # of the n words before a word
+            upto = np.concatenate([[0.0], np.cumsum(np.log(chance))])
             ends = np.cumsum(sizes)
             out["doc_id"] += row["doc_ids"]
             out["n_words"] += sizes.tolist()
