@@ -16,8 +16,8 @@ _SQL = {
         coalesce(size(array_intersect(array_distinct(regexp_extract_all(lower(coalesce(a, '')), "[a-z0-9']+", 0)), array_distinct(regexp_extract_all(lower(coalesce(b, '')), "[a-z0-9']+", 0))))
         / nullif(sqrt(CAST(size(array_distinct(regexp_extract_all(lower(coalesce(a, '')), "[a-z0-9']+", 0))) AS DOUBLE) * size(array_distinct(regexp_extract_all(lower(coalesce(b, '')), "[a-z0-9']+", 0)))), 0), 0.0)"""),
     "ctx_normalize": ("text STRING", "STRING", r"""
-        array_join(transform(filter(transform(sequence(0, size(split(@T, '\n', -1)) - 1), i -> struct(split(@T, '\n', -1)[i] AS line, i AS i)),
-          x -> x.i = 0 OR regexp_replace(x.line, '(?U)\\s+$', '') <> regexp_replace(split(@T, '\n', -1)[greatest(x.i - 1, 0)], '(?U)\\s+$', '')), x -> regexp_replace(x.line, '(?U)\\s+$', '')), '\n')""".replace(
+        get(transform(array(transform(split(@T, '\n', -1), l -> regexp_replace(l, '(?U)\\s+$', ''))), s ->
+          array_join(transform(filter(arrays_zip(s, concat(array(CAST(NULL AS STRING)), slice(s, 1, size(s) - 1))), x -> x['1'] IS NULL OR x['0'] <> x['1']), x -> x['0']), '\n')), 0)""".replace(
         "@T", r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '(?U)^\\s+|\\s+$', ''), '\r\n|\r', '\n'), '[ \t]+', ' '), '\n{3,}', '\n\n')")),
 }
 

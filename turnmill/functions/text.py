@@ -39,10 +39,14 @@ def normalize_prompt(text: Column) -> Column:
     unix = F.regexp_replace(strip(filled(text)), "\r\n|\r", "\n")
     spaced = F.regexp_replace(F.regexp_replace(unix, r"[ \t]+", " "), r"\n{3,}", "\n\n")
     lines = F.transform(F.split(spaced, "\n", -1), lambda line: F.regexp_replace(line, r"(?U)\s+$", ""))
-    # the pair of each line with the one before it; the first has none
-    pairs = F.transform(lines, lambda line, i: F.struct(line.alias("line"), F.when(i > 0, F.get(lines, i - 1)).alias("before")))
-    kept = F.filter(pairs, lambda p: p["before"].isNull() | (p["line"] != p["before"]))
-    return F.array_join(F.transform(kept, lambda p: p["line"]), "\n")
+
+    def kept(all_: Column) -> Column:
+        # each line beside the one before it; the first beside null
+        pairs = F.arrays_zip(all_.alias("line"), F.concat(F.array(F.lit(None).cast("string")), F.slice(all_, 1, F.size(all_) - 1)).alias("before"))
+        return F.array_join(F.transform(F.filter(pairs, lambda p: p["before"].isNull() | (p["line"] != p["before"])), lambda p: p["line"]), "\n")
+
+    # a lambda's variable is computed once, a plain column once for every line
+    return F.get(F.transform(F.array(lines), kept), 0)
 
 
 def word_list(text: Column) -> Column:

@@ -55,9 +55,9 @@ def count(text: Column, model: Column | str = "gpt-4o", other: Callable[[Column]
     return F.when(F.lower(name).startswith("claude"), claude_estimate(text)).otherwise(other(text))
 
 
-def of_turn(role: Column, content: Column, model: Column | str = "gpt-4o") -> Column:
+def of_turn(role: Column, content: Column, model: Column | str = "gpt-4o", other: Callable[[Column], Column] = words) -> Column:
     """Tokens that a message adds to a list."""
-    return count(content, model) + count(role, model) + MESSAGE_TOKENS
+    return count(content, model, other) + count(role, model, other) + MESSAGE_TOKENS
 
 
 def bpe_counter(path: str) -> Callable[[Column], Column]:

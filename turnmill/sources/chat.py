@@ -51,22 +51,21 @@ def flatten_content(content: Column) -> Column:
 
 
 def split(turns: DataFrame, query: str = "last_user") -> DataFrame:
-    """session_id, system, query, query_turn of every session.
+    """session_id, system, query, query_turn and system_turn of every session, by one aggregate.
 
     system is the first system message that isn't empty.  query is the last user message
     ("last_user", for logs), or the last turn if it is the user's, else empty ("last_turn", for requests).
     """
-    content = filled("content")
-    system = F.min_by(content, F.when((F.col("role") == "system") & (content != ""), F.col("turn_id")))
-    rest = F.when(~F.coalesce(F.col("role") == "system", F.lit(False)) | F.col("_later"), F.col("turn_id"))
-    first = turns.where((F.col("role") == "system") & (content != "")).groupBy("session_id").agg(F.min("turn_id").alias("_first"))
-    marked = turns.join(first, "session_id", "left").withColumn("_later", F.coalesce(F.col("turn_id") > F.col("_first"), F.lit(False)))
-    last = F.max_by("role", rest)
-    user_turn = F.max(F.when(F.col("role") == "user", F.col("turn_id")))
-    turn = user_turn if query == "last_user" else F.when(last == "user", F.max(rest))
-    out = marked.groupBy("session_id").agg(F.coalesce(system, F.lit("")).alias("system"), turn.alias("query_turn"), F.first("_first").alias("_first"))
-    text = turns.select("session_id", F.col("turn_id").alias("query_turn"), content.alias("_query"))
-    return out.join(text, ["session_id", "query_turn"], "left").select("session_id", "system", F.coalesce("_query", F.lit("")).alias("query"), "query_turn", F.col("_first").alias("system_turn"))
+    content, turn, is_system = filled("content"), F.col("turn_id"), F.coalesce(F.col("role") == "system", F.lit(False))
+    text = F.struct(turn.alias("turn"), content.alias("content"))
+    prompt = F.min(F.when(is_system & (content != ""), text))
+    asked = F.max(F.when(F.col("role") == "user", text))
+    found = turns.groupBy("session_id").agg(prompt.alias("_s"), asked.alias("_u"), F.max(F.when(is_system, turn)).alias("_ls"), F.max(F.when(~is_system, turn)).alias("_lo"))
+    if query != "last_user":
+        # the last turn is a system message's only if it comes after the prompt
+        later = (F.col("_ls") > F.col("_s.turn")) & (F.col("_lo").isNull() | (F.col("_ls") > F.col("_lo")))
+        found = found.withColumn("_u", F.when(~F.coalesce(later, F.lit(False)) & (F.col("_u.turn") == F.col("_lo")), F.col("_u")))
+    return found.select("session_id", F.coalesce("_s.content", F.lit("")).alias("system"), F.coalesce("_u.content", F.lit("")).alias("query"), F.col("_u.turn").alias("query_turn"), F.col("_s.turn").alias("system_turn"))
 
 
 def history(turns: DataFrame, parts: DataFrame) -> DataFrame:
