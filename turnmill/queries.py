@@ -56,6 +56,48 @@ _FACTS = """facts AS (SELECT *, greatest(raw_tokens - post_tokens, 0) AS token_s
     FROM (SELECT *, CAST(props::JSON ->> '$.k' AS BIGINT) AS k FROM events)))"""
 
 
+_NOTE_TURNS = "turns AS (SELECT CAST(floor(doc_id / 10) AS BIGINT) AS session_id, doc_id % 10 AS turn_id, 'user' AS role, coalesce(text, '') AS content FROM documents)"
+#: A word with a letter beyond ASCII can be part of a user's name only: elsewhere it is one character that no pattern takes.
+_ENTITIES = r"""@OUT_c AS (SELECT session_id, turn_id, content, regexp_replace(regexp_replace(content, '[\x{85}\p{Z}]', ' ', 'g'), '[^\x00-\x7F\p{L}\p{M}\p{N}]', chr(4), 'g') AS u FROM @SRC),
+@OUT_t AS (SELECT session_id, turn_id, content, regexp_replace(u, '[0-9A-Za-z_]*[^\x00-\x7F][0-9A-Za-z_\x{80}-\x{10FFFF}]*', chr(2), 'g') AS p, regexp_replace(u, '([^\x00-\x7F])', '\1zqz', 'g') AS m FROM @OUT_c),
+@OUT_r AS (SELECT session_id, turn_id, unnest([
+  {'t': 'file', 'k': 0, 'l': regexp_extract_all(p, '\b[A-Za-z0-9][A-Za-z0-9_\-]{1,64}\.[A-Za-z][A-Za-z0-9]{0,5}\b')},
+  {'t': 'function', 'k': 1, 'l': regexp_extract_all(p, '\b[a-z_][a-zA-Z0-9_]*\s*\(')},
+  {'t': 'module', 'k': 2, 'l': regexp_extract_all(p, '(?i)\b([A-Za-z][A-Za-z0-9_\- ]{2,})\s+module\b', 1)},
+  {'t': 'class', 'k': 3, 'l': regexp_extract_all(p, '\b[A-Z][A-Za-z0-9]+(?:[A-Z][A-Za-z0-9]+)+\b')},
+  {'t': 'symbol', 'k': 4, 'l': regexp_extract_all(p, '\b[a-z][a-z0-9]+_[a-z0-9_]+\b')},
+  {'t': 'user', 'k': 5, 'l': list_transform(regexp_extract_all(m, '(?i)\b(?:user|username|@[\p{L}\p{M}\p{N}_]+|I am|my name is)\s+([A-Za-z][\p{L}\p{M}\p{N}_]*)', 1), lambda x: replace(x, 'zqz', ''))},
+  {'t': 'task', 'k': 6, 'l': regexp_extract_all(p, '(?i)\b(?:task|ticket|issue|bug|pr|story)\s*[#:]?\s*\d+')},
+  {'t': 'variable', 'k': 7, 'l': regexp_extract_all(p, '\b[A-Z][A-Z0-9_]{2,}\b')},
+  {'t': 'url', 'k': 8, 'l': regexp_extract_all(content, 'https?://\S+')}]) AS e FROM @OUT_t),
+@OUT_n AS (SELECT session_id, turn_id, e.t AS etype, e.k AS ord, unnest(e.l) AS raw, generate_subscripts(e.l, 1) AS i FROM @OUT_r),
+@OUT_p AS (SELECT *, list_filter(list_transform(list_filter(list_transform(regexp_extract_all(regexp_replace(raw, '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+'), lambda x: lower(x)),
+  lambda x: x NOT IN (@STOP)), lambda x: CASE WHEN length(x) >= 8 THEN substring(x, 1, 4) ELSE x END), lambda x: length(x) >= 2) AS parts FROM @OUT_n),
+@OUT_d AS (SELECT session_id, turn_id, etype, ord, CASE WHEN etype = 'url' THEN regexp_replace(raw, '^\s+|\s+$', '', 'g') WHEN len(parts) > 0 THEN array_to_string(parts, '_') ELSE lower(regexp_replace(raw, '^\s+|\s+$', '', 'g')) END AS name, min(i) AS i FROM @OUT_p GROUP BY ALL),
+@OUT AS (SELECT session_id, turn_id, etype, CAST(ord AS INTEGER) AS ord, CAST(row_number() OVER (PARTITION BY session_id, turn_id, etype ORDER BY i) - 1 AS INTEGER) AS pos, name FROM @OUT_d WHERE name <> '')"""
+
+
+def _entity_rows(source: str, out: str) -> str:
+    """SQL of `out`: session_id, turn_id, etype, ord, pos, name of the entities of source (session_id, turn_id, content)."""
+    return _ENTITIES.replace("@SRC", source).replace("@OUT", out).replace("@STOP", ", ".join(f"'{w}'" for w in (*entities.GENERIC, *entities.EXTENSIONS)))
+
+
+#: The entities of each turn and of each session's query, and what they share.
+_ASKED = f"""asking AS (SELECT session_id, 0 AS turn_id, query AS content FROM parts), {_entity_rows("turns", "named")}, {_entity_rows("asking", "wanted")},
+asked AS (SELECT session_id, list(DISTINCT name) AS names FROM wanted GROUP BY session_id),
+told AS (SELECT session_id, turn_id, list(DISTINCT name) AS names FROM named GROUP BY session_id, turn_id),
+shared AS (SELECT h.session_id, h.turn_id, h.role, h.content, h.query, coalesce(a.names, []) AS asked, list_intersect(coalesce(a.names, []), coalesce(t.names, [])) AS hit
+  FROM history h LEFT JOIN asked a USING (session_id) LEFT JOIN told t ON t.session_id = h.session_id AND t.turn_id = h.turn_id),
+first_named AS (SELECT session_id, name, min(turn_id) AS turn_id FROM (SELECT session_id, turn_id, unnest(hit) AS name FROM shared) GROUP BY session_id, name)"""
+_ENTITY_LINE = """first_at AS (SELECT session_id, etype, name, min((turn_id, ord, pos)) AS place FROM @EDGES GROUP BY ALL),
+type_line AS (SELECT session_id, min(place) AS place, etype || 's: ' || array_to_string((list(name ORDER BY place))[1:8], ', ') AS line FROM first_at GROUP BY session_id, etype),
+entity_lines AS (SELECT session_id, '[Entities] ' || string_agg(line, '; ' ORDER BY place) AS entity_line FROM type_line GROUP BY session_id)"""
+
+
+def _word_sets(a: str, b: str) -> str:
+    return f"list_distinct({_WORDS.format(a)}) AS wa, list_distinct({_WORDS.format(b)}) AS wb"
+
+
 def query(sql: str | None = None):
     """Registers a query under its function's name."""
 
@@ -142,7 +184,10 @@ def dry_run_tokens(spark, sf_dir):
     return joined.select("session_id", chat.dry_run(F.col("system"), F.col("contents"), F.col("query")).alias("prompt_tokens"))
 
 
-@query()
+@query(f"""WITH {_TURNS}, {_SPLIT}, said AS (SELECT session_id, list('{{"role":' || to_json(role) || ',"content":' || to_json(content) || '}}' ORDER BY turn_id) AS l FROM history GROUP BY session_id),
+p AS (SELECT session_id, system, list_concat(coalesce(l, []), CASE WHEN query <> '' THEN ['{{"role":"user","content":' || to_json(query) || '}}'] ELSE [] END) AS l FROM parts LEFT JOIN said USING (session_id))
+SELECT session_id, CASE WHEN session_id % 2 = 0 THEN '{{"model":"gpt-4o","messages":[' || array_to_string(list_concat(CASE WHEN system <> '' THEN ['{{"role":"system","content":' || to_json(system) || '}}'] ELSE [] END, l), ',') || '],"temperature":0.7}}'
+ELSE '{{"model":"claude-3-5-sonnet","max_tokens":4096,"temperature":0.7' || CASE WHEN system <> '' THEN ',"system":[{{"type":"text","text":' || to_json(system) || CASE WHEN session_id % 3 = 0 THEN ',"cache_control":{{"type":"ephemeral"}}' ELSE '' END || '}}]' ELSE '' END || ',"messages":[' || array_to_string(l, ',') || ']}}' END AS payload FROM p""")
 def provider_payload(spark, sf_dir):
     every = turns(spark, sf_dir)
     parts = chat.split(every)
@@ -152,7 +197,8 @@ def provider_payload(spark, sf_dir):
     return parts.join(lists, "session_id", "left").select("session_id", made.alias("payload"))
 
 
-@query()
+@query("""SELECT item_id AS request_id, CAST(k AS INTEGER) AS seq, 'data: ' || CASE k WHEN 0 THEN '{"object":"chat.completion.chunk","delta":{"role":"assistant"}}' WHEN 1 THEN '{"object":"chat.completion.chunk","delta":{"content":' || to_json(text) || '}}'
+WHEN 2 THEN '{"object":"chat.completion.chunk","finish_reason":"stop"}' ELSE '[DONE]' END || chr(10) || chr(10) AS data FROM benchmark, (SELECT unnest([0, 1, 2, 3]) AS k)""")
 def response_stream(spark, sf_dir):
     return chat.event_stream(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("request_id"), "text"))
 
@@ -331,10 +377,6 @@ def dedup_conversations(spark, sf_dir):
     return dedup.deduplicated(_rows(spark, sf_dir), "session_id", "turn_id", "content", 0.3).select("session_id", "turn_id", "kept")
 
 
-def _word_sets(a: str, b: str) -> str:
-    return f"list_distinct({_WORDS.format(a)}) AS wa, list_distinct({_WORDS.format(b)}) AS wb"
-
-
 @query(f"WITH {_TURNS}, {_SPLIT}, s AS (SELECT session_id, turn_id, {_word_sets('content', 'query')} FROM history) SELECT session_id, turn_id, round({_OCHIAI.format('wa', 'wb')}, 4) AS score FROM s")
 def score_turns(spark, sf_dir):
     return relevance.scored(history(spark, sf_dir)).select("session_id", "turn_id", "score")
@@ -403,17 +445,19 @@ def _asked(spark, sf_dir) -> DataFrame:
     return chat.history(every, chat.split(every))
 
 
-@query()
+@query(f"WITH {_NOTE_TURNS}, {_entity_rows('turns', 'named')} SELECT session_id, turn_id, etype, ord, pos, name FROM named")
 def entity_edges(spark, sf_dir):
     return graph.edges(_notes(spark, sf_dir))
 
 
-@query()
+@query(f"WITH {_NOTE_TURNS}, {_entity_rows('turns', 'named')} SELECT session_id, etype, name, min(turn_id) AS first_seen_turn, max(turn_id) AS last_seen_turn, count(DISTINCT turn_id) AS mention_count FROM named GROUP BY ALL")
 def entity_index(spark, sf_dir):
     return graph.index(graph.edges(_notes(spark, sf_dir)))
 
 
-@query()
+@query(f"""WITH {_NOTE_TURNS}, {_entity_rows('turns', 'named')}, f AS (SELECT session_id, etype, name, min((turn_id, ord, pos)) AS place FROM named GROUP BY ALL),
+t AS (SELECT session_id, etype, CAST(to_json(list(name ORDER BY place)) AS VARCHAR) AS names FROM f GROUP BY ALL)
+SELECT session_id, '{{' || string_agg('"' || etype || '":' || names, ',' ORDER BY etype) || '}}' AS entities FROM t GROUP BY session_id""")
 def entity_snapshot(spark, sf_dir):
     return graph.snapshot(graph.edges(_notes(spark, sf_dir))).select("session_id", F.to_json("entities").alias("entities"))
 
@@ -423,20 +467,22 @@ def entity_resolution(spark, sf_dir):
     return graph.resolved(_notes(spark, sf_dir))
 
 
-@query()
+@query(f"WITH {_NOTE_TURNS}, {_SPLIT}, {_ASKED} SELECT session_id, turn_id, round(CASE WHEN len(asked) > 0 THEN len(hit) / len(asked) ELSE 0.0 END, 4) AS overlap FROM shared")
 def entity_overlap(spark, sf_dir):
     h = _asked(spark, sf_dir)
     return h.select("session_id", "turn_id", F.round(similarity.share_of(entities.all_names(F.col("query")), entities.all_names(F.col("content"))), 4).alias("overlap"))
 
 
-@query()
+@query(f"WITH {_NOTE_TURNS}, {_SPLIT}, {_ASKED} SELECT session_id, turn_id FROM shared WHERE len(hit) > 0 AND len(hit) / len(asked) >= 0.1 UNION SELECT session_id, turn_id FROM first_named")
 def load_bearing_turns(spark, sf_dir):
     h = _asked(spark, sf_dir)
     asked = h.select("session_id", F.explode(entities.all_names(F.col("query"))).alias("name")).distinct()
     return relevance.load_bearing(graph.edges(h), asked)
 
 
-@query()
+@query(f"""WITH {_NOTE_TURNS}, {_entity_rows('turns', 'named')}, recent AS (SELECT session_id, turn_id FROM turns QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY turn_id DESC) <= 3),
+a AS (SELECT session_id, count(DISTINCT name) AS n FROM named GROUP BY ALL), b AS (SELECT session_id, count(DISTINCT name) AS n FROM named JOIN recent USING (session_id, turn_id) GROUP BY ALL)
+SELECT session_id, round(CASE WHEN a.n > 0 THEN coalesce(b.n, 0) / a.n ELSE 1.0 END, 4) AS recall FROM (SELECT DISTINCT session_id FROM turns) LEFT JOIN a USING (session_id) LEFT JOIN b USING (session_id)""")
 def entity_recall(spark, sf_dir):
     every = _notes(spark, sf_dir)
     names = lambda rows, n: rows.groupBy("session_id").agg(F.array_distinct(F.flatten(F.collect_list(entities.all_names(F.col("content"))))).alias(n))
@@ -444,13 +490,14 @@ def entity_recall(spark, sf_dir):
     return both.select("session_id", F.round(entities.recall(F.col("a"), F.col("b")), 4).alias("recall"))
 
 
-@query()
+@query(f"""WITH {_NOTE_TURNS}, {_SPLIT}, {_entity_rows('turns', 'named')}, s AS (SELECT session_id, turn_id, {_word_sets("content", "query")} FROM history), gone AS (SELECT session_id, turn_id FROM s WHERE round({_OCHIAI.format("wa", "wb")}, 4) < 0.15)
+SELECT session_id, array_to_string(list_sort(list(DISTINCT name)), ',') AS entities FROM gone JOIN named USING (session_id, turn_id) GROUP BY session_id""")
 def removed_entities(spark, sf_dir):
     pruned = relevance.pruned(relevance.scored(_asked(spark, sf_dir)))
-    return graph.removed_names(pruned.where("not kept_rel"), "session_id", "content")
+    return graph.removed_names(pruned.where("not kept_rel"), "session_id", "content").select("session_id", F.array_join("entities", ",").alias("entities"))
 
 
-@query()
+@query(f"WITH {_NOTE_TURNS}, {_entity_rows('turns', 'named')}, {_ENTITY_LINE.replace('@EDGES', 'named')} SELECT session_id, entity_line FROM entity_lines")
 def entity_line(spark, sf_dir):
     return summary.entity_line(graph.edges(_notes(spark, sf_dir)))
 
@@ -471,12 +518,15 @@ def _in(words: tuple[str, ...]) -> str:
     return "(" + ", ".join(f"'{w}'" for w in words) + ")"
 
 
-@query(rf"""WITH {_TURNS}, {_SENTENCES}, w AS (SELECT session_id, turn_id, pos, unnest(regexp_extract_all(lower(sentence), '\S+')) AS w FROM sents),
-f AS (SELECT session_id, w, count(*) AS f FROM w WHERE w NOT IN {_in(summary.STOPS)} AND length(w) > 3 GROUP BY ALL),
-sc AS (SELECT session_id, turn_id, pos, sum(coalesce(f, 0)) / count(*) AS score FROM w LEFT JOIN f USING (session_id, w) GROUP BY ALL),
-top AS (SELECT s.* FROM sents s JOIN sc USING (session_id, turn_id, pos) QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY score DESC, turn_id, pos) <= 4),
-told AS (SELECT session_id, string_agg(sentence, ' ' ORDER BY turn_id, pos) AS e FROM top GROUP BY ALL), whole AS (SELECT session_id, string_agg(content, ' ' ORDER BY turn_id) AS e FROM turns GROUP BY ALL)
-SELECT session_id, substring(coalesce(t.e, a.e), 1, 400) AS extract FROM whole a LEFT JOIN told t USING (session_id)""")
+_EXTRACT = rf"""{_SENTENCES}, sent_words AS (SELECT session_id, turn_id, pos, unnest(regexp_extract_all(lower(sentence), '\S+')) AS w FROM sents),
+often AS (SELECT session_id, w, count(*) AS f FROM sent_words WHERE w NOT IN {_in(summary.STOPS)} AND length(w) > 3 GROUP BY ALL),
+sent_scores AS (SELECT session_id, turn_id, pos, sum(coalesce(f, 0)) / count(*) AS score FROM sent_words LEFT JOIN often USING (session_id, w) GROUP BY ALL),
+top_sents AS (SELECT s.* FROM sents s JOIN sent_scores USING (session_id, turn_id, pos) QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY score DESC, turn_id, pos) <= 4),
+picked AS (SELECT session_id, string_agg(sentence, ' ' ORDER BY turn_id, pos) AS e FROM top_sents GROUP BY ALL), whole_text AS (SELECT session_id, string_agg(content, ' ' ORDER BY turn_id) AS e FROM turns GROUP BY ALL),
+extracts AS (SELECT session_id, substring(coalesce(t.e, a.e), 1, 400) AS extract FROM whole_text a LEFT JOIN picked t USING (session_id))"""
+
+
+@query(f"WITH {_TURNS}, {_EXTRACT} SELECT session_id, extract FROM extracts")
 def extractive_summary(spark, sf_dir):
     return summary.extractive(turns(spark, sf_dir))
 
@@ -501,7 +551,9 @@ def sliding_window(spark, sf_dir):
     return summary.windowed(turns(spark, sf_dir), 3).select("session_id", "turn_id", "recent")
 
 
-@query()
+@query(f"""WITH all_turns AS (SELECT conv_id AS session_id, turn AS turn_id, role, coalesce(text, '') AS content FROM conversations), turns AS (SELECT * FROM all_turns QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY turn_id DESC) > 3),
+{_EXTRACT}, {_entity_rows('all_turns', 'named')}, {_ENTITY_LINE.replace('@EDGES', 'named')}
+SELECT session_id, substring(array_to_string(list_filter([extract, coalesce(entity_line, '')], lambda x: x <> ''), ' | '), 1, 800) AS summary FROM extracts LEFT JOIN entity_lines USING (session_id)""")
 def rolling_summary(spark, sf_dir):
     every = turns(spark, sf_dir)
     old = summary.windowed(every, 3).where("not recent")
@@ -509,7 +561,9 @@ def rolling_summary(spark, sf_dir):
     return summary.extractive(old).join(lines, "session_id", "left").select("session_id", summary.merged(F.lit(""), F.col("extract"), F.col("entity_line")).alias("summary"))
 
 
-@query()
+@query(rf"""WITH {_TURNS}, placed AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn_id DESC) AS r, count(*) OVER (PARTITION BY session_id) AS n FROM turns),
+options AS (SELECT session_id, k, least(any_value(n), k) AS kept_turns, 'Summary: so far' || chr(10) || 'Recent:' || chr(10) || string_agg(upper(role[1]) || role[2:] || ': ' || content, chr(10) ORDER BY turn_id) AS context FROM placed JOIN (SELECT unnest([4, 3, 2, 1]) AS k) ON r <= k GROUP BY session_id, k)
+SELECT session_id, CAST(kept_turns AS BIGINT) AS kept_turns, context FROM options WHERE {_TOK.format("context")} <= 200 OR k = 1 QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY k DESC) = 1""")
 def shrunk_window(spark, sf_dir):
     return summary.shrunk(turns(spark, sf_dir).withColumn("summary", F.lit("so far")), "summary", 200, 4)
 
