@@ -568,13 +568,53 @@ def shrunk_window(spark, sf_dir):
     return summary.shrunk(turns(spark, sf_dir).withColumn("summary", F.lit("so far")), "summary", 200, 4)
 
 
-@query()
+_CLEAN_SYSTEM = _WS.format(_PUNCT.format("system"))
+#: The plan of both modes at its default settings, the texts before and after, and the gate's verdict.
+_GATED = f"""{_TURNS}, {_SPLIT}, rows_in AS (SELECT session_id, turn_id, role, content AS raw, {_CLEAN} AS content, query FROM history), {_VECTORS}, {_GREEDY.format(0.92)},
+alike AS (SELECT p.block, p.b AS row, arg_min(p.similarity, p.a) AS similarity FROM pairs p JOIN kept k ON k.block = p.block AND k.row = p.a AND k.kept WHERE p.similarity >= 0.92 GROUP BY p.block, p.b),
+asking AS (SELECT session_id, 0 AS turn_id, query AS content FROM parts), {_entity_rows("rows_in", "named")}, {_entity_rows("asking", "wanted")},
+asked AS (SELECT session_id, list(DISTINCT name) AS names FROM wanted GROUP BY session_id), told AS (SELECT session_id, turn_id, list(DISTINCT name) AS names FROM named GROUP BY session_id, turn_id),
+sized AS (SELECT r.*, k.kept AS kept_dedup, 4 + {_TOK.format("role")} + {_TOK.format("raw")} AS raw_tokens, 4 + {_TOK.format("role")} + {_TOK.format("content")} AS tokens, {_word_sets("content", "query")}, coalesce(a.names, []) AS asked, list_intersect(coalesce(a.names, []), coalesce(t.names, [])) AS hit
+  FROM rows_in r JOIN kept k ON k.block = r.session_id AND k.row = r.turn_id LEFT JOIN asked a ON a.session_id = r.session_id LEFT JOIN told t ON t.session_id = r.session_id AND t.turn_id = r.turn_id),
+first_named AS (SELECT DISTINCT session_id, turn_id FROM (SELECT session_id, name, min(turn_id) AS turn_id FROM (SELECT session_id, turn_id, unnest(hit) AS name FROM sized) GROUP BY session_id, name)),
+scored AS (SELECT *, round(CASE WHEN len(asked) > 0 THEN least(1.0, {_OCHIAI.format("wa", "wb")} + 0.3 * len(hit) / len(asked)) ELSE {_OCHIAI.format("wa", "wb")} END, 4) AS score FROM sized),
+judged AS (SELECT s.*, score >= 0.15 OR (len(hit) > 0 AND (len(hit) / len(asked) >= 0.1 OR f.turn_id IS NOT NULL)) AS kept_rel FROM scored s LEFT JOIN first_named f USING (session_id, turn_id)),
+placed AS (SELECT *, sum(CASE WHEN kept_dedup AND kept_rel THEN tokens ELSE 0 END) OVER (PARTITION BY session_id) + 3 AS held, count(*) FILTER (kept_dedup AND kept_rel) OVER (PARTITION BY session_id ORDER BY turn_id DESC) AS after,
+  sum(CASE WHEN kept_dedup THEN tokens ELSE 0 END) OVER (PARTITION BY session_id) + 3 AS held_safe, count(*) FILTER (kept_dedup) OVER (PARTITION BY session_id ORDER BY turn_id DESC) AS after_safe FROM judged),
+staged AS (SELECT p.*, s.similarity, CASE WHEN NOT kept_dedup THEN 'deduplication' WHEN NOT kept_rel THEN 'relevance' WHEN held > 4000 AND after > 6 THEN 'summarization' END AS stage,
+  CASE WHEN NOT kept_dedup THEN 'deduplication' WHEN held_safe > 4000 AND after_safe > 6 THEN 'summarization' END AS stage_safe FROM placed p LEFT JOIN alike s ON s.block = p.session_id AND s.row = p.turn_id),
+old_turns AS (SELECT session_id, turn_id, content FROM staged WHERE stage = 'summarization'), {_EXTRACT.replace("FROM turns", "FROM old_turns")},
+lines AS (SELECT session_id, list('[' || role || '] ' || raw ORDER BY turn_id) AS b, list('[' || role || '] ' || content ORDER BY turn_id) FILTER (stage IS NULL) AS a FROM staged GROUP BY session_id),
+sides AS (SELECT p.session_id, regexp_replace(array_to_string(list_concat(CASE WHEN system <> '' THEN ['[System]' || chr(10) || system] ELSE [] END, coalesce(b, [])), chr(10)), '^\\s+|\\s+$', '', 'g') AS original,
+  regexp_replace(array_to_string(list_concat(CASE WHEN {_CLEAN_SYSTEM} <> '' THEN ['[System]' || chr(10) || {_CLEAN_SYSTEM}] ELSE [] END, CASE WHEN coalesce(extract, '') <> '' THEN ['[Summary]' || chr(10) || substring(extract, 1, 800)] ELSE [] END, coalesce(a, [])), chr(10)), '^\\s+|\\s+$', '', 'g') AS compressed
+  FROM parts p LEFT JOIN lines USING (session_id) LEFT JOIN extracts USING (session_id)),
+before AS (SELECT session_id, 0 AS turn_id, original AS content FROM sides), {_entity_rows("before", "named_before")}, after AS (SELECT session_id, 0 AS turn_id, compressed AS content FROM sides), {_entity_rows("after", "named_after")},
+names_before AS (SELECT session_id, list(DISTINCT name) AS n FROM named_before GROUP BY session_id), names_after AS (SELECT session_id, list(DISTINCT name) AS n FROM named_after GROUP BY session_id),
+apart AS (SELECT s.session_id, {_word_sets("original", "compressed")}, CASE WHEN len(b.n) > 0 THEN len(list_intersect(b.n, coalesce(a.n, []))) / len(b.n) ELSE 1.0 END AS recall FROM sides s LEFT JOIN names_before b USING (session_id) LEFT JOIN names_after a USING (session_id)),
+worst AS (SELECT session_id, recall, greatest(CASE WHEN len(wa) + len(wb) > 0 THEN 1 - len(list_intersect(wa, wb)) / len(list_distinct(list_concat(wa, wb))) ELSE 0.0 END, 1 - recall) AS w FROM apart),
+verdict AS (SELECT session_id, round(w, 4) AS drift_score, w <= 0.15 AS passed, true AS fallback_used, CASE WHEN w <= 0.15 THEN 'proceed' WHEN w <= 0.3 THEN 'use_lossless' ELSE 'abort_compression' END AS recommendation, round(recall, 4) AS entity_recall, round(1 - recall, 4) AS entity_loss FROM worst)"""
+
+
+@query("WITH RECURSIVE " + _GATED + " SELECT * FROM verdict")
 def quality_gate(spark, sf_dir):
     every = turns(spark, sf_dir)
     return quality.gated(savings.contexts(every, reuse.once(savings.annotated(every, savings.Settings()))), "original", "compressed").drop("original", "compressed")
 
 
-@query()
+def _mode_sums(stage: str, held: str, mode: str) -> str:
+    gone = ", ".join(f"coalesce(sum(tokens) FILTER ({stage} = '{s}'), 0) AS {s}" for s in savings.STAGES)
+    return f"""{mode} AS (SELECT session_id, count(*) AS turns, count(*) FILTER ({stage} IS NULL) AS turns_kept, sum(raw_tokens) AS raw, sum(tokens) AS clean, {gone}, coalesce(min(similarity) FILTER ({stage} = 'deduplication'), 1.0) AS c1,
+  coalesce(1 - max(score) FILTER ({stage} = 'relevance'), 1.0) AS c2, max({held}) > 4000 AS summarized FROM staged GROUP BY session_id)"""
+
+
+@query(f"""WITH RECURSIVE {_GATED}, {_mode_sums("stage", "held", "lossy")}, {_mode_sums("stage_safe", "held_safe", "safe")},
+chosen AS (SELECT p.session_id, p.system, p.query, v.drift_score, v.passed, v.recommendation AS gate, CASE WHEN v.passed THEN l ELSE s END AS x FROM parts p JOIN verdict v USING (session_id) LEFT JOIN lossy l ON l.session_id = p.session_id LEFT JOIN safe s ON s.session_id = p.session_id),
+sums AS (SELECT *, coalesce(x.raw, 0) AS raw, coalesce(x.clean, 0) AS clean, coalesce(x.deduplication, 0) AS d, coalesce(x.relevance, 0) AS r, coalesce(x.summarization, 0) AS s, {_TOK.format("system")} AS ts, {_TOK.format(_CLEAN_SYSTEM)} AS tc, {_TOK.format("query")} + 3 AS f FROM chosen),
+figures AS (SELECT *, ts + raw + f AS raw_tokens, tc + clean - d - r - s + f AS post_tokens, greatest(ts - tc + raw - clean, 0) AS structural FROM sums),
+totals AS (SELECT *, greatest(raw_tokens - post_tokens, 0) AS total, greatest(raw_tokens - post_tokens, 0) - structural - d - r - s AS adjusted FROM figures)
+SELECT session_id, coalesce(x.turns, 0) AS turns, coalesce(x.turns_kept, 0) AS turns_kept, CAST(raw_tokens AS BIGINT) AS raw_tokens, CAST(post_tokens AS BIGINT) AS post_tokens, CAST(structural AS BIGINT) AS structural, CAST(d AS BIGINT) AS deduplication, CAST(r AS BIGINT) AS relevance, CAST(s AS BIGINT) AS summarization,
+round(least(coalesce(x.c1, 1.0), coalesce(x.c2, 1.0), CASE WHEN x.summarized THEN 0.85 ELSE 1.0 END), 4) AS confidence, coalesce(x.summarized, false) AS summarized, drift_score, passed, gate, CAST(total AS BIGINT) AS token_savings, CAST(adjusted AS BIGINT) AS adjustment,
+round(100 * total / greatest(raw_tokens, 1), 2) AS pct_saved, CASE WHEN passed AND greatest(d, r, s, adjusted) > 0 THEN 'lossy' ELSE 'lossless' END AS mode FROM totals""")
 def pipeline_savings(spark, sf_dir):
     return savings.gated(turns(spark, sf_dir))
 
