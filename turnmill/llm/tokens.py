@@ -58,7 +58,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.special = [(t.content, t.normalized) for t in self.library.get_added_tokens_decoder().values()]
         self.model, self.normalizer = self.library.model, self.library.normalizer
         with open(path, encoding="utf-8") as f:
             cut = json.load(f)["pre_tokenizer"]
@@ -141,8 +141,8 @@ class Encoder:
         if not len(texts):
             return np.empty(0, np.uint16), np.empty(0, np.int64)
         whole = np.asarray(pc.match_substring_regex(texts, _UNSAFE).to_numpy(zero_copy_only=False), bool)
-        for token in self.special:
-            whole |= np.asarray(pc.match_substring(texts, token, ignore_case=True).to_numpy(zero_copy_only=False), bool)
+        for token, normalized in self.special:
+            whole |= np.asarray(pc.match_substring(texts, token, ignore_case=normalized).to_numpy(zero_copy_only=False), bool)
         safe = pc.if_else(pa.array(whole), "", texts) if whole.any() else texts
         cut = pc.split_pattern(safe, " ")
         per_text = np.diff(cut.offsets.to_numpy())
