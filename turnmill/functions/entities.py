@@ -48,12 +48,15 @@ def name_parts(name: Column) -> Column:
     return F.filter(F.transform(kept, lambda p: F.when(F.length(p) >= STEM_FROM, F.substring(p, 1, STEM)).otherwise(p)), lambda p: F.length(p) >= SHORTEST)
 
 
-def canonical(name: Column, is_url: bool = False) -> Column:
+def canonical(name: Column, is_url: bool | Column = False) -> Column:
+    """A name's parts joined, or the name itself where it has none (or is a url)."""
     trimmed = F.regexp_replace(name, r"(?U)^\s+|\s+$", "")
-    if is_url:
+    if is_url is True:
         return trimmed
-    parts = name_parts(name)
-    return F.when(F.size(parts) > 0, F.array_join(parts, "_")).otherwise(F.lower(trimmed))
+    # bound as a lambda's variable, so the parts are found once
+    joined = F.array(F.array_join(name_parts(name), "_"))
+    made = F.get(F.transform(joined, lambda j: F.when(j != "", j).otherwise(F.lower(trimmed))), 0)
+    return made if is_url is False else F.when(is_url, trimmed).otherwise(made)
 
 
 def names(text: Column, kind: str) -> Column:
@@ -63,12 +66,13 @@ def names(text: Column, kind: str) -> Column:
 
 
 def listed(text: Column) -> Column:
-    """etype, ord (the type's place), pos and name of every entity."""
-    return F.concat(*[F.transform(names(text, t), _entry(t, k)) for k, t in enumerate(TYPES)])
+    """etype, ord (the type's place), pos and name of every entity.
 
-
-def _entry(kind: str, place: int):
-    return lambda name, pos: F.struct(F.lit(kind).alias("etype"), F.lit(place).alias("ord"), pos.alias("pos"), name.alias("name"))
+    The types' matches are gathered first, so that the names are made in one place and not type by type.
+    """
+    each = F.array(*[F.struct(F.lit(t).alias("etype"), F.lit(k).alias("ord"), raw(text, t).alias("raw")) for k, t in enumerate(TYPES)])
+    made = lambda e: F.array_distinct(F.filter(F.transform(e["raw"], lambda n: canonical(n, e["etype"] == "url")), lambda n: n != ""))
+    return F.flatten(F.transform(F.filter(each, lambda e: F.size(e["raw"]) > 0), lambda e: F.transform(made(e), lambda name, pos: F.struct(e["etype"], e["ord"], pos.alias("pos"), name.alias("name")))))
 
 
 def extract(text: Column) -> Column:
@@ -79,7 +83,8 @@ def extract(text: Column) -> Column:
 
 def all_names(text: Column) -> Column:
     """The distinct names of all types."""
-    return F.array_distinct(F.concat(*[names(text, t) for t in TYPES]))
+    plain = F.transform(F.concat(*[raw(text, t) for t in TYPES if t != "url"]), lambda n: canonical(n))
+    return F.array_distinct(F.filter(F.concat(plain, F.transform(raw(text, "url"), lambda n: canonical(n, True))), lambda n: n != ""))
 
 
 def recall(reference: Column, context: Column) -> Column:
