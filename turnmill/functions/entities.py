@@ -28,6 +28,15 @@ EXTENSIONS = ("py", "js", "ts", "tsx", "jsx", "json", "yaml", "yml", "md", "txt"
 STEM_FROM, STEM, SHORTEST = 8, 4, 2
 
 
+#: What looks like a file's name and is an address, an amount, initials or a version.  Fixed values.
+FALSE_FILES = (r"^\d{1,3}(?:\.\d{1,3}){3}$", r"^\$?\d+(?:\.\d+)+$", r"^[A-Za-z](?:\.[A-Za-z])+\.?$", r"^[vV]?\d+(?:\.\d+){1,3}$")
+
+
+def false_file(name: Column) -> Column:
+    """Whether a file's name is none; the file pattern finds no such names, so this serves names from elsewhere."""
+    return F.coalesce(name.rlike("|".join(f"(?:{p})" for p in FALSE_FILES)), F.lit(False))
+
+
 def raw(text: Column, kind: str) -> Column:
     """All matches of a type, as they stand."""
     pattern, group = next((p, g) for t, p, g in PATTERNS if t == kind)

@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnmill.functions import entities
@@ -49,6 +49,30 @@ def removed_names(texts: DataFrame, key: str, content: str) -> DataFrame:
     return each.groupBy(key).agg(F.array_sort(F.collect_set("n")).alias("entities"))
 
 
+_SAVED = "array<struct<name:string,etype:string,first_seen_turn:bigint,last_seen_turn:bigint,mention_count:bigint,aliases:array<string>>>"
+
+
+def serialised(nodes: DataFrame) -> DataFrame:
+    """session_id, graph: a session's nodes (columns of NODE) as JSON, in the order of type and name."""
+    each = F.struct("name", "etype", "first_seen_turn", "last_seen_turn", "mention_count", "aliases")
+    held = nodes.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("etype", "name", each.alias("n")))).alias("l"))
+    return held.select("session_id", F.to_json(F.struct(F.transform("l", lambda x: x["n"]).alias("entities"))).alias("graph"))
+
+
+def reloaded(saved: DataFrame) -> DataFrame:
+    """The nodes of serialised graphs; fields that are missing have what a new node has."""
+    each = saved.select("session_id", F.explode(F.from_json("graph", f"struct<entities:{_SAVED}>")["entities"]).alias("n"))
+    or_ = lambda c, v: F.coalesce(F.col(f"n.{c}"), v).alias(c)
+    zero = F.lit(0).cast("long")
+    return each.select("session_id", or_("etype", F.lit("")), or_("name", F.lit("")), or_("first_seen_turn", zero), or_("last_seen_turn", zero), or_("mention_count", F.lit(1).cast("long")), or_("aliases", F.array().cast("array<string>")))
+
+
+def registry(activity: DataFrame, now: Column, ttl_seconds: int = 86_400) -> DataFrame:
+    """session_id, turns, first_ts, last_ts and live (within the time to live of its last turn) of every session (activity: session_id, ts)."""
+    seen = activity.groupBy("session_id").agg(F.count("*").alias("turns"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    return seen.withColumn("live", F.col("last_ts").cast("timestamp") + F.make_interval(secs=F.lit(ttl_seconds)) >= now)
+
+
 class Graph:
     """One session's entities as turns come.  `tokens_of` gives a name's parts."""
 

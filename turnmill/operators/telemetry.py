@@ -168,3 +168,36 @@ def loss_log(signals: DataFrame, details: DataFrame) -> DataFrame:
     """request_id, stages, removed_indices and sorted entities of the compression before each signal (details: request_id, stage, removed_index, entity)."""
     held = details.groupBy("request_id").agg(F.array_sort(F.collect_set("stage")).alias("stages"), F.array_sort(F.collect_set("removed_index")).alias("removed_indices"), F.array_sort(F.collect_set("entity")).alias("entities"))
     return signals.join(held.withColumnRenamed("request_id", "last_request_id"), "last_request_id", "left")
+
+
+def last_compression(details: DataFrame, order: tuple[str, ...] = ("ts", "request_id")) -> DataFrame:
+    """The latest row of every session: what a later signal of lost context is held against."""
+    rest = [c for c in details.columns if c != "session_id"]
+    latest = details.where("session_id is not null").groupBy("session_id").agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_last"))
+    return latest.select("session_id", "_last.*")
+
+
+def gate_log(verdicts: DataFrame, threshold: float, mode: str = "lossy") -> DataFrame:
+    """One row for each failed gate: what it measured, and that the session fell back to lossless (verdicts: columns of `quality.gated`)."""
+    failed = verdicts.where("not passed")
+    return failed.select("session_id", "drift_score", F.lit(threshold).alias("threshold"), "passed", "fallback_used", "recommendation", F.lit(mode).alias("mode_before"), F.lit("lossless").alias("mode_after"))
+
+
+def savings_summary(events: DataFrame) -> DataFrame:
+    """mode, requests and mean, least and greatest percentage saved, rounded to one digit as reports have it, and mean confidence."""
+    pct = F.col("pct_saved")
+    return events.groupBy(F.col("compression_mode").alias("mode")).agg(F.count("*").alias("requests"), F.round(F.avg(pct), 1).alias("mean_pct"), F.min(pct).alias("min_pct"), F.max(pct).alias("max_pct"), F.round(F.avg("confidence_score"), 4).alias("mean_confidence"))
+
+
+def rolled_up_since(events: DataFrame, totals_: DataFrame | None = None) -> DataFrame:
+    """Day totals with the high-water mark: events beyond each day's `last_ts` are added to what an earlier roll-up had.
+
+    totals_: day, requests, cost_usd_saved, last_ts of the last roll-up.  An event at or before its day's mark was counted then.
+    """
+    dated = events.select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "ts", "cost_usd_saved")
+    sums = (F.sum("requests").alias("requests"), F.round(F.sum("cost_usd_saved"), 6).alias("cost_usd_saved"), F.max("last_ts").alias("last_ts"))
+    if totals_ is None:
+        return dated.select("day", F.lit(1).cast("long").alias("requests"), "cost_usd_saved", F.col("ts").alias("last_ts")).groupBy("day").agg(*sums)
+    new = dated.join(totals_.select("day", F.col("last_ts").alias("_mark")), "day", "left").where(F.col("_mark").isNull() | (F.col("ts") > F.col("_mark")))
+    rows = new.select("day", F.lit(1).cast("long").alias("requests"), "cost_usd_saved", F.col("ts").alias("last_ts"))
+    return totals_.select(*rows.columns).unionByName(rows).groupBy("day").agg(*sums)

@@ -276,6 +276,21 @@ def json_compress(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.length("html").alias("n_chars"), F.length(structural.compress(F.col("html"))).alias("n_clean"))
 
 
+@query()
+def token_count_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    return table(spark, sf_dir, "documents").select("doc_id", tokens.count(F.col("text"), "gpt-4o", tokens.bpe_counter(public_tokenizers.path("byte_bpe_50k.json"))).alias("n_tokens"))
+
+
+@query("SELECT user_id AS request_id, max(CASE WHEN user_id % 3 = 0 THEN true WHEN user_id % 3 = 1 THEN user_id % 2 = 0 ELSE user_id % 5 = 0 END) AS authorised FROM events GROUP BY user_id")
+def auth_check(spark, sf_dir):
+    users = table(spark, sf_dir, "events").select(F.col("user_id").alias("request_id")).distinct()
+    bearer = F.when(F.col("request_id") % 3 == 0, " bearer  k-1 ").when(F.col("request_id") % 3 == 1, F.when(F.col("request_id") % 2 == 0, "Bearer k-1").otherwise("Bearer other"))
+    key = F.when(F.col("request_id") % 5 == 0, " k-1 ").when(F.col("request_id") % 3 == 1, "k-1")
+    return users.select("request_id", chat.authorised(bearer, key, "k-1").alias("authorised"))
+
+
 _NAMES = [*(m for m, _ in tokens.LISTED_MODELS), "o1-mini", "o3", "gpt-5", "claude-2.1", "claude-3-haiku", "llama-3"]
 _NAMED = "names AS (SELECT unnest([" + ", ".join(f"'{n}'" for n in _NAMES) + "]) AS model)"
 
@@ -502,6 +517,17 @@ def entity_line(spark, sf_dir):
     return summary.entity_line(graph.edges(_notes(spark, sf_dir)))
 
 
+@query()
+def graph_reload(spark, sf_dir):
+    return graph.reloaded(graph.serialised(graph.resolved(_notes(spark, sf_dir)))).withColumn("aliases", F.array_join("aliases", ","))
+
+
+@query("SELECT name, regexp_matches(name, '^[0-9]{1,3}([.][0-9]{1,3}){3}$') OR regexp_matches(name, '^[$]?[0-9]+([.][0-9]+)+$') OR regexp_matches(name, '^[A-Za-z]([.][A-Za-z])+[.]?$') OR regexp_matches(name, '^[vV]?[0-9]+([.][0-9]+){1,3}$') AS false_file FROM (SELECT DISTINCT unnest(string_split(text, ' ')) AS name FROM documents UNION SELECT unnest(['10.0.0.1', '$3.50', 'U.S.', 'v1.2.3', 'main.py', '1.2.3.4.5']))")
+def false_files(spark, sf_dir):
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", " ", -1)).alias("name")).union(spark.createDataFrame([(n,) for n in ("10.0.0.1", "$3.50", "U.S.", "v1.2.3", "main.py", "1.2.3.4.5")], "name string")).distinct()
+    return words.select("name", entities.false_file(F.col("name")).alias("false_file"))
+
+
 # --- summaries and plans ---------------------------------------------------------------------
 
 
@@ -601,6 +627,11 @@ def quality_gate(spark, sf_dir):
     return quality.gated(savings.contexts(every, reuse.once(savings.annotated(every, savings.Settings()))), "original", "compressed").drop("original", "compressed")
 
 
+@query("WITH RECURSIVE " + _GATED + " SELECT session_id, drift_score, 0.15::DOUBLE AS threshold, passed, fallback_used, recommendation, 'lossy' AS mode_before, 'lossless' AS mode_after FROM verdict WHERE NOT passed")
+def gate_log(spark, sf_dir):
+    return telemetry.gate_log(quality_gate(spark, sf_dir), quality.THRESHOLD)
+
+
 def _mode_sums(stage: str, held: str, mode: str) -> str:
     gone = ", ".join(f"coalesce(sum(tokens) FILTER ({stage} = '{s}'), 0) AS {s}" for s in savings.STAGES)
     return f"""{mode} AS (SELECT session_id, count(*) AS turns, count(*) FILTER ({stage} IS NULL) AS turns_kept, sum(raw_tokens) AS raw, sum(tokens) AS clean, {gone}, coalesce(min(similarity) FILTER ({stage} = 'deduplication'), 1.0) AS c1,
@@ -721,6 +752,43 @@ def context_loss_asof(spark, sf_dir):
     return telemetry.as_of(signals, latest, "session_id", "ts", ("request_id",)).select("request_id", "session_id", "last_request_id")
 
 
+@query(f"""WITH {_FACTS}, s AS (SELECT request_id, session_id, ts FROM facts WHERE endpoint = '/chat'), c AS (SELECT request_id, session_id, ts FROM facts WHERE compression_mode = 'lossy'),
+a AS (SELECT s.request_id, any_value(s.session_id) AS session_id, arg_max(c.request_id, (c.ts, c.request_id)) AS last_request_id FROM s LEFT JOIN c ON c.session_id = s.session_id AND c.ts < s.ts GROUP BY s.request_id),
+d AS (SELECT request_id, 'structural' AS stage, s_structural AS removed_index, endpoint AS entity FROM facts WHERE s_structural > 0 UNION ALL SELECT request_id, 'deduplication', s_dedup, model FROM facts WHERE s_dedup > 0),
+h AS (SELECT request_id, array_to_string(list_sort(list(DISTINCT stage)), ',') AS stages, array_to_string(list_sort(list(DISTINCT removed_index)), ',') AS removed_indices, array_to_string(list_sort(list(DISTINCT entity)), ',') AS entities FROM d GROUP BY request_id)
+SELECT a.request_id, session_id, last_request_id, stages, removed_indices, entities FROM a LEFT JOIN h ON h.request_id = a.last_request_id""")
+def context_loss_log(spark, sf_dir):
+    f = facts(spark, sf_dir)
+    each = f.select("request_id", F.explode(F.array(*[F.struct(F.lit(stage).alias("stage"), F.col("savings_by_stage")[stage].alias("removed_index"), F.col(entity).alias("entity")) for stage, entity in (("structural", "endpoint"), ("deduplication", "model"))])).alias("d"))
+    log = telemetry.loss_log(context_loss_asof(spark, sf_dir), each.select("request_id", "d.*").where("removed_index > 0"))
+    joined = {c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("stages", "removed_indices", "entities")}
+    return log.withColumns(joined).select("request_id", "session_id", "last_request_id", *joined)
+
+
+@query(f"WITH {_FACTS} SELECT session_id, arg_max(request_id, (ts, request_id)) AS request_id, arg_max(confidence_score, (ts, request_id)) AS confidence_score FROM facts WHERE compression_mode = 'lossy' GROUP BY session_id")
+def last_compression(spark, sf_dir):
+    latest = facts(spark, sf_dir).where("compression_mode = 'lossy'").select("session_id", "ts", "request_id", "confidence_score")
+    return telemetry.last_compression(latest).select("session_id", "request_id", "confidence_score")
+
+
+@query(f"WITH {_FACTS} SELECT session_id, count(*) AS turns, max(ts) + INTERVAL 86400 SECOND >= TIMESTAMP '2024-01-30' AS live FROM facts GROUP BY session_id")
+def session_registry(spark, sf_dir):
+    return graph.registry(facts(spark, sf_dir), F.lit("2024-01-30").cast("timestamp")).select("session_id", "turns", "live")
+
+
+@query(f"WITH {_FACTS} SELECT compression_mode AS mode, count(*) AS requests, round(avg(pct_saved), 1) AS mean_pct, min(pct_saved) AS min_pct, max(pct_saved) AS max_pct, round(avg(confidence_score), 4) AS mean_confidence FROM facts GROUP BY compression_mode")
+def savings_summary(spark, sf_dir):
+    return telemetry.savings_summary(facts(spark, sf_dir))
+
+
+@query(f"WITH {_FACTS} SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS requests, round(sum(cost_usd_saved), 4) AS cost_usd_saved FROM facts GROUP BY day")
+def cost_high_water(spark, sf_dir):
+    f, mark = facts(spark, sf_dir), F.lit("2024-01-15 12:00:00").cast("timestamp_ntz")
+    earlier = telemetry.rolled_up_since(f.where(F.col("ts") <= mark))
+    # all events come again: those up to each day's mark were counted
+    return telemetry.rolled_up_since(f, earlier).select("day", "requests", F.round("cost_usd_saved", 4).alias("cost_usd_saved"))
+
+
 _LOOKUPS = f"""{_FACTS}, log AS (SELECT session_id AS key, request_id, epoch(ts) AS t, row_number() OVER (PARTITION BY session_id ORDER BY ts, request_id) AS i FROM facts),
 walk AS (SELECT key, request_id, i, false AS hit, t + 3600 AS until FROM log WHERE i = 1
   UNION ALL SELECT l.key, l.request_id, l.i, l.t <= w.until, CASE WHEN l.t <= w.until THEN w.until ELSE l.t + 3600 END FROM walk w JOIN log l ON l.key = w.key AND l.i = w.i + 1)"""

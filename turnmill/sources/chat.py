@@ -84,6 +84,14 @@ def synthetic(spark: SparkSession, sessions: int, turns: int, topics: tuple[str,
     return grid.select("session_id", "turn_id", F.when(user, "user").otherwise("assistant").alias("role"), F.when(user, F.concat(F.lit("Can you explain "), topic, F.lit("?"))).otherwise(F.concat(F.lit("Here is how "), topic, F.lit(" works, step by step."))).alias("content"))
 
 
+def authorised(authorization: Column, api_key: Column, expected: str | None) -> Column:
+    """Whether a request names the expected key, as a bearer token or, without one, as an API key; without an expected key all do."""
+    if not expected:
+        return F.lit(True)
+    bearer = F.regexp_extract(F.trim(filled(authorization)), r"(?i)^Bearer\s+(.+)$", 1)
+    return F.when(bearer != "", bearer).otherwise(F.trim(filled(api_key))) == expected
+
+
 def payload(system: Column, summary: Column, turns: Column, query: Column, model: Column, prefix_hit: Column, temperature: Column, max_tokens: Column) -> Column:
     """The JSON that a provider gets: a summary as an exchange before the history; the system prompt as a message, or as a field for claude models."""
     say = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))

@@ -1,4 +1,4 @@
-"""Streaming state: the entity graph and the rolling summary of sessions, and cache entries.
+"""Streaming state: the entity graph, the rolling summary and the last compression of sessions, and cache entries.
 
 `transformWithStateInPandas` keeps, for each session, the graph's nodes and turns seen, and the
 summary, all with a time to live; a turn that comes twice is taken once.
@@ -80,6 +80,37 @@ def summary_stream(extracts: DataFrame, chars: int = 800) -> DataFrame:
     return keyed.groupBy("session_id").transformWithStateInPandas(SummaryProcessor(chars), "session_id string, summary string", "update", "processingTime")
 
 
+class LastCompressionProcessor(StatefulProcessor):
+    """Keeps a session's latest compression and gives it to the signals that come after it.
+
+    Rows hold details (a compression) or null (a signal); in the order of t and id each signal gets the details before it.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "id long, details string", TTL_MS)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last = tuple(self.last.get()) if self.last.exists() else None
+        out = []
+        for row in pd.concat(list(rows)).sort_values(["t", "id"]).itertuples():
+            if row.details is not None:
+                last = (int(row.id), row.details)
+            else:
+                out.append((str(key[0]), int(row.id), *(last or (None, None))))
+        if last:
+            self.last.update(last)
+        yield pd.DataFrame(out, columns=["session_id", "id", "last_id", "details"]).astype({"last_id": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def last_compression_stream(rows: DataFrame) -> DataFrame:
+    """A stream of compressions and signals (session_id, id, t, details) as a stream of signals: session_id, id, last_id, details."""
+    keyed = rows.select(F.col("session_id").cast("string").alias("session_id"), F.col("id").cast("long").alias("id"), F.col("t").cast("double").alias("t"), F.col("details").cast("string").alias("details"))
+    return keyed.groupBy("session_id").transformWithStateInPandas(LastCompressionProcessor(), "session_id string, id long, last_id long, details string", "update", "processingTime")
+
+
 class CacheProcessor(StatefulProcessor):
     """hit for each lookup of a key: whether its entry, written at the last miss, was still valid at the lookup's own time."""
 
