@@ -58,7 +58,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.special = [(t.content, t.normalized) for t in self.library.get_added_tokens_decoder().values()]
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.model, self.normalizer = self.library.model, self.library.normalizer
         with open(path, encoding="utf-8") as f:
             cut = json.load(f)["pre_tokenizer"]
@@ -97,20 +97,19 @@ class Encoder:
                 if normalize:
                     word = word.lower()
                 bare = word[1:] if self.spaced and word[:1] == " " else word
-                if not _ODD.isdisjoint(word):
-                    flat += self._whole(word)
-                    lengths.append(len(flat) - before)
-                    continue
                 if bare.isalpha():  # one piece
                     flat += [t.id for t in tokenize("\u0120" + bare if bare is not word else word)]
                     lengths.append(len(flat) - before)
                     continue
-            elif max(word) > "\u024f" or not _ODD.isdisjoint(word):
+                odd = not _ODD.isdisjoint(word)
+            else:
+                odd = max(word) > "\u024f" or not _ODD.isdisjoint(word)
+                if normalize and not odd:
+                    word = normalize(word)
+            if odd:
                 flat += self._whole(word)
                 lengths.append(len(flat) - before)
                 continue
-            elif normalize:
-                word = normalize(word)
             for piece in self.split(word):
                 flat += [t.id for t in tokenize(piece.encode().decode("latin-1").translate(self.letters))]
             lengths.append(len(flat) - before)
@@ -141,8 +140,8 @@ class Encoder:
         if not len(texts):
             return np.empty(0, np.uint16), np.empty(0, np.int64)
         whole = np.asarray(pc.match_substring_regex(texts, _UNSAFE).to_numpy(zero_copy_only=False), bool)
-        for token, normalized in self.special:
-            whole |= np.asarray(pc.match_substring(texts, token, ignore_case=normalized).to_numpy(zero_copy_only=False), bool)
+        for token in self.special:  # in any case: a tokenizer may look for them after lower-casing, and this search is the faster one
+            whole |= np.asarray(pc.match_substring(texts, token, ignore_case=True).to_numpy(zero_copy_only=False), bool)
         safe = pc.if_else(pa.array(whole), "", texts) if whole.any() else texts
         cut = pc.split_pattern(safe, " ")
         per_text = np.diff(cut.offsets.to_numpy())
