@@ -2,6 +2,7 @@
 
 import json
 import math
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -100,3 +101,67 @@ def test_sql_functions(spark):
     row = spark.sql("""SELECT ctx_token_count('a b') AS n, ctx_keyword_sim('a b', 'b c') AS s, ctx_normalize('x\\n\\n\\n\\nx  y') AS t, ctx_compress('{"message": 1}!!!') AS c""").first()
     assert (row.n, row.s, row.t, row.c) == (2, 0.5, "x\n\nx y", '{"msg":1}!')
     assert spark.sql("SELECT * FROM ctx_extract_entities('task #42')").collect()[0]["name"] == "task_42"
+
+
+def _plain_spans(text):
+    """JSON objects and arrays from left to right, by the standard decoder at every opening bracket."""
+    out, at, decoder = [], 0, json.JSONDecoder()
+    while at < len(text):
+        if text[at] in "{[":
+            try:
+                value, end = decoder.raw_decode(text, at)
+                out.append((at, end, value))
+                at = end
+                continue
+            except ValueError:
+                pass
+        at += 1
+    return out
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(['{"message": 1}', '[1, {"content": "a b"}]', "{", "}", "[", "]", '"', " and ", '{"k": [}', '{"a": {"b": [1, 2, {"c": 3}]}}', '"q" ', "\\"]), max_size=9))
+def test_json_spans_against_the_decoder(parts):
+    text = "".join(parts)
+    assert [(a, b) for a, b, _ in structural.json_spans(text)] == [(a, b) for a, b, _ in _plain_spans(text)]
+
+
+def test_long_texts_are_normalised_in_linear_time(spark):
+    lines = [f"line {k // 2}  x " for k in range(20_000)]
+    begin = time.monotonic()
+    made = one(spark, text.normalize_prompt(F.col("x")), "\n".join(lines))
+    assert time.monotonic() - begin < 30 and made == "\n".join(f"line {k} x" for k in range(10_000))
+
+
+ENTITY_TEXTS = [
+    "I'm working on file.py for task #42, see https://a.io/x?q=1 and AuthService.login() in the billing core module",
+    "user Ann said my name is Zoë; @bob Carl and I am Dave. data_loader.py, data_loader.py OPENAI_API_KEY HTTPServer parse_json(x)",
+    "éfile.py cafe.pyé naïve_name ÜberClass StraßeName ISSUE 7 pr:12 story#3 U.S. v1.2.3", "", None, "nothing here",
+]
+
+
+def test_all_types_against_python(spark):
+    """Every type of entity, name by name, against Python's regular expressions."""
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(ENTITY_TEXTS)], "k int, x string").select("k", entities.listed(F.col("x")).alias("l"), entities.all_names(F.col("x")).alias("a"), entities.extract(F.col("x")).alias("e")).collect()
+    for k, found, names, by_type in rows:
+        wanted = sqlfuncs.found_entities(ENTITY_TEXTS[k] or "")
+        assert [(e["etype"], e["name"], e["pos"]) for e in found] == wanted, k
+        assert names == list(dict.fromkeys(n for _, n, _ in wanted))
+        assert by_type == {t: [n for u, n, _ in wanted if u == t] for t in dict.fromkeys(t for t, _, _ in wanted)}
+    assert {t for row in rows for t in row["e"]} == set(entities.TYPES)
+
+
+@pytest.mark.parametrize(("name", "no_file"), [("10.0.0.1", True), ("$3.50", True), ("U.S.", True), ("v1.2.3", True), ("main.py", False), (None, False)])
+def test_false_files(spark, name, no_file):
+    assert one(spark, entities.false_file(F.col("x")), name) is no_file
+
+
+def test_bpe_counts(spark):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path, texts = public.path("byte_bpe_50k.json"), ["hello world", "", None, "naïve  café\n\n" * 50, "x" * 5000]
+    made = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, x string").select("k", tokens.count(F.col("x"), "gpt-4o", tokens.bpe_counter(path)).alias("n"), tokens.count(F.col("x"), "claude-3", tokens.bpe_counter(path)).alias("c")).collect()
+    library = Tokenizer.from_file(path)
+    assert {r.k: r.n for r in made} == {k: len(library.encode(t or "", add_special_tokens=False).ids) for k, t in enumerate(texts)}
+    assert made[0].c == 3

@@ -224,3 +224,100 @@ def test_windows_stream_and_batch(spark, tmp_path):
     stream = windows.tumbling(spark.readStream.schema(events.schema).parquet(str(tmp_path / "e")), "1 day", "event_type", "value", late="1 hour")
     assert sorted(_run(stream, tmp_path / "c", "complete")) == sorted(batch) and len(batch) == 2
     assert windows.sessions(events.withColumn("user_id", F.lit(1)), "2 hours", "user_id").count() == 4
+
+
+def test_resolution_is_the_plain_fold(spark):
+    """Entities of many turns against a fold written with lists and linear search."""
+    import random
+
+    rng = random.Random(7)
+    pieces = ["data_loader.py", "loader_data.py", "AuthService", "auth_token_store", "that file", "this function", "it", "task #7", "parse_rows(", "see https://a.io/q", "plain words", "this class", "MAX_ROWS"]
+    texts = [[" ".join(rng.choices(pieces, k=rng.randrange(5))) for _ in range(12)] for _ in range(6)]
+    for s, row in enumerate(texts):
+        nodes = []  # [etype, name, first, last, count, aliases, parts]
+        for turn, content in enumerate(row):
+            from turnmill.functions import sqlfuncs
+
+            said = [(t, n) for t, n, _ in sqlfuncs.found_entities(content)]
+            for etype, pattern in graph._REFERENCES:
+                of = [x for x in nodes if etype in (None, x[0])]
+                if pattern.search(content) and of:
+                    newest = max(x[3] for x in of)
+                    target = next(x for x in of if x[3] == newest)
+                    use = etype or next(x[0] for x in nodes if x[1] == target[1])
+                    if (use, target[1]) not in said:
+                        said.append((use, target[1]))
+            kinds = list(dict.fromkeys(t for t, _ in said))
+            for etype, name in sorted(said, key=lambda m: kinds.index(m[0])):
+                own, best, most = set(graph.name_parts(name)), name, 0.0
+                for x in nodes if own else []:
+                    share = len(own & x[6]) / max(len(own), len(x[6]), 1)
+                    if share >= 0.7 and share > most:
+                        best, most = x[1], share
+                known = next((x for x in nodes if (x[0], x[1]) == (etype, best)), None)
+                if known is None:
+                    nodes.append([etype, best, turn, turn, 1, [name] if name != best else [], set(graph.name_parts(best)) | own])
+                else:
+                    known[3], known[4] = turn, known[4] + 1
+                    if name != best and name not in known[5]:
+                        known[5].append(name)
+                        known[6] |= own
+        texts[s] = (row, sorted((*x[:5], tuple(x[5])) for x in nodes))
+    made = graph.resolved(turns(spark, *[row for row, _ in texts]))
+    found = {}
+    for r in made.collect():
+        found.setdefault(r.session_id, []).append((r.etype, r.name, r.first_seen_turn, r.last_seen_turn, r.mention_count, tuple(r.aliases)))
+    assert {s: sorted(v) for s, v in found.items()} == {s: wanted for s, (_, wanted) in enumerate(texts) if wanted}
+    again = graph.reloaded(graph.serialised(made)).select(*made.columns)
+    assert sorted(map(str, again.collect())) == sorted(map(str, made.collect()))
+    partial = spark.createDataFrame([("s", '{"entities":[{"name":"a","etype":"file"}]}'), ("t", "{}"), ("u", None)], "session_id string, graph string")
+    assert [tuple(r) for r in graph.reloaded(partial).collect()] == [("s", "file", "a", 0, 0, 1, [])]
+
+
+def test_a_hot_session_is_decided_link_by_link(spark):
+    """One block of many equal rows: all but the first go, and no list of links is held."""
+    rows = spark.createDataFrame([(0, k, f"the same words again {k % 2}") for k in range(600)] + [(1, 0, "other")], TURNS.replace("role string, ", ""))
+    out = dedup.deduplicated(rows, "session_id", "turn_id", "content", 0.99)
+    assert {(r.session_id, r.turn_id) for r in out.where("kept").collect()} == {(0, 0), (0, 1), (1, 0)} and out.count() == 601
+
+
+def test_gate_and_loss_logs(spark):
+    verdicts = quality.gated(spark.createDataFrame([(1, "a b c d", "a b c d"), (2, "a b c d", "a")], "session_id long, o string, c string"), "o", "c")
+    assert [(r.session_id, r.threshold, r.mode_after) for r in telemetry.gate_log(verdicts, 0.15).collect()] == [(2, 0.15, "lossless")]
+    signals = spark.createDataFrame([(5, "s", 3), (6, "s", None)], "request_id long, session_id string, last_request_id long")
+    details = spark.createDataFrame([(3, "relevance", 4, "b"), (3, "deduplication", 1, "a"), (3, "relevance", 2, "a")], "request_id long, stage string, removed_index long, entity string")
+    rows = {r.request_id: r for r in telemetry.loss_log(signals, details).collect()}
+    assert (rows[5].stages, rows[5].removed_indices, rows[5].entities) == (["deduplication", "relevance"], [1, 2, 4], ["a", "b"]) and rows[6].stages is None
+
+
+def test_last_compression_stream(spark, tmp_path):
+    rows = [("s", 1, 1.0, None), ("s", 2, 2.0, "x"), ("s", 3, 3.0, None), ("s", 4, 4.0, "y"), ("s", 5, 5.0, None), ("t", 6, 1.0, None)]
+    table = spark.createDataFrame(rows, "session_id string, id long, t double, details string")
+    table.write.parquet(str(tmp_path / "d"))
+    out = _run(state.last_compression_stream(spark.readStream.schema(table.schema).parquet(str(tmp_path / "d"))), tmp_path / "c3")
+    assert {(r.id, r.last_id, r.details) for r in out} == {(1, None, None), (3, 2, "x"), (5, 4, "y"), (6, None, None)}
+
+
+def test_summary_stream(spark, tmp_path):
+    table = spark.createDataFrame([("s", 1, "one"), ("s", 2, "two"), ("t", 1, "x" * 20)], "session_id string, turn_id long, extract string")
+    table.write.parquet(str(tmp_path / "d"))
+    out = _run(state.summary_stream(spark.readStream.schema(table.schema).parquet(str(tmp_path / "d")), 10), tmp_path / "c4")
+    assert {(r.session_id, r.summary) for r in out} == {("s", "one | two"), ("t", "x" * 10)}
+
+
+def test_bounded_sink_and_reports(spark, tmp_path):
+    keep = windows.bounded(3, str(tmp_path / "log"))
+    make = lambda ids: spark.createDataFrame([(k, dt.datetime(2024, 1, 1, 0, 0, k)) for k in ids], "request_id long, ts timestamp")
+    keep(make([1, 2]), 0)
+    keep(make([3, 4, 5]), 1)
+    assert sorted(r.request_id for r in spark.read.parquet(str(tmp_path / "log/v=1")).collect()) == [3, 4, 5]
+    chat.write_report(make([1]), str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report")).count() == 1
+    (tmp_path / "requests.jsonl").write_text(json.dumps({"model": "gpt-4o", "messages": [{"role": "user", "content": "hi"}], "session_id": "s"}) + "\n")
+    assert chat.read_requests(spark, str(tmp_path / "requests.jsonl")).first().messages[0].content == "hi"
+
+
+def test_high_water_mark_counts_each_event_once(spark):
+    e = spark.createDataFrame([(dt.datetime(2024, 1, d, h), 1.0) for d in (1, 2) for h in (1, 2, 3)], "ts timestamp, cost_usd_saved double")
+    part = telemetry.rolled_up_since(e.where("hour(ts) <= 2"))
+    assert sorted((r.day, r.requests) for r in telemetry.rolled_up_since(e, part).collect()) == [("2024-01-01", 3), ("2024-01-02", 3)]
