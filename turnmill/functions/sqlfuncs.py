@@ -17,7 +17,7 @@ _SQL = {
         / nullif(sqrt(CAST(size(array_distinct(regexp_extract_all(lower(coalesce(a, '')), "[a-z0-9']+", 0))) AS DOUBLE) * size(array_distinct(regexp_extract_all(lower(coalesce(b, '')), "[a-z0-9']+", 0)))), 0), 0.0)"""),
     "ctx_normalize": ("text STRING", "STRING", r"""
         get(transform(array(transform(split(@T, '\n', -1), l -> regexp_replace(l, '(?U)\\s+$', ''))), s ->
-          array_join(transform(filter(arrays_zip(s, concat(array(CAST(NULL AS STRING)), slice(s, 1, size(s) - 1))), x -> x['1'] IS NULL OR x['0'] <> x['1']), x -> x['0']), '\n')), 0)""".replace(
+          array_join(transform(filter(arrays_zip(s, concat(array(CAST(NULL AS STRING)), slice(s, 1, size(s) - 1))), x -> x['1'] IS NULL OR x.s <> x['1']), x -> x.s), '\n')), 0)""".replace(
         "@T", r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '(?U)^\\s+|\\s+$', ''), '\r\n|\r', '\n'), '[ \t]+', ' '), '\n{3,}', '\n\n')")),
 }
 
