@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import saved, text_of
 from .shingles import mix, word_hashes, words_of
 
-BLOCK_ROWS, BUCKET_WORDS = 4096, 1_000_000
+BLOCK_ROWS, BUCKET_WORDS, ROWS_AT_ONCE = 4096, 1_000_000, 512
 FACTOR, LEAST = 0.4, 2
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 _BLOCK = "block long, doc_ids array<long>, sizes array<int>, vocab binary, words binary, n long"
