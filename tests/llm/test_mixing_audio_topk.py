@@ -182,8 +182,31 @@ def test_top_k_of_any_finite_components(spark):
     clamp = lambda s: max(-(2**63), min(2**63 - 1, s))
     wanted = []
     for i, q in ((i, q) for i, q in of if i % 100 == 0):
-        best = sorted({(-sum(a * b for a, b in zip(q, x)), j) for j, x in of if j != i and len(x) == len(q)})[:10]
+        best = sorted((-sum(a * b for a, b in zip(q, x)), j) for j, x in of if j != i and len(x) == len(q))[:10]
         wanted += [(i, n + 1, j, clamp(-s)) for n, (s, j) in enumerate(best)]
     assert sorted(map(tuple, topk.searched(table).collect())) == sorted(wanted)
     vectors = topk.taking_part(table)
     assert sorted(map(tuple, topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), block=100, group=2).collect())) == sorted(wanted)
+
+
+def test_top_k_counts_repeated_rows(spark):
+    """Each candidate row counts, whole rows repeated 12 and 30 times too, within a block (one id) and across blocks (other ids of equal vectors)."""
+    rng = random.Random(12)
+    vector = lambda: [rng.gauss(0, 1) for _ in range(6)]
+    rows = [(k, vector()) for k in range(90)]
+    near = [v * 3 for v in rows[0][1]]
+    rows += [(1001, near)] * 12 + [(1002, [v * 2 for v in rows[0][1]])] * 30 + [(2001 + k, near) for k in range(4)] * 2 + [(100, vector())]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    of = [(i, [math.floor(Fraction(v) * 1024) for v in x]) for i, x in rows]
+    wanted = []
+    for i, q in ((i, q) for i, q in of if i % 100 == 0):
+        best = sorted((-sum(a * b for a, b in zip(q, x)), j) for j, x in of if j != i)[:10]
+        wanted += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    vectors = topk.taking_part(table)
+    for block in (None, 20, 7):
+        found = topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), block=block, group=1)
+        assert sorted(map(tuple, found.collect())) == sorted(wanted)
+    duckdb = pytest.importorskip("duckdb")
+    embeddings = table.toArrow()  # noqa: F841
+    by_sql = duckdb.sql(queries.SQL["op10_top_k"]).fetchall()
+    assert sorted(map(tuple, topk.searched(table).collect())) == sorted(by_sql)
