@@ -206,9 +206,8 @@ def _grouped(docs: DataFrame, width: int, percent: int, k: int, long_list: int)
     return found.drop("sketch"), by_class
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int = 64, long_list: int = 24) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id that can be reached) and kept, for every row of docs."""
-    found, by_class = _grouped(docs, width, percent, k, long_list)
+def by_document(found: DataFrame, by_class: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of found (doc_id, n_shingles, digest), from the root of every class (digest, root)."""
     ids = found.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id", "digest").agg(F.lit(1).alias("_one")).join(by_class, "digest").select("doc_id", "root")
     least = ids.groupBy("root").agg(F.min("doc_id").alias("least"))
     per_id = saved(ids.join(least, "root").groupBy("doc_id").agg(F.min("least").alias("least"), F.max("least").alias("other")), "ids")
@@ -217,7 +216,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
         every = ids.join(least, "root").select("doc_id", F.col("least").alias("b")).join(per_id.where("least <> other").select("doc_id", F.col("least").alias("a")), "doc_id")
         moved = components(every.select("a", "b")).select(F.col("node").alias("least"), "root")
         per_id = per_id.join(moved, "least", "left").select("doc_id", F.coalesce("root", "least").alias("least"))
-    out = found.join(per_id.select("doc_id", "least"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    return found.join(per_id.select("doc_id", "least"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int = 64, long_list: int = 24) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least doc_id that can be reached) and kept, for every row of docs."""
+    found, by_class = _grouped(docs, width, percent, k, long_list)
+    out = by_document(found, by_class)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

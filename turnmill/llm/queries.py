@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, backoff, minhash, mixing, negatives, packing, pii, resample, topk, toxicity, wavelet, whitening
+from . import audio, backoff, minhash, mixing, negatives, packing, parity, pii, resample, topk, toxicity, wavelet, whitening
 from .common import saved, shared_dir, table
 
 
@@ -61,6 +61,10 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.searched(table(spark, sf_dir, "embeddings"))
 
 
+def op11_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity.joined(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
 
@@ -74,7 +78,7 @@ QUERIES = {
     for f in (
         op1_wavelet_tokens, op2_minhash_near_duplicates, op3_importance_resampling, op4_subword_toxicity, op5_personal_data,
         op6_stupid_backoff, op7_source_mixing, op8_telephony_audio, op9_best_fit_packing, op10_top_k,
-        op12_embedding_whitening, op13_hard_negatives,
+        op11_parity_join, op12_embedding_whitening, op13_hard_negatives,
     )
 }
 
@@ -127,5 +131,20 @@ pairs AS (
   GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a)
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.b) AS component_id, s.doc_id = min(r.b) AS kept
+FROM sets s JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id, len(s.s)""",
+    "op11_parity_join": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]))
+                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
+  FROM words),
+held AS (SELECT doc_id, len(s) AS n, unnest(s) AS v FROM sets),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM held a JOIN held b ON a.v = b.v AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.b) AS component_id
 FROM sets s JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id, len(s.s)""",
 }

@@ -17,6 +17,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def bounded(batch: pa.RecordBatch, text: str, rows: int, size: int = 16 << 20):
+    """The batch in slices of at most so many rows and, unless one row is longer, bytes of text."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = upto[at - 1] if at else 0
+        n = int(np.searchsorted(upto[at : at + rows], before + size, side="right"))
+        yield batch.slice(at, max(1, n))
+        at += max(1, n)
+
+
 def words_of(texts: pa.Array, lower: bool = True) -> tuple[pa.DictionaryArray, np.ndarray]:
     """The words of all texts, one text after the other, and how many each has.  A-Z only is lower-cased."""
     texts = pc.fill_null(texts, "")
