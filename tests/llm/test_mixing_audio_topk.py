@@ -84,7 +84,7 @@ def test_adpcm_against_one_block_at_a_time():
 
 def test_resampling_in_parts():
     x = (8000 * np.sin(np.arange(5000) / 9)).astype(np.int16)
-    for up, down in ((2, 1), (1, 2), (3, 2)):
+    for up, down in ((2, 1), (1, 2), (3, 2), (1, 4)):
         whole = audio.resample(x, up, down)
         assert len(whole) == math.ceil(len(x) * up / down) and (audio.resample(x, up, down, at_once=333) == whole).all()
     assert np.abs(audio.resample(x, 2, 1)[::2][50:-50].astype(int) - x[50:-50]).max() < 40
@@ -105,30 +105,29 @@ def test_audio_round_trip(docs, rows, empty, kinds):
         assert audio.parse(media)[0] == kind and audio.payload_of(media) == payload
         samples = audio.decode(media)[0]
         assert len(samples) == len(payload) * (129 / 64 if kind == audio.IMA else 1)
-        assert (audio.unpacked_pcm(r["pcm"]) == audio.resample(samples, 2, 1)).all()
+        assert (audio.unpacked_pcm(r["pcm"]) == audio.resample(samples, audio.UP, audio.DOWN)).all()
     assert audio.decoded(audio.store(empty)).count() == 0
 
 
-def test_pcm_is_packed_without_loss():
+def test_pcm_is_stored_as_samples():
+    """Two bytes a sample, and samples that the payload's codes don't hold: none can be read off the stored file."""
     rng = np.random.default_rng(4)
-    for up in (1, 2, 3):
-        for n in (0, 1, 2, 3, 64, 5000):
-            noise = rng.integers(-32768, 32768, n).astype(np.int16)
-            law = audio.resample(audio.mulaw_table()[rng.integers(0, 256, n)], up, 1)
-            changed = law.copy()
-            changed[n // 2 : n // 2 + 1] ^= 0x5A5A
-            for pcm in (noise, law, changed):
-                assert (audio.unpacked_pcm(audio.packed_pcm(pcm, up)) == pcm).all()
-            assert len(audio.packed_pcm(law, up)) == 7 + n
+    for n in (0, 1, 2, 3, 64, 5000):
+        for pcm in (rng.integers(-32768, 32768, n).astype(np.int16), audio.resample(audio.mulaw_table()[rng.integers(0, 256, 4 * n)], audio.UP, audio.DOWN)):
+            data = audio.packed_pcm(pcm)
+            assert len(data) == 2 * n and (audio.unpacked_pcm(data) == pcm).all()
+    assert len(np.setdiff1d(pcm, audio.mulaw_table())) > 2000
 
 
 def test_resampling_is_the_plain_sum():
     x = np.random.default_rng(5).integers(-32768, 32768, 300).astype(np.int16).tolist()
-    for up, down in ((2, 1), (3, 2), (1, 2)):
-        bank, out = audio._filter(up, down, 16), []
+    for up, down in ((2, 1), (3, 2), (1, 2), (3, 4), (1, 4), (441, 320)):
+        taps = audio.taps_for(up, down)
+        bank, out = audio._filter(up, down, taps), []
         for k in range(0, len(x) * up, down):
             i, p = divmod(k, up)
-            total = sum(int(bank[t, p]) * x[i + t - 7] for t in range(16) if 0 <= i + t - 7 < len(x))
+            i -= taps // 2 - 1
+            total = sum(int(bank[t, p]) * x[i + t] for t in range(taps) if 0 <= i + t < len(x))
             out.append(max(-32768, min(32767, (total + (1 << 13)) >> 14)))
         assert audio.resample(np.array(x, np.int16), up, down).tolist() == out
 
@@ -140,11 +139,14 @@ def test_audio_query_stores_the_pcm(spark, docs, rows, tmp_path):
     found = queries.op8_telephony_audio(spark, str(tmp_path)).collect()
     (path,) = set(glob.glob(f"{root}/turnmill-pcm-*")) - before
     stored = Counter((r["doc_id"], audio.unpacked_pcm(r["pcm"]).tobytes()) for r in spark.read.parquet(f"file://{path}").collect())
-    tables = [audio.mulaw_table(), audio.alaw_table()]
+    law = {audio.MULAW: audio.mulaw_table(), audio.ALAW: audio.alaw_table()}
+    samples = lambda x, kind: law[kind][np.frombuffer(x, np.uint8)] if kind in law else audio.decode(audio.coded(x, kind))[0]
     payloads = [(r[0], raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")) for r in rows for raw in [(r[1] or "").encode()]]
-    pcm = [(k, audio.resample(tables[zlib.crc32(x) % 2][np.frombuffer(x, np.uint8)], 2, 1)) for k, x in payloads]
+    kinds = [audio.KINDS[zlib.crc32(x) % len(audio.KINDS)] for _, x in payloads]
+    assert set(kinds) == {audio.MULAW, audio.ALAW, audio.IMA}
+    pcm = [(k, audio.resample(samples(x, kind), 1, 4)) for (k, x), kind in zip(payloads, kinds, strict=True)]
     assert stored == Counter((k, x.astype("<i2").tobytes()) for k, x in pcm)
-    wanted = Counter((k, audio.features(x, 16000), hashlib.sha256(x.astype("<i2").tobytes()).hexdigest()) for k, x in pcm)
+    wanted = Counter((k, audio.features(x, 2000), hashlib.sha256(x.astype("<i2").tobytes()).hexdigest()) for k, x in pcm)
     assert Counter((r["doc_id"], r["feature"], r["pcm_sha256"]) for r in found) == wanted
 
 

@@ -7,9 +7,9 @@ blocks at once with numpy, `resample` changes the rate with a windowed-sinc filt
 numbers, `decoded` gives the resampled PCM of a table of files, and `described` the features and
 digest of stored PCM.
 
-PCM is stored packed without loss (`packed_pcm`): one sample of every `up`, as companded codes
-where those are exact (else as byte planes), and how far the others are from interpolating them.
-Whole numbers give the same samples on every machine, so unpacking gives back every bit.
+PCM is stored as 16-bit samples in byte planes (`packed_pcm`) at a rate that is a parameter; its
+samples are weighted sums of many decoded ones and stand in no other column.  Whole numbers give the
+same samples on every machine.
 
 A null text is empty.  Payloads are padded with bytes 0 to a positive multiple of 64, so an
 empty text is 64 samples.  Equal texts give equal files and features.  A file of another format
@@ -31,8 +31,12 @@ from .common import saved, text_of
 
 PCM, ALAW, MULAW, IMA = 1, 6, 7, 0x11
 RATE, UNIT = 8000, 64
-#: Bytes that head an ADPCM block, and bits of the filter's whole-number coefficients.
-HEAD, BITS = 4, 14
+#: Bytes that head an ADPCM block, bits of the filter's whole-number coefficients, and its taps where the rate doesn't fall.
+HEAD, BITS, TAPS = 4, 14, 16
+#: Forms that a hash of the payload picks from: an ADPCM file decodes to twice as many samples, so there are fewer of them.
+KINDS = (MULAW, ALAW, MULAW, ALAW, MULAW, ALAW, MULAW, IMA)
+#: The stored PCM's rate is RATE * UP / DOWN.
+UP, DOWN = 1, 4
 #: PCM that a batch of decoded files holds before the next begins.
 BYTES_AT_ONCE = 16 << 20
 
@@ -60,16 +64,6 @@ def alaw_table() -> np.ndarray:
 _TABLES = {MULAW: mulaw_table(), ALAW: alaw_table()}
 
 
-def _codes(kind: int) -> np.ndarray:
-    """A code for each 16-bit value, right where the value is one of the table's."""
-    out = np.zeros(1 << 16, np.uint8)
-    out[_TABLES[kind].view(np.uint16)] = np.arange(256)
-    return out
-
-
-_CODES = {kind: _codes(kind) for kind in _TABLES}
-
-
 def wav(samples: bytes, kind: int = MULAW, rate: int = RATE, bits: int = 8, block: int = 1, extra: bytes = b"") -> bytes:
     form = struct.pack("<HHIIHH", kind, 1, rate, rate * block, block, bits) + (struct.pack("<H", len(extra)) + extra if kind != PCM else b"")
     body = b"WAVEfmt " + struct.pack("<I", len(form)) + form + b"data" + struct.pack("<I", len(samples)) + samples + b"\0" * (len(samples) % 2)
@@ -127,41 +121,37 @@ def _filter(up: int, down: int, taps: int) -> np.ndarray:
     return np.rint(bank / bank.sum(0) * (1 << BITS)).astype(np.int32)
 
 
-def resample(samples: np.ndarray, up: int, down: int, taps: int = 16, at_once: int = 1 << 16) -> np.ndarray:
+def taps_for(up: int, down: int) -> int:
+    """Taps of the filter: more where the rate falls, as its cut-off does."""
+    return TAPS * max(1, -(-down // up))
+
+
+def resample(samples: np.ndarray, up: int, down: int, at_once: int = 1 << 16) -> np.ndarray:
     """The samples at up / down times their rate, clipped to 16 bits; a bounded part at a time."""
-    bank, out = _filter(up, down, taps), []
-    padded = np.pad(samples.astype(np.int32), (taps // 2 - 1, taps // 2))
-    phase = 0  # the first wanted output of each part
-    for k in range(0, len(samples), at_once):
-        n = min(at_once, len(samples) - k)
-        made = np.empty((n, up), np.int32)
-        for p in range(up):
+    taps = taps_for(up, down)
+    bank, length = _filter(up, down, taps), -(-len(samples) * up // down)
+    padded = np.pad(samples.astype(np.int32), (taps // 2 - 1, taps // 2 + down))
+    out = np.empty(length, np.int16)
+    for r in range(up):  # every `up`-th output has the same phase, and begins `down` samples after the one before
+        begin, phase = divmod(r * down, up)
+        mine = out[r::up]
+        for k in range(0, len(mine), at_once):
+            n = min(at_once, len(mine) - k)
             total = np.full(n, 1 << (BITS - 1), np.int32)
-            for t in np.flatnonzero(bank[:, p]):
-                total += padded[k + t : k + t + n] * bank[t, p]
-            made[:, p] = total >> BITS
-        flat = made.ravel()
-        out.append(np.clip(flat[phase::down], -32768, 32767).astype(np.int16))
-        phase = (phase - len(flat)) % down
-    return np.concatenate(out) if out else np.empty(0, np.int16)
+            for t in np.flatnonzero(bank[:, phase]).tolist():
+                first = begin + k * down + t
+                total += padded[first : first + (n - 1) * down + 1 : down] * bank[t, phase]
+            mine[k : k + n] = np.clip(total >> BITS, -32768, 32767)
+    return out
 
 
-def packed_pcm(pcm: np.ndarray, up: int = 1) -> bytes:
-    """16-bit samples without loss, small if every `up`-th one is companded and the others interpolate these."""
-    base = np.ascontiguousarray(pcm[::up], np.int16)
-    law = next((kind for kind, table in _TABLES.items() if (table[_CODES[kind][base.view(np.uint16)]] == base).all()), 0)
-    body = _CODES[law][base.view(np.uint16)].tobytes() if law else base.view(np.uint8).reshape(-1, 2).T.tobytes()
-    off = pcm - resample(base, up, 1)[: len(pcm)]  # wraps, and so does adding
-    return struct.pack("<BBBI", law, up, bool(off.any()), len(pcm)) + body + (off.view(np.uint8).reshape(-1, 2).T.tobytes() if off.any() else b"")
+def packed_pcm(pcm: np.ndarray) -> bytes:
+    """16-bit samples, low bytes first, then high bytes: the table's compression finds more in each alone."""
+    return pcm.astype("<i2").view(np.uint8).reshape(-1, 2).T.tobytes()
 
 
 def unpacked_pcm(data: bytes) -> np.ndarray:
-    law, up, differs, n = struct.unpack_from("<BBBI", data)
-    at, m = struct.calcsize("<BBBI"), -(-n // up)
-    planes = lambda a, k: np.ascontiguousarray(np.frombuffer(data, np.uint8, 2 * k, a).reshape(2, -1).T).view(np.int16).ravel()
-    base = _TABLES[law][np.frombuffer(data, np.uint8, m, at)] if law else planes(at, m)
-    pcm = resample(base, up, 1)[:n]
-    return pcm + planes(at + (m if law else 2 * m), n) if differs else pcm
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(2, -1).T).view("<i2").ravel()
 
 
 def features(pcm: np.ndarray, rate: int) -> str:
@@ -186,7 +176,7 @@ def payload_of(file: bytes) -> bytes:
     return np.frombuffer(data, np.uint8).reshape(-1, block)[:, HEAD:].tobytes() if kind == IMA else data
 
 
-def store(docs: DataFrame, kinds: tuple[int, ...] = (MULAW, ALAW)) -> DataFrame:
+def store(docs: DataFrame, kinds: tuple[int, ...] = KINDS) -> DataFrame:
     """doc_id, n_bytes and media (a WAV file of the padded text), written and read back; a hash of the payload picks one of the kinds."""
 
     def make(batches):
@@ -203,7 +193,7 @@ def store(docs: DataFrame, kinds: tuple[int, ...] = (MULAW, ALAW)) -> DataFrame:
     return saved(source.mapInArrow(make, "doc_id long, n_bytes long, media binary"), "media")
 
 
-def decoded(files: DataFrame, up: int = 2, down: int = 1) -> DataFrame:
+def decoded(files: DataFrame, up: int = UP, down: int = DOWN) -> DataFrame:
     """The files' columns without media, their digests, the payload's, and the resampled PCM (as `packed_pcm` has it) with its rate."""
     kept = [c for c in files.columns if c != "media"]
 
@@ -217,7 +207,7 @@ def decoded(files: DataFrame, up: int = 2, down: int = 1) -> DataFrame:
                     file = batch.column("media")[at].as_py()
                     payload = payload_of(file)
                     samples, rate = decode(file)
-                    pcm = packed_pcm(resample(samples, up, down), up if down == 1 else 1)
+                    pcm = packed_pcm(resample(samples, up, down))
                     rows["payload_bytes"].append(len(payload))
                     rows["payload_sha256"].append(hashlib.sha256(payload).hexdigest())
                     rows["tail_crc32"].append(zlib.crc32(payload[-UNIT:]))
