@@ -138,3 +138,21 @@ def test_backoff_against_counting(docs, rows, empty, order):
     assert len({(r["gram_order"], r["gram"]) for r in table}) == len(table)
     assert Counter((r["gram_order"], r["n"]) for r in table) == Counter((len(g), c) for g, c in counts.items())
     assert backoff.scores(empty, order).count() == 0 == backoff.count_tables(empty, order).count()
+
+
+def test_blocks_keep_their_bounds(spark, docs, rows):
+    """No block holds more rows or bytes of text than it may, but for one text that is longer; scores don't depend on the blocks."""
+    size = lambda t: len((t or "").encode())
+    for n, most in ((50, 1 << 20), (4096, 2000), (3, 500)):
+        held = backoff.blocks(docs, n, most).collect()
+        texts = {}
+        for r in rows:
+            texts.setdefault(r[0], []).append(r[1])
+        assert sorted((i for b in held for i in b["doc_ids"]), key=str) == sorted((r[0] for r in rows), key=str)
+        for b in held:
+            assert len(b["doc_ids"]) <= n
+            assert sum(size(texts[i][0]) for i in b["doc_ids"]) <= most or len(b["doc_ids"]) == 1
+            assert b["n"] == sum(b["sizes"])
+    long_ = spark.createDataFrame([(k, f"w{k % 7} " * 60_000) for k in range(12)], "doc_id long, text string").repartition(1)
+    assert [len(b["doc_ids"]) for b in backoff.blocks(long_, 4096, 1 << 20).collect()] == [5, 5, 2]
+    assert {(r["n_words"]) for r in backoff.scores(long_).collect()} == {60_000}

@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved, text_of
-from .shingles import mix, word_hashes, words_of
+from .shingles import bounded, mix, word_hashes, words_of
 
-BLOCK_ROWS, BUCKET_WORDS, ROWS_AT_ONCE = 4096, 1_000_000, 512
+BLOCK_ROWS, BLOCK_BYTES, BUCKET_WORDS, ROWS_AT_ONCE = 4096, 16 << 20, 1_000_000, 512
 FACTOR, LEAST = 0.4, 2
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 _BLOCK = "block long, doc_ids array<long>, sizes array<int>, vocab binary, words binary, n long"
@@ -53,17 +53,23 @@ def steps(rising: np.ndarray) -> np.ndarray:
     return np.diff(rising, prepend=rising.dtype.type(0))
 
 
-def blocks(docs: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
-    """Documents in blocks: their ids and sizes, the hashes of the block's words, and each word as its place among them."""
+def blocks(docs: DataFrame, rows: int = BLOCK_ROWS, size: int = BLOCK_BYTES) -> DataFrame:
+    """Documents in blocks: their ids and sizes, the hashes of the block's words, and each word as its place among them.
+
+    A block has at most so many rows and bytes of text (one longer text is a block); its words are cut and hashed a part at a time.
+    """
 
     def cut(batches):
         part, n = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for k in range(0, batch.num_rows, rows):
-                some = batch.slice(k, rows)
-                words, counts = words_of(some.column("text"))
-                vocab, place = np.unique(word_hashes(words), return_inverse=True)
-                values = [[part << 32 | n], [some.column("doc_id").to_pylist()], [counts.tolist()], [packed(steps(vocab))], [packed(place)], [len(place)]]
+            for some in bounded(batch, "text", rows, size):
+                hashes, counts = [], []
+                for k in range(0, some.num_rows, ROWS_AT_ONCE):
+                    words, each = words_of(some.slice(k, ROWS_AT_ONCE).column("text"))
+                    hashes.append(word_hashes(words))
+                    counts += each.tolist()
+                vocab, place = np.unique(np.concatenate(hashes), return_inverse=True)
+                values = [[part << 32 | n], [some.column("doc_id").to_pylist()], [counts], [packed(steps(vocab))], [packed(place)], [len(place)]]
                 kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds, strict=True)], names=["block", "doc_ids", "sizes", "vocab", "words", "n"])
                 n += 1
@@ -104,7 +110,7 @@ def _exploded(held: DataFrame, order: int, buckets: int) -> DataFrame:
 
     def explode(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):  # one block at a time
                 for n, grams in enumerate(_grams(*_unpacked(row), order), 1):
                     keys, counts, _, at = _dealt(grams[grams != 0] if n > 1 else grams, buckets)
                     used = np.flatnonzero(np.diff(at))
@@ -162,15 +168,16 @@ def scores(docs: DataFrame, order: int = 2, rows: int = BLOCK_ROWS, bucket_words
         parts: dict[int, list] = {n: [] for n in range(1, order + 1)}
         for n, bucket, values in zip(*(found.column(c).to_pylist() for c in ("gram_order", "bucket", "totals")), strict=True):
             parts[n].append((bucket, values))
-        for row in block.to_pylist():
+        for row in block.to_pylist():  # one block
             vocab, words, sizes = _unpacked(row)
             before, chance = np.full(len(words), max(1, total), np.float64), np.empty(0)
             for n, grams in enumerate(_grams(vocab, words, sizes, order), 1):
                 full = grams != 0 if n > 1 else np.ones(len(grams), bool)
                 now = np.zeros(len(grams))
                 if full.any():
-                    totals = np.concatenate([unpacked(v) for _, v in sorted(parts[n])]).astype(np.float64)
-                    now[full] = totals[_dealt(grams[full], buckets)[2]]
+                    totals = np.concatenate([unpacked(v) for _, v in sorted(parts.pop(n))]).astype(np.float64)
+                    now[full] = totals[np.unique(grams[full], return_inverse=True)[1]]
+                    del totals
                 seen = now / np.maximum(1, before)
                 chance = seen if n == 1 else np.where(full, np.where(now >= least, seen, FACTOR * chance), chance)
                 before = np.concatenate([[1.0], now[:-1]]) if len(now) else now  # of the n words before a word
