@@ -45,6 +45,23 @@ def test_texts_of_one_id_keep_their_links(spark):
     assert sorted(map(tuple, parity.joined(table, 4, 80).collect()), key=str) == _without_kept(brute(rows, 4, 80))
 
 
+def test_texts_that_share_a_passage(spark):
+    """Many short texts around one passage, and a group of near copies of one of them: long lists with and without links."""
+    rng = random.Random(9)
+    words = lambda n, c: [f"{c}{rng.randrange(10**6)}" for _ in range(n)]
+    passage = words(40, "p")
+    rows = [(k, " ".join(passage + words(rng.choice([3, 8, 12]), "q"))) for k in range(120)]
+    base = passage + words(20, "r")
+    for k in range(200, 280):
+        text = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3])):
+            text[rng.randrange(len(text))] = f"s{rng.randrange(10**6)}"
+        rows.append((k, " ".join(text)))
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for long_list in (24, 5):
+        assert sorted(map(tuple, parity.joined(table, 4, 85, long_list).collect()), key=str) == _without_kept(brute(rows, 4, 85))
+
+
 def test_empty_table(empty):
     assert parity.joined(empty).count() == 0
 
@@ -67,6 +84,7 @@ def test_bands_hold_linked_sizes_side_by_side():
             if n * 100 // percent <= known[-1][0]:
                 assert of(n * 100 // percent) - of(n) <= 1
         assert all(parts > parity.apart(2 * high, percent) for high, parts in known)
+        assert all(parts > 2 * parity.apart(2 * high, percent) for high, parts in parity.bands(5000, percent, parity.SPARE_AGAIN))
 
 
 def test_batches_are_cut_by_bytes():

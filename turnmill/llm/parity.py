@@ -16,10 +16,12 @@ shingles fell into, and many documents share, are left out, and lists stay short
 grows.  Pairs in one list are compared by size and by their sketches' Hamming distance, and the
 rest by the full sets.
 
-Long lists.  A list of more than `long_list` documents is a group of near copies: each is
-compared with the list's hub, and those that the hub isn't linked with by what they differ in
-(`minhash._around_hubs`).  Pairs of short lists that these links join already are not compared
-again.  So no two documents that links connect come apart, and the work keeps to a group's size.
+Long lists.  Documents in lists of more than `long_list` are sketched again, in twice as many parts, of
+which only the rarer half is listed: documents that merely share a passage leave such lists.  A list
+that stays long is a group of near copies: each is compared with the list's hub, and those that the hub
+isn't linked with by what they differ in (`minhash._around_hubs`).  Pairs of short lists that these
+links join already are not compared again.  So no two documents that links connect come apart, and
+the work keeps to a group's size.
 
 Documents with equal sets are one class from the start.  A null text is empty; a document
 without words is linked with nothing.  A null doc_id is in no link and has component null.
@@ -41,6 +43,8 @@ from .shingles import bounded, shingle_sets
 
 #: Bits of one part, two 64-bit words.
 BITS, WORDS = 128, 2
+#: Parts that need not agree and aren't listed: one for so many of those that must, at first and for long lists.
+SPARE, SPARE_AGAIN = 8, 1
 
 
 def apart(both: int, percent: int) -> int:
@@ -48,13 +52,13 @@ def apart(both: int, percent: int) -> int:
     return both * (100 - percent) // (100 + percent)
 
 
-def bands(largest: int, percent: int) -> list[tuple[int, int]]:
+def bands(largest: int, percent: int, spare: int = SPARE) -> list[tuple[int, int]]:
     """(greatest size, parts of a sketch) of every band up to a size."""
     out, low = [], 1
     while low <= largest:
         high = max(low, low * 10_000 // percent**2)
         most = apart(2 * high, percent)
-        out.append((high, most + 1 + (most + 4) // 8))
+        out.append((high, most + 1 + (most + 4) // spare))
         low = high + 1
     return out
 
@@ -68,25 +72,43 @@ def sketch(shingles: np.ndarray, parts: int) -> np.ndarray:
     return out
 
 
+def drawn(sets: list[np.ndarray], percent: int, spare: int) -> dict[str, pa.Array]:
+    """Columns band, own and up of sets of hashes: the sketches for a set's band and, where its partners reach it, the next."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    known = bands(int(sizes.max(initial=1)) * 10_000 // percent**2 + 1, percent, spare)  # the largest set's band and the next
+    of = np.searchsorted([high for high, _ in known], sizes)
+    none = np.empty(0, np.uint64)
+    own = [sketch(s, known[b][1]) if len(s) else none for s, b in zip(sets, of, strict=True)]
+    up = [sketch(s, known[b + 1][1]) if len(s) * 100 // percent > known[b][0] else none for s, b in zip(sets, of, strict=True)]
+    return {"band": pa.array(of.astype(np.int32)), "own": _signed(own), "up": _signed(up)}
+
+
 def sketches(docs: DataFrame, width: int, percent: int, rows_at_once: int = 1000) -> DataFrame:
-    """doc_id, n_shingles, digest (of the whole set), band, own and up: the sketches for its band and, where its partners reach it, the next."""
+    """doc_id, n_shingles, digest (of the whole set), band, own, up of every row."""
 
     def make(batches):
         for batch in batches:
             for rows in bounded(batch, "text", rows_at_once):
                 sets = shingle_sets(rows.column("text"), width)
-                sizes = np.array([len(s) for s in sets], np.int64)
-                known = bands(int(sizes.max(initial=1)) * 10_000 // percent**2 + 1, percent)  # the largest set's band and the next
-                of = np.searchsorted([high for high, _ in known], sizes)
-                none = np.empty(0, np.uint64)
-                own = [sketch(s, known[b][1]) if len(s) else none for s, b in zip(sets, of, strict=True)]
-                up = [sketch(s, known[b + 1][1]) if len(s) * 100 // percent > known[b][0] else none for s, b in zip(sets, of, strict=True)]
-                yield pa.RecordBatch.from_pydict({"doc_id": rows.column("doc_id"), "n_shingles": pa.array(sizes), "digest": [_digest(s) for s in sets], "band": pa.array(of.astype(np.int32)), "own": _signed(own), "up": _signed(up)})
+                yield pa.RecordBatch.from_pydict({"doc_id": rows.column("doc_id"), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "digest": [_digest(s) for s in sets]} | drawn(sets, percent, SPARE))
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
     return source.mapInArrow(make, "doc_id long, n_shingles long, digest string, band int, own array<long>, up array<long>")
 
 
+def sketched_again(sets: DataFrame, percent: int, rows_at_once: int = 1000) -> DataFrame:
+    """node, n, band, own, up of sets (node, hashes), in more parts."""
+
+    def make(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows_at_once):
+                rows = batch.slice(at, rows_at_once)
+                held = [s.values.to_numpy().view(np.uint64) for s in rows.column("hashes")]
+                yield pa.RecordBatch.from_pydict({"node": rows.column("node"), "n": pa.array([len(s) for s in held], pa.int64())} | drawn(held, percent, SPARE_AGAIN))
+
+    return sets.select("node", "hashes").mapInArrow(make, "node long, n long, band int, own array<long>, up array<long>")
+
+
 def _most_apart(both: Column, percent: int) -> Column:
     return F.floor(both * (100 - percent) / (100 + percent)).cast("int")
 
@@ -140,6 +162,14 @@ def near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return saved(held.where(distance <= _most_apart(F.col("na") + F.col("nb"), percent)).select("a", "b"), "near")
 
 
+def _apart_yet(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs that known links (a, b) don't join already."""
+    roots = saved(components(known), "roots")
+    root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    met = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
+    return met.where(~F.coalesce(F.col("root_a") == F.col("root_b"), F.lit(False))).drop("root_a", "root_b")
+
+
 def joined(docs: DataFrame, width: int = 5, percent: int = 80, long_list: int = 24) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that links reach, its own included) for every row of docs."""
     found = saved(sketches(docs, width, percent), "parity")
@@ -147,17 +177,16 @@ def joined(docs: DataFrame, width: int = 5, percent: int = 80, long_list: int =
     classes = saved(counted.withColumn("node", F.monotonically_increasing_id()), "classes")  # written, so a node keeps its number
     links = _Links(docs, classes, width, 1, percent)
     lists = saved(listed(classes, percent, long_list), "lists")
-    known = None
-    wide = lists.where("long").select("node").distinct()
+    hopeful = _pairs(lists.where("not long"), percent)
+    wide, known = lists.where("long").select("node").distinct(), None
     if wide.limit(1).count():
-        known = _around_hubs(lists.where("long").select("v", "node", "n", "wide"), links.sets(wide), percent)
-    pairs = _pairs(lists.where("not long"), percent)
-    if known is not None:
-        roots = saved(components(known), "roots")
-        root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-        met = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
-        pairs = met.where(~F.coalesce(F.col("root_a") == F.col("root_b"), F.lit(False))).drop("root_a", "root_b")
-    hopeful = near(pairs, classes, percent)
+        sets = links.sets(wide)
+        again = saved(sketched_again(sets, percent), "again")
+        finer = saved(listed(again, percent, long_list), "finer")
+        spokes = _around_hubs(finer.where("long").select("v", "node", "n", "wide"), sets, percent)
+        known = saved(spokes.union(links.exact(near(_apart_yet(_pairs(finer.where("not long"), percent), spokes), again, percent), sets)), "known")
+        hopeful = _apart_yet(hopeful, known)
+    hopeful = near(hopeful, classes, percent)
     linked = links.exact(hopeful, links.sets(hopeful.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
     every = linked if known is None else linked.union(known)
     by_class = classes.select("digest", "node").join(components(every), "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
