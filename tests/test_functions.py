@@ -126,6 +126,24 @@ def test_json_spans_against_the_decoder(parts):
     assert [(a, b) for a, b, _ in structural.json_spans(text)] == [(a, b) for a, b, _ in _plain_spans(text)]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["{", "}", "[", "]", '"', ",", ":", "1", "a", "\\", '"k":', "\n", " ", '\\"', "null", "-", "]}", '{"k":[', '["', "é"]), max_size=24))
+def test_json_spans_of_any_brackets_and_quotes(parts):
+    text = "".join(parts)
+    assert structural.json_spans(text) == _plain_spans(text)
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["{" * 1_000_000, "[" * 1_000_000, '{"a":' * 200_000, '["' * 300_000, '{"a":[' * 100_000 + "x", "[" * 300_000 + "]" * 300_000, '{"k": "' + "{[" * 300_000, "{ " * 300_000, '[1, "[2, " ' * 100_000, "[" * 50_000 + "]" * 49_999 + "}", "[[1],x" * 150_000],
+)
+def test_json_spans_take_linear_time(text):
+    begin = time.monotonic()
+    found = structural.json_spans(text)
+    assert time.monotonic() - begin < 30  # seconds on a busy machine; in quadratic time they take hours
+    assert all(json.loads(text[a:b]) == v for a, b, v in found[:50])
+
+
 def test_long_texts_are_normalised_in_linear_time(spark):
     lines = [f"line {k // 2}  x " for k in range(20_000)]
     begin = time.monotonic()

@@ -6,6 +6,7 @@ the JSON step is an Arrow-batched function; texts without a bracket never reach
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 
@@ -30,29 +31,77 @@ SHORT_KEYS = {
     "architecture": "arch", "architectures": "archs",
 }
 
-_OPENER = re.compile(r"[{\[]")
-_CLOSER = {"{": re.compile(r'"(?:[^"\\]|\\.)*"|[{}"]', re.S), "[": re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]"]', re.S)}
+#: Where an object or array may begin: at a bracket before what can follow it in one.
+_OPENER = re.compile(r'\{(?=[ \t\n\r]*["}])|\[(?=[ \t\n\r]*[\]\["{\-0-9tfnNI])')
+#: Strings as a whole, brackets, and the quote of a string without an end.
+_TOKEN = re.compile(r'"(?:[^"\\]++|\\.)*+"|[{}\[\]"]', re.S)
+_DECODER = json.JSONDecoder()
+#: Least part of a text that is cut anew for the decoder, whose errors count lines from the begin of what they are given.
+_PART = 4096
+
+
+def _nested(text: str, start: int, end: int) -> list[tuple[int, int, bool]]:
+    """(place, deepest nesting within, whether it is closed) of the brackets opened from start on, strings left out, up to the end or a string without one."""
+    open_, found = [], []
+    for mark in _TOKEN.finditer(text, start, end):
+        kind = mark.group()
+        if kind == '"':
+            break
+        if kind in "{[":
+            open_.append([mark.start(), 1])
+        elif kind in "}]" and open_:
+            place, depth = open_.pop()
+            found.append((place, depth, True))
+            if open_:
+                open_[-1][1] = max(open_[-1][1], depth + 1)
+    below = 0
+    for place, depth in reversed(open_):
+        below = max(depth, below + 1)
+        found.append((place, below, False))
+    return found
+
+
+@functools.cache
+def _deepest() -> int:
+    """How deeply nested an array the decoder takes."""
+    low, high = 1, 1 << 20
+    while low < high:
+        middle = (low + high + 1) // 2
+        try:
+            _DECODER.raw_decode("[" * middle + "]" * middle)
+            low = middle
+        except RecursionError:
+            high = middle - 1
+    return low
 
 
 def json_spans(text: str) -> list[tuple[int, int, object]]:
-    """(start, end, value) of the JSON objects and arrays in a text, outermost first, from left to right."""
-    found, at, open_ended = [], 0, set()
+    """(start, end, value) of the JSON objects and arrays in a text, outermost first, from left to right.
+
+    In linear time: where decoding from a bracket fails, all brackets open at that place fail there too and are not tried
+    again.  A text has two ways of taking its quotes for begins or ends of strings, so no part is decoded more than
+    twice without success.
+    """
+    found, at, failed = [], 0, set()
+    part, base, step = text, 0, max(_PART, len(text) // 256)
     while (opener := _OPENER.search(text, at)) is not None:
-        start, kind = opener.start(), opener.group()
-        at, depth = start + 1, 0
-        if kind in open_ended:
-            continue  # an opener before it had no end, and this one's strings are cut alike
-        for mark in _CLOSER[kind].finditer(text, start):
-            depth += {"{": 1, "[": 1, "}": -1, "]": -1}.get(mark.group(), 0)
-            if mark.group() == '"':
-                break  # a string without an end
-            if depth == 0:
-                try:
-                    found.append((start, mark.end(), json.loads(text[start : mark.end()])))
-                    at = mark.end()
-                except (ValueError, RecursionError):
-                    pass
-                break
+        start = opener.start()
+        at = start + 1
+        if start in failed:
+            continue
+        if start - base > step:
+            part, base = text[start:], start
+        try:
+            value, end = _DECODER.raw_decode(part, start - base)
+        except json.JSONDecodeError as e:
+            failed.update(place for place, _, closed in _nested(text, start, base + e.pos) if not closed)
+        except RecursionError:
+            failed.update(place for place, depth, _ in _nested(text, start, len(text)) if depth > _deepest())
+        except ValueError:  # a number of more digits than Python takes
+            continue
+        else:
+            found.append((start, base + end, value))
+            at = base + end
     return found
 
 

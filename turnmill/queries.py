@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from turnmill.functions import entities, similarity, structural, tokens
 from turnmill.functions import text as T
-from turnmill.operators import cache, dedup, graph, quality, relevance, reuse, summary, telemetry
+from turnmill.operators import cache, dedup, graph, largeblocks, quality, relevance, reuse, summary, telemetry
 from turnmill.plans import savings
 from turnmill.sources import chat
 from turnmill.streaming import windows
@@ -389,7 +389,22 @@ def dense_cosine_pairs(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {_TURNS}, rows_in AS (SELECT * FROM turns), {_VECTORS}, {_GREEDY.format(0.3)} SELECT block AS session_id, row AS turn_id, kept FROM kept")
 def dedup_conversations(spark, sf_dir):
-    return dedup.deduplicated(_rows(spark, sf_dir), "session_id", "turn_id", "content", 0.3).select("session_id", "turn_id", "kept")
+    rows = _rows(spark, sf_dir)
+    return dedup.deduplicated(rows, "session_id", "turn_id", "content", 0.3, dedup.large(rows, "session_id")).select("session_id", "turn_id", "kept")
+
+
+@query(f"WITH {_TURNS}, rows_in AS (SELECT role AS session_id, session_id * 1000 + turn_id AS turn_id, content FROM turns), {_VECTORS} SELECT block AS role, a, b, round(similarity, 6) AS similarity FROM pairs WHERE similarity >= 0.8")
+def similarity_join(spark, sf_dir):
+    rows = turns(spark, sf_dir).select("role", (F.col("session_id") * 1000 + F.col("turn_id")).alias("turn_no"), "content")
+    vectors = dedup.tfidf(rows, "role", "turn_no", "content")
+    unit = reuse.once(vectors.select("block", "row", "term", "df", (F.col("weight") / F.col("norm")).alias("u")))
+    return largeblocks.pairs(unit, 0.8).select(F.col("block").alias("role"), "a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"WITH RECURSIVE {_TURNS}, rows_in AS (SELECT role AS session_id, session_id * 1000 + turn_id AS turn_id, content FROM turns), {_VECTORS}, {_GREEDY.format(0.8)} SELECT block AS role, row AS turn_no, kept FROM kept")
+def dedup_by_role(spark, sf_dir):
+    rows = turns(spark, sf_dir).select("role", (F.col("session_id") * 1000 + F.col("turn_id")).alias("turn_no"), "content")
+    return dedup.deduplicated(rows, "role", "turn_no", "content", 0.8, dedup.large(rows, "role", 16)).select("role", "turn_no", "kept")
 
 
 @query(f"WITH {_TURNS}, {_SPLIT}, s AS (SELECT session_id, turn_id, {_word_sets('content', 'query')} FROM history) SELECT session_id, turn_id, round({_OCHIAI.format('wa', 'wb')}, 4) AS score FROM s")
