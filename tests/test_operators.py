@@ -201,7 +201,10 @@ def test_ranks_of_a_group_without_its_list(spark, kind):
 def _run(stream, path, mode="update"):
     rows = []
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", str(path)).trigger(availableNow=True).foreachBatch(lambda df, _: rows.extend(df.collect())).start()
-    q.awaitTermination(120)
+    try:
+        assert q.awaitTermination(240), "the stream did not end"
+    finally:
+        q.stop()
     return rows
 
 
@@ -321,3 +324,126 @@ def test_high_water_mark_counts_each_event_once(spark):
     e = spark.createDataFrame([(dt.datetime(2024, 1, d, h), 1.0) for d in (1, 2) for h in (1, 2, 3)], "ts timestamp, cost_usd_saved double")
     part = telemetry.rolled_up_since(e.where("hour(ts) <= 2"))
     assert sorted((r.day, r.requests) for r in telemetry.rolled_up_since(e, part).collect()) == [("2024-01-01", 3), ("2024-01-02", 3)]
+
+
+def _ranges(spark, n=40):
+    """Many ranges for few rows, so a hot key spans several of them."""
+    spark.conf.set("spark.sql.shuffle.partitions", n)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+
+
+@pytest.fixture
+def many_ranges(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    _ranges(spark)
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_a_hot_key_of_lookups_is_folded_in_ranges(spark, many_ranges):
+    import random
+
+    rng = random.Random(2)
+    logs = {
+        "hot": sorted(rng.uniform(0, 4000) for _ in range(2500)), "even": [k * 7.0 for k in range(900)], "bursts": [float(k // 9 * 50) for k in range(400)],
+        "one": [5.0], "gap": [0.0, 1e6, 1e6 + 1], "other": sorted(rng.uniform(0, 1e5) for _ in range(60)),
+    }
+    rows = [(k, t, n) for k, ts in logs.items() for n, t in enumerate(ts)] + [("hot", None, -1), ("nulls", None, 0), (None, 3.0, 0), (None, 4.0, 1)]
+    rng.shuffle(rows)
+    log = spark.createDataFrame(rows, "key string, t double, id long").withColumn("ts", F.col("t").cast("timestamp"))
+    for ttl in (300, 20, 0):
+        made = cache.lookups(log, "key", "ts", ttl, tie="id")
+        found = {(r.key, r.id): r.hit for r in made.collect()}
+        wanted = {("nulls", 0): False, ("hot", -1): False}
+        for key, times in [*logs.items(), (None, [3.0, 4.0])]:
+            until = -1.0
+            for n, t in enumerate(times):
+                t = round(t, 6)
+                wanted[key, n] = t <= until
+                until = until if t <= until else t + ttl
+        assert {k for k in wanted if found[k] != wanted[k]} == set() and found.keys() == wanted.keys()
+
+
+def test_a_hot_query_is_packed_in_ranges(spark, many_ranges):
+    import random
+
+    rng = random.Random(6)
+    rows = [("hot", k, "w " * rng.choice([0, 1, 2, 3, 30, 70, 400]), round(rng.random(), 2)) for k in range(3000)] + [(q, k, "w " * rng.randrange(60), round(rng.random(), 1)) for q in "abc" for k in range(40)] + [("hot", 9001, None, 0.5)]
+    chunks = spark.createDataFrame(rows, "q string, c long, t string, score double")
+    for budget in (50, 1000, 60_000):
+        found = {(r.query_id, r.chunk_id): (r.rank, r.kept) for r in relevance.packed(chunks, "q", "c", "t", budget).collect()}
+        wanted = {}
+        for q in ("hot", "a", "b", "c"):
+            used = 0
+            for rank, (_, c, t, _s) in enumerate(sorted((r for r in rows if r[0] == q), key=lambda r: (-r[3], r[1])), 1):
+                size = len((t or "").split())
+                fits = used + size <= budget
+                used += size if fits else 0
+                wanted[q, c] = (rank, fits)
+        assert found == wanted
+
+
+def test_transitions_are_the_walk():
+    import random
+
+    rng = random.Random(1)
+    for _ in range(200):
+        ttl = rng.choice([0, 3, 20])
+        times = sorted(rng.choice([rng.uniform(0, 60), float(rng.randrange(60))]) for _ in range(rng.randrange(40)))
+        fold = cache.Expiry(ttl)
+        over = fold.transition()
+        for t in times:
+            over.add(t)
+        for until in (float("-inf"), *(rng.uniform(-5, (times[0] if times else 0) + ttl) for _ in range(20)), *times[:3]):
+            if not times or until <= times[0] + ttl:
+                state = until
+                for t in times:
+                    state, _ = fold.move(state, t)
+                assert over.of(until) == state
+
+
+def test_large_blocks_are_the_double_loop(spark):
+    """Blocks over the limit against all pairs: near copies, repeats, empty rows, shared words."""
+    import math
+    import random
+    import re
+    from collections import Counter
+
+    rng = random.Random(21)
+    vocabulary = [f"w{int(rng.paretovariate(0.8))}" for _ in range(400)] + [f"v{k}" for k in range(300)]
+    base = [" ".join(rng.choices(vocabulary, k=rng.randrange(3, 14))) for _ in range(40)]
+
+    def text():
+        kind = rng.randrange(5)
+        words = rng.choice(base).split()
+        if kind < 2:
+            words[rng.randrange(len(words))] = rng.choice(vocabulary)
+        if kind == 2:
+            rng.shuffle(words)
+        return " ".join(rng.choices(vocabulary, k=9)) if kind == 4 else " ".join(words)
+
+    sizes = {0: 180, 1: 90, 2: 5, 3: 1}
+    rows = [(b, k, rng.choice(["", None, "--"]) if rng.random() < 0.05 else text()) for b, n in sizes.items() for k in range(n)]
+    table = spark.createDataFrame(rows, "session_id long, turn_id long, content string").repartition(4)
+    for threshold in (0.92, 0.6):
+        wanted = {}
+        for b in sizes:
+            texts = [re.findall(r"[a-z0-9']+", (t or "").lower()) for s, _, t in rows if s == b]
+            df = Counter(w for t in texts for w in set(t))
+            vectors = []
+            for t in texts:
+                v = {w: c / len(t) * (math.log((len(texts) + 1) / (df[w] + 1)) + 1) for w, c in Counter(t).items()}
+                size = math.sqrt(sum(x * x for x in v.values()))
+                vectors.append({w: x / size for w, x in v.items()})
+            kept = []
+            for k, v in enumerate(vectors):
+                by = next((s for j in kept if (s := sum(x * vectors[j].get(w, 0.0) for w, x in v.items())) >= threshold), None)
+                wanted[b, k] = by
+                if by is None:
+                    kept.append(k)
+        found = {(r.session_id, r.turn_id): r.dedup_similarity for r in dedup.deduplicated(table, "session_id", "turn_id", "content", threshold, dedup.large(table, "session_id", 50)).collect()}
+        assert found.keys() == wanted.keys()
+        assert {k for k, s in wanted.items() if s is not None} == {k for k, s in found.items() if s is not None}
+        assert all(s is None or found[k] == pytest.approx(s, abs=1e-9) for k, s in wanted.items())
+    assert dedup.large(table.limit(0), "session_id") is None

@@ -5,41 +5,86 @@ Times are timestamps; nothing reads a clock, `now` is a parameter.
 
 from __future__ import annotations
 
-import pyarrow as pa
+import bisect
+import collections
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
+from pyspark.sql.types import BooleanType, StructField
+
+from . import ordered
 
 TTL_SECONDS = {"turn": 300, "prefix": 3600, "compose": 180, "chat": 120, "default": 120, "graph": 86_400}
 SWEEP_EVERY = 200
 
 
+class Expiry:
+    """Until when a key's entry is valid: a lookup after that is a miss and writes it anew."""
+
+    takes = ("_t",)
+    gives = [StructField("hit", BooleanType())]  # noqa: RUF012
+
+    def __init__(self, ttl_seconds: float):
+        self.ttl = ttl_seconds
+
+    def begin(self) -> float:
+        return -math.inf
+
+    def move(self, until: float, t: float | None) -> tuple[float, tuple]:
+        if t is not None and t <= until:
+            return until, (True,)
+        return (-math.inf if t is None else t + self.ttl), (False,)
+
+    def transition(self) -> ExpiryTransition:
+        return ExpiryTransition(self.ttl)
+
+
+class ExpiryTransition:
+    """What every end of an entry written before these lookups comes to.
+
+    Ends that lie before a lookup begin anew at it and go on as one, so they are grouped by what they have come to.  An
+    entry from before ends within a time to live of the first lookup, so there are no more groups than lookups in that time.
+    """
+
+    def __init__(self, ttl: float):
+        self.ttl, self.first, self.reset = ttl, None, False
+        self.below: list[float] = []  # the k-th interval of ends lies below below[k], and not below the one before
+        self.groups: collections.deque[tuple[float, list[int]]] = collections.deque()  # (valid until, intervals), the first to end first
+
+    def add(self, t: float | None) -> None:
+        if t is None:  # nulls come first, and nothing is valid after them
+            self.reset = True
+            return
+        self.first = t if self.first is None else self.first
+        anew: list[int] = []
+        while self.groups and self.groups[0][0] < t:
+            one = self.groups.popleft()[1]
+            anew, one = (one, anew) if len(one) > len(anew) else (anew, one)
+            anew.extend(one)
+        if not self.below or self.below[-1] < t and self.below[-1] <= self.first + self.ttl:
+            self.below.append(t)
+            anew.append(len(self.below) - 1)
+        if anew:
+            self.groups.append((t + self.ttl, anew))
+
+    def of(self, until: float) -> float:
+        k = bisect.bisect_right(self.below, -math.inf if self.reset else until)
+        if k == len(self.below):
+            return -math.inf if self.reset else until
+        return next(end for end, intervals in self.groups if k in intervals)
+
+
 def lookups(log: DataFrame, key: str, ts: str, ttl_seconds: int, tie: str | None = None) -> DataFrame:
     """log and hit: whether the key's entry was still valid.  A miss writes the entry anew; a hit doesn't prolong it.
 
     Entries begin at misses, so a key's lookups form runs: each run is a miss and the lookups within its time to live.
-    A key's log goes through one task in order, a row at a time; only the entry's end is held.
+    A key's log may hold any part of all rows: it is folded in ranges of its order.
     """
     if tie is None:
         raise ValueError(f"{[ts]}: lookups at one time need a column that orders them")
     timed = log.withColumn("_t", F.col(ts).cast("timestamp").cast("double"))
-    ordered = timed.repartition(key).sortWithinPartitions(key, "_t", tie)
-    columns = log.columns
-
-    def walk(batches):
-        last, until = object(), None
-        for batch in batches:
-            hits = []
-            for k, t in zip(batch.column(key).to_pylist(), batch.column("_t").to_pylist(), strict=True):
-                if k != last:
-                    last, until = k, None
-                hit = t is not None and until is not None and t <= until
-                if not hit:
-                    until = None if t is None else t + ttl_seconds
-                hits.append(hit)
-            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in columns} | {"hit": pa.array(hits, pa.bool_())})
-
-    return ordered.mapInArrow(walk, StructType([*log.schema.fields, StructField("hit", BooleanType())]))
+    return ordered.folded(timed, key, [F.asc("_t"), F.asc(tie)], Expiry(ttl_seconds)).drop("_t")
 
 
 def stats(looked_up: DataFrame, entries: DataFrame | None = None) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StructField
 
 from turnmill.functions import similarity, tokens
 from turnmill.functions.text import word_set
 
+from . import ordered, reuse
+
 THRESHOLD, ENTITY_WEIGHT, LOAD_BEARING, CHUNK_BUDGET = 0.15, 0.3, 0.1, 4000
 
 
@@ -54,28 +57,51 @@ def prune_confidence(kept: str = "kept_rel", score: str = "score", standalone: b
     return F.round(F.coalesce(F.min(gone) if standalone else 1 - F.max(gone), F.lit(1.0)), 4)
 
 
+class Packing:
+    """The tokens used so far and the rows seen: a row is kept if it still fits."""
+
+    takes = ("tokens",)
+
+    def __init__(self, budget: int):
+        self.budget = budget
+        self.gives = [StructField("rank", IntegerType()), StructField("kept", BooleanType())]
+
+    def begin(self) -> tuple[int, int]:
+        return 0, 0
+
+    def move(self, state: tuple[int, int], size: int | None) -> tuple[tuple[int, int], tuple]:
+        used, rank = state
+        fits = size is not None and used + size <= self.budget
+        return (used + size if fits else used, rank + 1), (rank + 1, fits)
+
+    def transition(self) -> PackingTransition:
+        return PackingTransition(self.budget)
+
+
+class PackingTransition:
+    """What every number of tokens used before comes to: starts that have come to the same number go on as one."""
+
+    def __init__(self, budget: int):
+        self.budget, self.rows = budget, 0
+        # of begin u the tokens used are used[place[u]]
+        self.used, self.place = np.arange(budget + 1), np.arange(budget + 1)
+
+    def add(self, size: int | None) -> None:
+        self.rows += 1
+        if size is not None and 0 < size <= self.budget:
+            self.used = np.where(self.used + size <= self.budget, self.used + size, self.used)
+            if self.rows % 1024 == 0:
+                self.used, back = np.unique(self.used, return_inverse=True)
+                self.place = back[self.place]
+
+    def of(self, state: tuple[int, int]) -> tuple[int, int]:
+        return int(self.used[self.place[state[0]]]), state[1] + self.rows
+
+
 def packed(chunks: DataFrame, query_id: str, chunk_id: str, content: str, budget: int = CHUNK_BUDGET) -> DataFrame:
     """query_id, chunk_id, rank, score, tokens, kept (columns of `scored` chunks): by score, each chunk that still fits is taken, others are skipped.
 
-    A query's chunks go through one task in order, a row at a time; only the tokens used so far are held.
+    A query's chunks may be as many as they like: they are folded in ranges of their order.
     """
     sized = chunks.select(F.col(query_id).alias("query_id"), F.col(chunk_id).alias("chunk_id"), "score", tokens.words(F.col(content)).cast("long").alias("tokens"))
-    ordered = sized.repartition("query_id").sortWithinPartitions("query_id", F.desc("score"), "chunk_id")
-
-    def walk(batches):
-        key, rank, used = object(), 0, 0
-        for batch in batches:
-            ranks, kept = [], []
-            for k, size in zip(batch.column("query_id").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
-                if k != key:
-                    key, rank, used = k, 0, 0
-                rank += 1
-                fits = size is not None and used + size <= budget
-                used += size if fits else 0
-                ranks.append(rank)
-                kept.append(fits)
-            given = {c: batch.column(c) for c in ("query_id", "chunk_id", "score", "tokens")}
-            yield pa.RecordBatch.from_pydict({"query_id": given["query_id"], "chunk_id": given["chunk_id"], "rank": pa.array(ranks, pa.int32()), "score": given["score"], "tokens": given["tokens"], "kept": pa.array(kept, pa.bool_())})
-
-    kind = {f.name: f.dataType.simpleString() for f in sized.schema.fields}
-    return ordered.mapInArrow(walk, f"query_id {kind['query_id']}, chunk_id {kind['chunk_id']}, rank int, score {kind['score']}, tokens long, kept boolean")
+    return ordered.folded(reuse.once(sized), "query_id", [F.desc("score"), F.asc("chunk_id")], Packing(budget)).select("query_id", "chunk_id", "rank", "score", "tokens", "kept")
