@@ -16,9 +16,11 @@ def gated(contexts: DataFrame, original: str, compressed: str, threshold: float
 
     Drift is the greater of the words' Jaccard distance (or `drift`, such as a distance of embeddings) and the entities' loss.
     """
-    sides = {"_on": entities.all_names(F.col(original)), "_cn": entities.all_names(F.col(compressed)), "_ow": word_set(F.col(original)), "_cw": word_set(F.col(compressed))}
-    words = similarity.jaccard_distance(F.col("_ow"), F.col("_cw")) if drift is None else drift
-    measured = contexts.withColumns(sides).withColumns({"_recall": entities.recall(F.col("_on"), F.col("_cn")), "_drift": words})
+    # one expression for both sides: that of names is long
+    both = F.array(F.col(original), F.col(compressed))
+    sides = {"_names": F.transform(both, entities.all_names), "_words": F.transform(both, word_set)}
+    words = similarity.jaccard_distance(F.get("_words", 0), F.get("_words", 1)) if drift is None else drift
+    measured = contexts.withColumns(sides).withColumns({"_recall": entities.recall(F.get("_names", 0), F.get("_names", 1)), "_drift": words})
     worst = F.col("_worst")
     advice = F.when(worst <= threshold, "proceed").when(worst <= 2 * threshold, "use_lossless").otherwise("abort_compression")
     judged = measured.withColumn("_worst", F.greatest("_drift", 1 - F.col("_recall"))).withColumns({

@@ -37,20 +37,41 @@ class Settings:
     counter: Callable[[Column], Column] = tokens.words  # such as tokens.bpe_counter(path)
 
 
+def _tasks(df: DataFrame) -> int:
+    """How many tasks share what takes far more time than its bytes say (of the latter Spark would make fewer)."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _cleaned(turns: DataFrame, settings: Settings, query: str) -> DataFrame:
-    """History turns with system, query, the query's entities, clean text, tokens and near-duplicate marks: what all modes share.
+    """History turns with system, query, clean text, tokens, scores, protected and near-duplicate marks: what all modes share.
 
-    Turns are dealt out by session once; all that follows but the marks' join stays where it is.
+    Turns are dealt out by session once, and what follows stays where it is; what is found in each turn's text is kept
+    for all that reads it.
     """
-    by_session = turns.repartition("session_id")
+    by_session = turns.repartition(_tasks(turns), "session_id")
     parts = chat.split(by_session, query)
     if settings.mode != "lossless" and settings.with_entities:
         parts = parts.withColumn("_asked", entities.all_names(F.col("query")))  # once a session, not once a turn
     history = chat.history(by_session, parts)
     clean = history.withColumn("clean", structural.compress(F.col("content"), settings.may_hold_json))
     count = lambda c: tokens.of_turn(F.col("role"), F.col(c), settings.model, settings.counter)
-    sized = clean.withColumn("raw_tokens", count("content")).withColumn("tokens", count("clean"))
-    return dedup.deduplicated(sized, "session_id", "turn_id", "clean", settings.dedup_threshold).withColumnRenamed("kept", "kept_dedup")
+    sized = clean.withColumns({"raw_tokens": count("content"), "tokens": count("clean")})
+    if settings.mode != "lossless" and settings.with_entities:
+        named = sized.withColumn("_names", entities.all_names(F.col("clean")))
+        sized = relevance.scored(named.withColumn("_hit", F.array_intersect("_asked", "_names")), "clean", "query", "_names", "_asked").drop("_names")
+    elif settings.mode != "lossless":
+        sized = relevance.scored(sized, "clean", "query")
+    sized = reuse.once(sized)
+    marked = dedup.deduplicated(sized, "session_id", "turn_id", "clean", settings.dedup_threshold, dedup.large(turns, "session_id")).withColumnRenamed("kept", "kept_dedup")
+    if settings.mode == "lossless" or not settings.with_entities:
+        return marked
+    # a turn that names a tenth of the query's entities is protected, and so is the turn that named one of them first;
+    # with ten entities or fewer every turn that names one is the former, so only longer queries need the search
+    few = int(1 / relevance.LOAD_BEARING)
+    long_ = sized.where(F.size("_asked") > few).select("session_id", "turn_id", F.explode("_hit").alias("name"))
+    first = long_.groupBy("session_id", "name").agg(F.min("turn_id").alias("turn_id")).select("session_id", "turn_id", F.lit(True).alias("_first")).distinct()
+    protected = (F.size("_hit") / F.size("_asked") >= relevance.LOAD_BEARING) | F.coalesce("_first", F.lit(False))
+    return marked.join(first, ["session_id", "turn_id"], "left").withColumn("_protected", (F.size("_asked") > 0) & protected).drop("_asked", "_hit", "_first")
 
 
 def _judged(cleaned: DataFrame, settings: Settings) -> DataFrame:
@@ -58,18 +79,8 @@ def _judged(cleaned: DataFrame, settings: Settings) -> DataFrame:
     if settings.mode == "lossless":
         return cleaned.withColumn("score", F.lit(None).cast("double")).withColumn("kept_rel", F.lit(True))
     if not settings.with_entities:
-        return relevance.pruned(relevance.scored(cleaned, "clean", "query"), settings.relevance_threshold)
-    named = cleaned.withColumn("_names", entities.all_names(F.col("clean")))
-    hit = F.array_intersect("_asked", "_names")
-    scored = relevance.scored(named.withColumn("_hit", hit), "clean", "query", "_names", "_asked")
-    # a turn that names a tenth of the query's entities is protected, and so is the turn that named one of them first;
-    # with ten entities or fewer every turn that names one is the former, so only longer queries need the search
-    few = int(1 / relevance.LOAD_BEARING)
-    long_ = scored.where(F.size("_asked") > few).select("session_id", "turn_id", F.explode("_hit").alias("name"))
-    first = long_.groupBy("session_id", "name").agg(F.min("turn_id").alias("turn_id")).select("session_id", "turn_id", F.lit(True).alias("_first")).distinct()
-    protected = (F.size("_hit") / F.size("_asked") >= relevance.LOAD_BEARING) | F.coalesce("_first", F.lit(False))
-    bearing = scored.join(first, ["session_id", "turn_id"], "left").withColumn("_protected", (F.size("_asked") > 0) & protected)
-    return relevance.pruned(bearing, settings.relevance_threshold, "_protected").drop("_names", "_asked", "_hit", "_first", "_protected")
+        return relevance.pruned(cleaned, settings.relevance_threshold)
+    return relevance.pruned(cleaned, settings.relevance_threshold, "_protected").drop("_protected")
 
 
 def _staged(judged: DataFrame, settings: Settings, kept: str = "kept_rel", suffix: str = "") -> DataFrame:
@@ -167,7 +178,7 @@ def gated(turns: DataFrame, settings: Settings = Settings(), query: str = "last_
     named = lambda columns, name: F.struct(*columns).alias(name)
     per = plan.groupBy("session_id").agg(named(_sums(), "_lossy"), named(_sums("_lossless"), "_safe"), *_texts())
     parts = chat.split(turns, query).join(per, "session_id", "left").join(_told(plan), "session_id", "left")
-    told = parts.withColumns(dict(zip(("original", "compressed"), _sides(), strict=True))).drop("_b", "_a", "extract")
+    told = parts.withColumns(dict(zip(("original", "compressed"), _sides(), strict=True))).drop("_b", "_a", "extract").repartition(_tasks(turns), "session_id")
     verdict = quality.gated(told, "original", "compressed", settings.gate_threshold).withColumn("gate", F.col("recommendation"))
     chosen = F.when(F.col("passed"), F.col("_lossy")).otherwise(F.col("_safe"))
     both = verdict.withColumn("_chosen", chosen).select("session_id", "system", "query", "_chosen.*", "drift_score", "passed", "gate")
