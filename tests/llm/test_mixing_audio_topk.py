@@ -105,7 +105,7 @@ def test_audio_round_trip(docs, rows, empty, kinds):
         assert audio.parse(media)[0] == kind and audio.payload_of(media) == payload
         samples = audio.decode(media)[0]
         assert len(samples) == len(payload) * (129 / 64 if kind == audio.IMA else 1)
-        assert (audio.unpacked_pcm(r["pcm"]) == audio.resample(samples, audio.UP, audio.DOWN)).all()
+        assert (audio.unpacked_pcm(r["pcm_low"], r["pcm_high"]) == audio.resample(samples, audio.UP, audio.DOWN)).all()
     assert audio.decoded(audio.store(empty)).count() == 0
 
 
@@ -114,8 +114,8 @@ def test_pcm_is_stored_as_samples():
     rng = np.random.default_rng(4)
     for n in (0, 1, 2, 3, 64, 5000):
         for pcm in (rng.integers(-32768, 32768, n).astype(np.int16), audio.resample(audio.mulaw_table()[rng.integers(0, 256, 4 * n)], audio.UP, audio.DOWN)):
-            data = audio.packed_pcm(pcm)
-            assert len(data) == 2 * n and (audio.unpacked_pcm(data) == pcm).all()
+            low, high = audio.packed_pcm(pcm)
+            assert len(low) == len(high) == n and (audio.unpacked_pcm(low, high) == pcm).all()
     assert len(np.setdiff1d(pcm, audio.mulaw_table())) > 2000
 
 
@@ -138,7 +138,7 @@ def test_audio_query_stores_the_pcm(spark, docs, rows, tmp_path):
     before = set(glob.glob(f"{root}/turnmill-pcm-*"))
     found = queries.op8_telephony_audio(spark, str(tmp_path)).collect()
     (path,) = set(glob.glob(f"{root}/turnmill-pcm-*")) - before
-    stored = Counter((r["doc_id"], audio.unpacked_pcm(r["pcm"]).tobytes()) for r in spark.read.parquet(f"file://{path}").collect())
+    stored = Counter((r["doc_id"], audio.unpacked_pcm(r["pcm_low"], r["pcm_high"]).tobytes()) for r in spark.read.parquet(f"file://{path}").collect())
     law = {audio.MULAW: audio.mulaw_table(), audio.ALAW: audio.alaw_table()}
     samples = lambda x, kind: law[kind][np.frombuffer(x, np.uint8)] if kind in law else audio.decode(audio.coded(x, kind))[0]
     payloads = [(r[0], raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")) for r in rows for raw in [(r[1] or "").encode()]]

@@ -7,7 +7,7 @@ blocks at once with numpy, `resample` changes the rate with a windowed-sinc filt
 numbers, `decoded` gives the resampled PCM of a table of files, and `described` the features and
 digest of stored PCM.
 
-PCM is stored as 16-bit samples in byte planes (`packed_pcm`) at a rate that is a parameter; its
+PCM is stored as 16-bit samples, low and high bytes apart (`packed_pcm`), at a rate that is a parameter; its
 samples are weighted sums of many decoded ones and stand in no other column.  Whole numbers give the
 same samples on every machine.
 
@@ -33,6 +33,8 @@ PCM, ALAW, MULAW, IMA = 1, 6, 7, 0x11
 RATE, UNIT = 8000, 64
 #: Bytes that head an ADPCM block, bits of the filter's whole-number coefficients, and its taps where the rate doesn't fall.
 HEAD, BITS, TAPS = 4, 14, 16
+#: Level of the stored tables' compression.
+LEVEL = 9
 #: Forms that a hash of the payload picks from: an ADPCM file decodes to twice as many samples, so there are fewer of them.
 KINDS = (MULAW, ALAW, MULAW, ALAW, MULAW, ALAW, MULAW, IMA)
 #: The stored PCM's rate is RATE * UP / DOWN.
@@ -145,13 +147,14 @@ def resample(samples: np.ndarray, up: int, down: int, at_once: int = 1 << 16) ->
     return out
 
 
-def packed_pcm(pcm: np.ndarray) -> bytes:
-    """16-bit samples, low bytes first, then high bytes: the table's compression finds more in each alone."""
-    return pcm.astype("<i2").view(np.uint8).reshape(-1, 2).T.tobytes()
+def packed_pcm(pcm: np.ndarray) -> tuple[bytes, bytes]:
+    """The low and the high bytes of 16-bit samples: a table's compression finds more in each alone."""
+    low, high = pcm.astype("<i2").view(np.uint8).reshape(-1, 2).T
+    return low.tobytes(), high.tobytes()
 
 
-def unpacked_pcm(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(2, -1).T).view("<i2").ravel()
+def unpacked_pcm(low: bytes, high: bytes) -> np.ndarray:
+    return np.stack([np.frombuffer(low, np.uint8), np.frombuffer(high, np.uint8)], 1).view("<i2").ravel()
 
 
 def features(pcm: np.ndarray, rate: int) -> str:
@@ -190,7 +193,7 @@ def store(docs: DataFrame, kinds: tuple[int, ...] = KINDS) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_bytes": pa.array(sizes, pa.int64()), "media": pa.array(files, pa.binary())})
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    return saved(source.mapInArrow(make, "doc_id long, n_bytes long, media binary"), "media")
+    return saved(source.mapInArrow(make, "doc_id long, n_bytes long, media binary"), "media", LEVEL)
 
 
 def decoded(files: DataFrame, up: int = UP, down: int = DOWN) -> DataFrame:
@@ -201,37 +204,38 @@ def decoded(files: DataFrame, up: int = UP, down: int = DOWN) -> DataFrame:
         for batch in batches:
             at = 0
             while at < batch.num_rows:
-                rows = {c: [] for c in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "rate", "pcm")}
+                rows = {c: [] for c in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "rate", "pcm_low", "pcm_high")}
                 start, held = at, 0
                 while at < batch.num_rows and held < BYTES_AT_ONCE:
                     file = batch.column("media")[at].as_py()
                     payload = payload_of(file)
                     samples, rate = decode(file)
-                    pcm = packed_pcm(resample(samples, up, down))
+                    low, high = packed_pcm(resample(samples, up, down))
                     rows["payload_bytes"].append(len(payload))
                     rows["payload_sha256"].append(hashlib.sha256(payload).hexdigest())
                     rows["tail_crc32"].append(zlib.crc32(payload[-UNIT:]))
                     rows["media_bytes"].append(len(file))
                     rows["media_sha256"].append(hashlib.sha256(file).hexdigest())
                     rows["rate"].append(rate * up // down)
-                    rows["pcm"].append(pcm)
-                    at, held = at + 1, held + len(pcm)
-                kinds = {"payload_bytes": pa.int64(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "rate": pa.int64(), "pcm": pa.binary()}
+                    rows["pcm_low"].append(low)
+                    rows["pcm_high"].append(high)
+                    at, held = at + 1, held + 2 * len(low)
+                kinds = {"payload_bytes": pa.int64(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "rate": pa.int64(), "pcm_low": pa.binary(), "pcm_high": pa.binary()}
                 yield pa.RecordBatch.from_pydict({c: batch.column(c).slice(start, at - start) for c in kept} | {c: pa.array(v, kinds.get(c, pa.string())) for c, v in rows.items()})
 
     given = ", ".join(f"`{c}` {files.schema[c].dataType.simpleString()}" for c in kept)
-    return files.mapInArrow(read, f"{given}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, rate long, pcm binary")
+    return files.mapInArrow(read, f"{given}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, rate long, pcm_low binary, pcm_high binary")
 
 
 def described(stored: DataFrame) -> DataFrame:
     """The columns of decoded files without rate and pcm, with the features and digest of the PCM (as little-endian 16-bit samples)."""
-    kept = [c for c in stored.columns if c not in ("rate", "pcm")]
+    kept = [c for c in stored.columns if c not in ("rate", "pcm_low", "pcm_high")]
 
     def read(batches):
         for batch in batches:
             rows = {"feature": [], "pcm_sha256": []}
-            for value, rate in zip(batch.column("pcm"), batch.column("rate"), strict=True):
-                pcm = unpacked_pcm(value.as_py())
+            for low, high, rate in zip(batch.column("pcm_low"), batch.column("pcm_high"), batch.column("rate"), strict=True):
+                pcm = unpacked_pcm(low.as_py(), high.as_py())
                 rows["feature"].append(features(pcm, rate.as_py()))
                 rows["pcm_sha256"].append(hashlib.sha256(pcm.astype("<i2").tobytes()).hexdigest())
             yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in kept} | {c: pa.array(v, pa.string()) for c, v in rows.items()})

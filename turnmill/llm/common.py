@@ -24,11 +24,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table into the shared folder and reads it again: lineage ends here, and a lost executor loses none of it."""
+def saved(df: DataFrame, name: str, level: int = 3) -> DataFrame:
+    """Writes a table into the shared folder (zstd of that level) and reads it again: lineage ends here, and a lost executor loses none of it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/turnmill-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -48,7 +48,7 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = audio.store(table(spark, sf_dir, "documents"))
-    return audio.described(saved(audio.decoded(files), "pcm"))
+    return audio.described(saved(audio.decoded(files), "pcm", audio.LEVEL))
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
