@@ -16,9 +16,9 @@ def _without_kept(found):
     return [r[:3] for r in found]
 
 
-@pytest.mark.parametrize(("width", "percent", "long_list"), [(4, 85, 24), (4, 85, 3), (5, 80, 4), (2, 60, 24)])
-def test_against_all_pairs(docs, rows, width, percent, long_list):
-    found = parity.joined(docs, width=width, percent=percent, long_list=long_list)
+@pytest.mark.parametrize(("width", "percent", "long_list", "few"), [(4, 85, 24, 64), (4, 85, 3, 1), (5, 80, 4, 64), (2, 60, 24, 0)])
+def test_against_all_pairs(docs, rows, width, percent, long_list, few):
+    found = parity.joined(docs, width=width, percent=percent, long_list=long_list, few=few)
     assert sorted(map(tuple, found.collect()), key=str) == _without_kept(brute(rows, width, percent))
 
 
@@ -58,8 +58,8 @@ def test_texts_that_share_a_passage(spark):
             text[rng.randrange(len(text))] = f"s{rng.randrange(10**6)}"
         rows.append((k, " ".join(text)))
     table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    for long_list in (24, 5):
-        assert sorted(map(tuple, parity.joined(table, 4, 85, long_list).collect()), key=str) == _without_kept(brute(rows, 4, 85))
+    for long_list, few in ((24, 64), (5, 2)):
+        assert sorted(map(tuple, parity.joined(table, 4, 85, long_list, few).collect()), key=str) == _without_kept(brute(rows, 4, 85))
 
 
 def test_empty_table(empty):

@@ -16,12 +16,13 @@ shingles fell into, and many documents share, are left out, and lists stay short
 grows.  Pairs in one list are compared by size and by their sketches' Hamming distance, and the
 rest by the full sets.
 
-Long lists.  Documents in lists of more than `long_list` are sketched again, in twice as many parts, of
-which only the rarer half is listed: documents that merely share a passage leave such lists.  A list
-that stays long is a group of near copies: each is compared with the list's hub, and those that the hub
-isn't linked with by what they differ in (`minhash._around_hubs`).  Pairs of short lists that these
-links join already are not compared again.  So no two documents that links connect come apart, and
-the work keeps to a group's size.
+Long lists.  A list of more than `long_list` documents is a group of near copies, or documents that
+share a passage.  Each is compared with the list's hub, the document that is in most long lists; where
+few are not linked with it, these are compared with the whole list.  Where many aren't, the list's documents are
+sketched again, in twice as many parts, of which only the rarer half is listed, so documents that merely
+share a passage leave such lists; what stays long and unlinked even then is compared by what its documents
+differ in from the hub (`minhash._around_hubs`).  Pairs of short lists that links join already are not
+compared again.  So no two documents that links connect come apart, and the work keeps to a group's size.
 
 Documents with equal sets are one class from the start.  A null text is empty; a document
 without words is linked with nothing.  A null doc_id is in no link and has component null.
@@ -31,6 +32,8 @@ Other columns of the input don't matter.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -170,7 +173,35 @@ def _apart_yet(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return met.where(~F.coalesce(F.col("root_a") == F.col("root_b"), F.lit(False))).drop("root_a", "root_b")
 
 
-def joined(docs: DataFrame, width: int = 5, percent: int = 80, long_list: int = 24) -> DataFrame:
+def _with_hubs(lists: DataFrame, confirmed: Callable[[DataFrame], DataFrame], percent: int, few: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of long lists (v, node, n, wide): of each list with its hub, and of up to `few` others with the list; and the lists with more others."""
+    fits = lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)
+    both = lambda x, y, nx, ny: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), F.when(F.col(x) < F.col(y), F.col(nx)).otherwise(F.col(ny)).alias("na"), F.when(F.col(x) < F.col(y), F.col(ny)).otherwise(F.col(nx)).alias("nb"))
+    hubs = lists.groupBy("v").agg(F.max_by(F.struct("node", "n"), F.struct("wide", "node")).alias("h")).select("v", F.col("h.node").alias("hub"), F.col("h.n").alias("nh"))
+    spread = saved(lists.join(hubs, "v").where("node != hub").select("v", "node", "n", *both("hub", "node", "nh", "n")), "spread")
+    spokes = confirmed(spread.where(fits("na", "nb")).select("a", "b", "na", "nb").distinct())
+    free = saved(spread.join(spokes, ["a", "b"], "left_anti").select("v", F.col("node").alias("f"), F.col("n").alias("nf")), "free")
+    many = free.groupBy("v").count().where(F.col("count") > few).select("v")
+    left = free.join(many, "v", "left_anti").join(lists.select("v", "node", "n"), "v").where((F.col("f") != F.col("node")) & fits("nf", "n"))
+    others = confirmed(left.select(*both("f", "node", "nf", "n")).distinct())
+    return spokes.union(others), saved(lists.join(many, "v", "left_semi"), "unlinked")
+
+
+def _long(lists: DataFrame, classes: DataFrame, sets: DataFrame, links: _Links, percent: int, long_list: int, few: int) -> DataFrame:
+    """Links (a, b) that join all that links among the classes of long lists do."""
+    confirmed = lambda of: lambda pairs: saved(links.exact(near(pairs, of, percent), sets), "links")
+    found, rest = _with_hubs(lists, confirmed(classes), percent, few)
+    if not rest.limit(1).count():
+        return found
+    again = saved(sketched_again(sets.join(rest.select("node").distinct(), "node", "left_semi"), percent), "again")
+    finer = saved(listed(again, percent, long_list), "finer")
+    short = confirmed(again)(_pairs(finer.where("not long"), percent))
+    deeper, rest = _with_hubs(finer.where("long").select("v", "node", "n", "wide"), confirmed(again), percent, few)
+    found = found.union(short).union(deeper)
+    return found.union(_around_hubs(rest, sets, percent)) if rest.limit(1).count() else found
+
+
+def joined(docs: DataFrame, width: int = 5, percent: int = 80, long_list: int = 24, few: int = 64) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that links reach, its own included) for every row of docs."""
     found = saved(sketches(docs, width, percent), "parity")
     counted = found.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.any_value("n_shingles").alias("n"), *[F.any_value(c).alias(c) for c in ("band", "own", "up")])
@@ -180,11 +211,7 @@ def joined(docs: DataFrame, width: int = 5, percent: int = 80, long_list: int =
     hopeful = _pairs(lists.where("not long"), percent)
     wide, known = lists.where("long").select("node").distinct(), None
     if wide.limit(1).count():
-        sets = links.sets(wide)
-        again = saved(sketched_again(sets, percent), "again")
-        finer = saved(listed(again, percent, long_list), "finer")
-        spokes = _around_hubs(finer.where("long").select("v", "node", "n", "wide"), sets, percent)
-        known = saved(spokes.union(links.exact(near(_apart_yet(_pairs(finer.where("not long"), percent), spokes), again, percent), sets)), "known")
+        known = saved(_long(lists.where("long").select("v", "node", "n", "wide"), classes, links.sets(wide), links, percent, long_list, few), "known")
         hopeful = _apart_yet(hopeful, known)
     hopeful = near(hopeful, classes, percent)
     linked = links.exact(hopeful, links.sets(hopeful.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
