@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from turnmill.operators import cache, dedup, graph, quality, relevance, summary, telemetry
+from turnmill.operators import cache, dedup, graph, quality, relevance, session, summary, telemetry
 from turnmill.plans import savings
 from turnmill.sources import chat
 from turnmill.streaming import state, windows
@@ -200,6 +200,8 @@ def test_ranks_of_a_group_without_its_list(spark, kind):
 
 def _run(stream, path, mode="update"):
     rows = []
+    # with timers or a time to live a stream goes on with empty batches for ever, and so it would never end
+    stream.sparkSession.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", str(path)).trigger(availableNow=True).foreachBatch(lambda df, _: rows.extend(df.collect())).start()
     try:
         assert q.awaitTermination(240), "the stream did not end"
@@ -447,3 +449,57 @@ def test_large_blocks_are_the_double_loop(spark):
         assert {k for k, s in wanted.items() if s is not None} == {k for k, s in found.items() if s is not None}
         assert all(s is None or found[k] == pytest.approx(s, abs=1e-9) for k, s in wanted.items())
     assert dedup.large(table.limit(0), "session_id") is None
+
+
+def _chat(messages, recent, most):
+    """What each user message's prompt holds, from whole lists of messages."""
+    import re
+    from collections import Counter
+
+    def context(summary, prior, n):
+        last = prior[-n:] if n > 0 else []
+        lines = ([f"Summary: {summary}"] if summary else []) + (["Recent:", *(f"User: {m}" for m in last)] if last else [])
+        return "\n".join(lines)
+
+    def told(older):
+        text = " ".join(m for m in older if m)
+        words = Counter(w for w in re.findall(r"\b[a-zA-Z]{3,}\b", text.lower()) if w not in summary.KEY_POINT_STOPS)
+        top = [w for w, _ in words.most_common(12)]
+        return ("Key points: " + ", ".join(top) if top else text)[:600]
+
+    now, prior, out = "", [], []
+    for m in messages:
+        said = context(now, prior, recent)
+        if len(said.split()) > most:
+            older = prior[:-recent] if recent > 0 else prior
+            now = f"{now} {told(older)}".strip() if now else told(older)
+            prior = prior[-recent:] if recent > 0 else []
+            said = context(now, prior, recent)
+        n = max(0, recent - 1)
+        while n > 0 and len(said.split()) > most:
+            said = context(now, prior, n)
+            n -= 1
+        out.append((said, len(said.split()), now, len(prior) + 1))
+        prior = [*prior, m]
+    return out
+
+
+def test_chat_sessions_batch_and_stream(spark, tmp_path):
+    import random
+
+    rng = random.Random(31)
+    words = ["deploy", "Server", "the", "x", "café", "naïve", "cache", "miss", "42", "disk", "what", "retry"]
+    talks = {s: [" ".join(rng.choices(words, k=rng.randrange(9))) for _ in range(14)] for s in range(5)} | {9: ["1 2", "3"] * 9}
+    rows = [(s, k, role, m) for s, ms in talks.items() for k, m in enumerate(ms) for role in (["user"] if k % 5 else ["user", "assistant"])]
+    table = spark.createDataFrame(rows, TURNS).repartition(3)
+    for recent, most in ((3, 12), (1, 5), (0, 4), (4, 10_000)):
+        found = {(r.session_id, r.turn_id): (r.context, r.context_tokens, r.summary, r.recent_message_count) for r in session.chat_turns(table, recent, most).collect()}
+        assert found == {(s, k): row for s, ms in talks.items() for k, row in enumerate(_chat(ms, recent, most))}
+    # the stream, over several batches and a restart, tells the same
+    kept = [c for c in ("turn_id < 4", "turn_id >= 4 and turn_id < 9", "turn_id >= 8")]
+    out = []
+    for n, part in enumerate(kept):
+        table.where(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "turns"))
+        out += _run(state.chat_stream(spark.readStream.schema(table.schema).parquet(str(tmp_path / "turns")), 3, 12), tmp_path / "c")
+    wanted = {(str(s), k): row for s, ms in talks.items() for k, row in enumerate(_chat(ms, 3, 12))}
+    assert len(out) == len(wanted) and {(r.session_id, r.turn_id): (r.context, r.context_tokens, r.summary, r.recent_message_count) for r in out} == wanted

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from turnmill.functions import entities, similarity, structural, tokens
 from turnmill.functions import text as T
-from turnmill.operators import cache, dedup, graph, largeblocks, quality, relevance, reuse, summary, telemetry
+from turnmill.operators import cache, dedup, graph, largeblocks, quality, relevance, reuse, session, summary, telemetry
 from turnmill.plans import savings
 from turnmill.sources import chat
 from turnmill.streaming import windows
@@ -162,16 +162,18 @@ def flatten_content(spark, sf_dir):
     return raw.select("conv_id", "turn", chat.flatten_content(F.col("raw")).alias("content"))
 
 
-@query("""SELECT CAST(floor(id / 20) AS BIGINT) AS session_id, id % 20 AS turn_id, CASE WHEN id % 2 = 0 THEN 'user' ELSE 'assistant' END AS role,
-CASE WHEN id % 2 = 0 THEN 'Can you explain ' || t || '?' ELSE 'Here is how ' || t || ' works, step by step.' END AS content
-FROM (SELECT range AS id, ['indexes', 'caching', 'retries', 'sharding'][CAST(floor(range % 20 / 2) AS BIGINT) % 4 + 1] AS t FROM range(200))""")
+@query("""SELECT item_id AS session_id, CAST(k AS BIGINT) AS turn_id, CASE WHEN k % 2 = 0 THEN 'user' ELSE 'assistant' END AS role,
+CASE WHEN k % 2 = 0 THEN 'Can you explain ' || text || '?' ELSE 'Here is how ' || text || ' works, step by step.' END AS content
+FROM benchmark, (SELECT unnest(range(20)) AS k)""")
 def synthetic_history(spark, sf_dir):
-    return chat.synthetic(spark, 10, 20, ("indexes", "caching", "retries", "sharding"))
+    return chat.synthetic(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("session_id"), F.col("text").alias("topic")), 20)
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{m}', 'model', '{o}')" for m, o in tokens.LISTED_MODELS) + ") AS t(id, object, owned_by)")
+@query(f"""WITH {_FACTS}, listed AS (SELECT * FROM (VALUES {", ".join(f"('{m}', 'model', '{o}')" for m, o in tokens.LISTED_MODELS)}) AS t(id, object, owned_by))
+SELECT id, object, owned_by, count(f.request_id) AS requests FROM listed l LEFT JOIN facts f ON f.model = l.id GROUP BY ALL""")
 def models_list(spark, sf_dir):
-    return chat.models(spark)
+    used = facts(spark, sf_dir).groupBy(F.col("model").alias("id")).agg(F.count("*").alias("requests"))
+    return chat.models(spark).join(used, "id", "left").fillna(0, ["requests"])
 
 
 @query(rf"""WITH {_TURNS}, {_SPLIT} SELECT p.session_id, {_TOK.format("p.system")} + {_TOK.format("p.query")} + CAST(coalesce(sum({_TOK.format("h.content")}), 0) AS BIGINT) AS prompt_tokens
@@ -221,6 +223,11 @@ def chat_render(spark, sf_dir):
     return lists.select("session_id", T.rendered_chat(F.lit("so far"), F.col("turns"), 4).alias("context"))
 
 
+@query()
+def chat_sessions(spark, sf_dir):
+    return session.chat_turns(turns(spark, sf_dir), recent=2, most=30)
+
+
 # --- text and tokens -------------------------------------------------------------------------
 
 
@@ -268,7 +275,8 @@ def structural_compress(spark, sf_dir):
 
 @query()
 def json_spans(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.size(structural.spans(F.col("html"))).alias("n_spans"), structural.spans(F.col("html")).alias("spans"))
+    found = table(spark, sf_dir, "pages").select("page_id", structural.spans(F.col("html")).alias("spans"))
+    return found.select("page_id", F.size("spans").alias("n_spans"), "spans")
 
 
 @query()
@@ -291,21 +299,26 @@ def auth_check(spark, sf_dir):
     return users.select("request_id", chat.authorised(bearer, key, "k-1").alias("authorised"))
 
 
-_NAMES = [*(m for m, _ in tokens.LISTED_MODELS), "o1-mini", "o3", "gpt-5", "claude-2.1", "claude-3-haiku", "llama-3"]
-_NAMED = "names AS (SELECT unnest([" + ", ".join(f"'{n}'" for n in _NAMES) + "]) AS model)"
+#: Models that requests name: those of the facts, and others by the event's type and user.
+_NAMED = f"WITH {_FACTS}, named AS (SELECT request_id, CASE session_id::BIGINT % 5 WHEN 0 THEN model WHEN 1 THEN 'o1-mini' WHEN 2 THEN 'Claude-2.1-' || endpoint WHEN 3 THEN upper(model) || '-2024' ELSE 'gpt-5' END AS model FROM facts)"
+
+
+def _named(spark, sf_dir) -> DataFrame:
+    user = F.col("session_id").cast("long") % 5
+    name = F.when(user == 0, F.col("model")).when(user == 1, "o1-mini").when(user == 2, F.concat(F.lit("Claude-2.1-"), "endpoint")).when(user == 3, F.concat(F.upper("model"), F.lit("-2024"))).otherwise("gpt-5")
+    return facts(spark, sf_dir).select("request_id", name.alias("model"))
 
 
-@query(f"""WITH {_NAMED}, registry AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{f}', '{e}', {w})" for k, (f, e, w) in tokens.MODELS.items())}) AS r(key, family, encoding, ctx_window))
-SELECT model, coalesce(arg_max(family, length(key)), 'openai') AS family, coalesce(arg_max(encoding, length(key)), 'cl100k_base') AS encoding, CAST(coalesce(arg_max(ctx_window, length(key)), 128000) AS INTEGER) AS ctx_window
-FROM names LEFT JOIN registry ON contains(lower(model), key) GROUP BY model""")
+@query(f"""{_NAMED}, registry AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{f}', '{e}', {w})" for k, (f, e, w) in tokens.MODELS.items())}) AS r(key, family, encoding, ctx_window))
+SELECT request_id, coalesce(arg_max(family, length(key)), 'openai') AS family, coalesce(arg_max(encoding, length(key)), 'cl100k_base') AS encoding, CAST(coalesce(arg_max(ctx_window, length(key)), 128000) AS INTEGER) AS ctx_window
+FROM named LEFT JOIN registry ON contains(lower(model), key) GROUP BY request_id""")
 def model_detect(spark, sf_dir):
-    names = spark.createDataFrame([(n,) for n in _NAMES], "model string")
-    return names.withColumn("d", tokens.detect(F.col("model"))).select("model", "d.family", "d.encoding", "d.ctx_window")
+    return _named(spark, sf_dir).withColumn("d", tokens.detect(F.col("model"))).select("request_id", "d.family", "d.encoding", "d.ctx_window")
 
 
-@query(f"WITH {_NAMED} SELECT model, CAST(CASE " + " ".join(f"WHEN contains(model, '{k}') THEN {p}" for k, p in tokens.INPUT_PRICES.items()) + " ELSE 5.0 END AS DOUBLE) AS usd_per_million FROM names")
+@query(f"{_NAMED} SELECT request_id, CAST(CASE " + " ".join(f"WHEN contains(lower(model), '{k}') THEN {p}" for k, p in tokens.INPUT_PRICES.items()) + " ELSE 5.0 END AS DOUBLE) AS usd_per_million FROM named")
 def price_lookup(spark, sf_dir):
-    return spark.createDataFrame([(n,) for n in _NAMES], "model string").select("model", tokens.input_price(F.col("model")).alias("usd_per_million"))
+    return _named(spark, sf_dir).select("request_id", tokens.input_price(F.col("model")).alias("usd_per_million"))
 
 
 @query(f"""WITH {_FACTS} SELECT request_id, round(raw_tokens / 1000 * CASE model WHEN 'gpt-4-turbo' THEN 30.0 WHEN 'claude-3-5-haiku' THEN 3.0 ELSE 5.0 END + post_tokens / 1000 * CASE model WHEN 'gpt-4-turbo' THEN 60.0 ELSE 15.0 END, 6) AS cost_usd FROM facts""")

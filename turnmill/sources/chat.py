@@ -76,12 +76,12 @@ def history(turns: DataFrame, parts: DataFrame) -> DataFrame:
     return joined.where(~head & (F.col("query_turn").isNull() | (F.col("turn_id") != F.col("query_turn")))).withColumn("content", filled("content"))
 
 
-def synthetic(spark: SparkSession, sessions: int, turns: int, topics: tuple[str, ...]) -> DataFrame:
-    """Templated histories: users ask about topics in turn, assistants answer."""
-    topic = F.element_at(F.array(*map(F.lit, topics)), (F.floor(F.col("turn_id") / 2) % len(topics) + 1).cast("int"))
-    grid = spark.range(sessions * turns).select(F.floor(F.col("id") / turns).alias("session_id"), (F.col("id") % turns).alias("turn_id"))
+def synthetic(topics: DataFrame, turns: int) -> DataFrame:
+    """A templated history for each topic (session_id, topic): the user asks about it, the assistant answers, so many turns in all."""
+    grid = topics.select("session_id", "topic", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(turns - 1).cast("long"))).alias("turn_id"))
     user = F.col("turn_id") % 2 == 0
-    return grid.select("session_id", "turn_id", F.when(user, "user").otherwise("assistant").alias("role"), F.when(user, F.concat(F.lit("Can you explain "), topic, F.lit("?"))).otherwise(F.concat(F.lit("Here is how "), topic, F.lit(" works, step by step."))).alias("content"))
+    said = F.when(user, F.concat(F.lit("Can you explain "), "topic", F.lit("?"))).otherwise(F.concat(F.lit("Here is how "), "topic", F.lit(" works, step by step.")))
+    return grid.select("session_id", "turn_id", F.when(user, "user").otherwise("assistant").alias("role"), said.alias("content"))
 
 
 def authorised(authorization: Column, api_key: Column, expected: str | None) -> Column:

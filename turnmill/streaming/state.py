@@ -1,4 +1,4 @@
-"""Streaming state: the entity graph, the rolling summary and the last compression of sessions, and cache entries.
+"""Streaming state: chat sessions, the entity graph, the rolling summary and the last compression of sessions, and cache entries.
 
 `transformWithStateInPandas` keeps, for each session, the graph's nodes and turns seen, and the
 summary, all with a time to live; a turn that comes twice is taken once.
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from turnmill.operators import session
 from turnmill.operators.graph import Graph, named_turns
 
 TTL_MS = 86_400_000
@@ -54,6 +55,74 @@ def graph_stream(turns: DataFrame) -> DataFrame:
     return keyed.groupBy("session_id").transformWithStateInPandas(GraphProcessor(), NODES, "update", "processingTime")
 
 
+class _StoredWords(session.Older):
+    """The words of older messages in map state: a message touches its own words alone."""
+
+    def __init__(self, words, begin: str, place: int, messages: int):
+        super().__init__({}, begin, place, messages)
+        self.stored = words
+
+    def get(self, word: str) -> tuple[int, int] | None:
+        return tuple(self.stored.getValue((word,))) if self.stored.containsKey((word,)) else None
+
+    def put(self, word: str, value: tuple[int, int]) -> None:
+        self.stored.updateValue((word,), value)
+
+    def items(self) -> Iterator[tuple[str, tuple[int, int]]]:
+        return ((k[0], tuple(v)) for k, v in self.stored.iterator())
+
+    def clear(self) -> None:
+        self.stored.clear()
+
+
+class ChatProcessor(StatefulProcessor):
+    """What a session's prompt holds after each user message; all state of a session that is idle for the time to live is dropped."""
+
+    def __init__(self, recent: int, most: int):
+        self.recent, self.most = recent, most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.head = handle.getValueState("head", "summary string, begin string, place long, messages long, last_turn long")
+        self.messages = handle.getListState("recent", "content string")
+        self.words = handle.getMapState("words", "word string", "n long, place long")
+
+    def _expire_later(self, timerValues) -> None:
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + TTL_MS)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        summary, begin, place, messages, last = self.head.get() if self.head.exists() else ("", "", 0, 0, None)
+        held = [m[0] for m in self.messages.get()] if self.messages.exists() else []
+        now = session.Session(self.recent, self.most, summary, held, _StoredWords(self.words, begin, place, messages))
+        out = []
+        for row in pd.concat(list(rows)).sort_values("turn_id").itertuples():
+            if last is None or row.turn_id > last:  # a turn that comes again is taken once
+                last = int(row.turn_id)
+                out.append((str(key[0]), last, *now.add(row.content)))
+        self.head.update((now.summary, now.older.begin, now.older.place, now.older.messages, last))
+        if now.messages:
+            self.messages.put([(m,) for m in now.messages])
+        self._expire_later(timerValues)
+        yield pd.DataFrame(out, columns=["session_id", *(c.split(" ")[0] for c in session.TURN.split(", "))])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.head.clear()
+        self.messages.clear()
+        self.words.clear()
+        yield pd.DataFrame(columns=["session_id", *(c.split(" ")[0] for c in session.TURN.split(", "))])
+
+    def close(self) -> None:
+        pass
+
+
+def chat_stream(turns: DataFrame, recent: int = session.RECENT, most: int = session.CONTEXT_TOKENS) -> DataFrame:
+    """A stream of turns as a stream of what prompts hold (session_id and the columns of `session.TURN`), as `session.chat_turns` gives of a table."""
+    keyed = session.user_messages(turns).withColumn("session_id", F.col("session_id").cast("string"))
+    return keyed.groupBy("session_id").transformWithStateInPandas(ChatProcessor(recent, most), f"session_id string, {session.TURN}", "update", "processingTime")
+
+
 class SummaryProcessor(StatefulProcessor):
     """Keeps a session's summary: each compressed text is joined to what there was and cut from the front's end at `chars`."""
 
