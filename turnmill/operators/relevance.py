@@ -24,9 +24,9 @@ def with_entities(base: Column, names: Column, query_names: Column) -> Column:
     return F.when(F.size(query_names) > 0, F.least(F.lit(1.0), base + ENTITY_WEIGHT * similarity.share_of(query_names, names))).otherwise(base)
 
 
-def scored(turns: DataFrame, content: str = "content", query: str = "query", names: str | None = None, query_names: str | None = None) -> DataFrame:
-    """turns and score, rounded to 4."""
-    base = keyword_score(F.col(content), F.col(query))
+def scored(turns: DataFrame, content: str = "content", query: str = "query", names: str | None = None, query_names: str | None = None, vectors: tuple[str, str] | None = None) -> DataFrame:
+    """turns and score, rounded to 4: by common words, or by the cosine of two vector columns (a turn's and the query's)."""
+    base = similarity.cosine(*map(F.col, vectors)) if vectors else keyword_score(F.col(content), F.col(query))
     return turns.withColumn("score", F.round(with_entities(base, F.col(names), F.col(query_names)) if names and query_names else base, 4))
 
 

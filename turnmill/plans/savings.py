@@ -35,6 +35,7 @@ class Settings:
     may_hold_json: bool = True
     model: str = "gpt-4o"
     counter: Callable[[Column], Column] = tokens.words  # such as tokens.bpe_counter(path)
+    vector: str | None = None  # a column of the turns: similarity by their vectors' cosine and not by words
 
 
 def _tasks(df: DataFrame) -> int:
@@ -52,17 +53,21 @@ def _cleaned(turns: DataFrame, settings: Settings, query: str) -> DataFrame:
     parts = chat.split(by_session, query)
     if settings.mode != "lossless" and settings.with_entities:
         parts = parts.withColumn("_asked", entities.all_names(F.col("query")))  # once a session, not once a turn
+    if settings.vector:
+        asked = by_session.select("session_id", F.col("turn_id").alias("query_turn"), F.col(settings.vector).alias("_query_vector"))
+        parts = parts.join(asked, ["session_id", "query_turn"], "left")
+    vectors = (settings.vector, "_query_vector") if settings.vector else None
     history = chat.history(by_session, parts)
     clean = history.withColumn("clean", structural.compress(F.col("content"), settings.may_hold_json))
     count = lambda c: tokens.of_turn(F.col("role"), F.col(c), settings.model, settings.counter)
     sized = clean.withColumns({"raw_tokens": count("content"), "tokens": count("clean")})
     if settings.mode != "lossless" and settings.with_entities:
         named = sized.withColumn("_names", entities.all_names(F.col("clean")))
-        sized = relevance.scored(named.withColumn("_hit", F.array_intersect("_asked", "_names")), "clean", "query", "_names", "_asked").drop("_names")
+        sized = relevance.scored(named.withColumn("_hit", F.array_intersect("_asked", "_names")), "clean", "query", "_names", "_asked", vectors).drop("_names")
     elif settings.mode != "lossless":
-        sized = relevance.scored(sized, "clean", "query")
-    sized = reuse.once(sized)
-    marked = dedup.deduplicated(sized, "session_id", "turn_id", "clean", settings.dedup_threshold, dedup.large(turns, "session_id")).withColumnRenamed("kept", "kept_dedup")
+        sized = relevance.scored(sized, "clean", "query", vectors=vectors)
+    sized = reuse.once(sized.drop("_query_vector"))
+    marked = dedup.deduplicated(sized, "session_id", "turn_id", "clean", settings.dedup_threshold, None if settings.vector else dedup.large(turns, "session_id"), settings.vector).withColumnRenamed("kept", "kept_dedup")
     if settings.mode == "lossless" or not settings.with_entities:
         return marked
     # a turn that names a tenth of the query's entities is protected, and so is the turn that named one of them first;

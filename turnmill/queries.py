@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -693,11 +694,27 @@ CAST(coalesce(d, 0) AS BIGINT) AS deduplication, CAST(coalesce(r, 0) AS BIGINT)
 _MEASURES = ("session_id", "turns", "turns_kept", "raw_tokens", "post_tokens", "deduplication", "relevance", "summarization")
 
 
+_COSINE = "CASE WHEN list_dot_product({0}, {0}) * list_dot_product({1}, {1}) > 0 THEN list_dot_product({0}, {1}) / (sqrt(list_dot_product({0}, {0})) * sqrt(list_dot_product({1}, {1}))) ELSE 0.0 END"
+_DENSE = f"""vecs AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+rows_in AS (SELECT h.session_id, h.turn_id, h.role, h.content AS raw, {_CLEAN.replace('content', 'h.content')} AS content, h.query, v.e, q.e AS qe FROM history h JOIN parts p ON p.session_id = h.session_id
+  JOIN vecs v ON v.vec_id = (h.session_id * 31 + h.turn_id) % 500 LEFT JOIN vecs q ON q.vec_id = (p.session_id * 31 + p.query_turn) % 500),
+pairs AS (SELECT x.session_id AS block, x.turn_id AS a, y.turn_id AS b, {_COSINE.format('x.e', 'y.e')} AS similarity FROM rows_in x JOIN rows_in y ON x.session_id = y.session_id AND x.turn_id < y.turn_id)"""
+
+
 def _measured(spark, sf_dir, settings: savings.Settings) -> DataFrame:
     every = turns(spark, sf_dir)
     return savings.measured(every, savings.annotated(every, settings), settings).select(*_MEASURES)
 
 
+@query("WITH RECURSIVE " + _PLAN.replace("@KEEP@", "score >= 0.15").replace(f"rows_in AS (SELECT session_id, turn_id, role, content AS raw, {_CLEAN} AS content, query FROM history), {_VECTORS}", _DENSE).replace(f"round({_OCHIAI.format('wa', 'wb')}, 4) AS score", f"round(coalesce({_COSINE.format('e', 'qe')}, 0.0), 4) AS score"))
+def pipeline_vectors(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("_v"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
+    every = turns(spark, sf_dir)
+    with_vectors = every.withColumn("_v", (F.col("session_id") * 31 + F.col("turn_id")) % 500).join(vectors, "_v", "left").drop("_v")
+    settings = dataclasses.replace(_BRISK, vector="vector")
+    return savings.measured(every, savings.annotated(with_vectors, settings), settings).select(*_MEASURES)
+
+
 @query("WITH RECURSIVE " + _PLAN.replace("@KEEP@", "score >= 0.15"))
 def pipeline_lossy(spark, sf_dir):
     return _measured(spark, sf_dir, _BRISK)
