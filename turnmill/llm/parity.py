@@ -18,7 +18,8 @@ rest by the full sets.
 
 Long lists.  A list of more than `long_list` documents is a group of near copies, or documents that
 share a passage.  Each is compared with the list's hub, the document that is in most long lists; where
-few are not linked with it, these are compared with the whole list.  Where many aren't, the list's documents are
+few are not linked with it, these are compared with those of the list whose Hamming distance from the hub is
+near their own (two sketches differ in no fewer bits than their distances from a third do).  Where many aren't, the list's documents are
 sketched again, in twice as many parts, of which only the rarer half is listed, so documents that merely
 share a passage leave such lists; what stays long and unlinked even then is compared by what its documents
 differ in from the hub (`minhash._around_hubs`).  Pairs of short lists that links join already are not
@@ -32,8 +33,6 @@ Other columns of the input don't matter.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -154,6 +153,11 @@ def _pairs(lists: DataFrame, percent: int) -> DataFrame:
     return both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
 
 
+def _hamming(one: Column, other: Column) -> Column:
+    """In how many bits two sketches of one kind differ."""
+    return F.aggregate(F.zip_with(one, other, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, d: t + d)
+
+
 def near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """a, b of the pairs whose sketches differ in no more bits than linked sets may differ in shingles."""
     side = lambda c: classes.select(F.col("node").alias(c), F.col("band").alias(f"band_{c}"), F.col("own").alias(f"own_{c}"), F.col("up").alias(f"up_{c}"))
@@ -161,8 +165,7 @@ def near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     # both sketches are those of the higher band
     one = F.when(F.col("band_a") < F.col("band_b"), F.col("up_a")).otherwise(F.col("own_a"))
     other = F.when(F.col("band_b") < F.col("band_a"), F.col("up_b")).otherwise(F.col("own_b"))
-    distance = F.aggregate(F.zip_with(one, other, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, d: t + d)
-    return saved(held.where(distance <= _most_apart(F.col("na") + F.col("nb"), percent)).select("a", "b"), "near")
+    return saved(held.where(_hamming(one, other) <= _most_apart(F.col("na") + F.col("nb"), percent)).select("a", "b"), "near")
 
 
 def _apart_yet(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -173,32 +176,44 @@ def _apart_yet(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return met.where(~F.coalesce(F.col("root_a") == F.col("root_b"), F.lit(False))).drop("root_a", "root_b")
 
 
-def _with_hubs(lists: DataFrame, confirmed: Callable[[DataFrame], DataFrame], percent: int, few: int) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) of long lists (v, node, n, wide): of each list with its hub, and of up to `few` others with the list; and the lists with more others."""
+def _from_hubs(lists: DataFrame, classes: DataFrame) -> DataFrame:
+    """v, node, n, hub, nh, distance: the Hamming distance of each document of a list from the list's hub, in the list's own kind of sketch."""
+    hubs = lists.groupBy("v").agg(F.max_by(F.struct("node", "n", "own"), F.struct("wide", "node")).alias("h")).select("v", F.col("h.node").alias("hub"), F.col("h.n").alias("nh"), F.col("h.own").alias("hub_own"))
+    spread = lists.join(hubs, "v").where("node != hub").select("v", "node", "n", "own", "hub", "nh", "hub_own")
+    side = lambda c: classes.select(F.col("node").alias(c), F.col("own").alias(f"{c}_a"), F.col("up").alias(f"{c}_b"))
+    met = spread.select("node", "own", "hub", "hub_own").distinct().join(side("node"), "node").join(side("hub"), "hub")
+    one, other = F.when(F.col("own"), F.col("node_a")).otherwise(F.col("node_b")), F.when(F.col("hub_own"), F.col("hub_a")).otherwise(F.col("hub_b"))
+    distances = met.select("node", "own", "hub", "hub_own", _hamming(one, other).alias("distance"))
+    return saved(spread.join(distances, ["node", "own", "hub", "hub_own"]).select("v", "node", "n", "hub", "nh", "distance"), "spread")
+
+
+def _with_hubs(lists: DataFrame, classes: DataFrame, sets: DataFrame, links: _Links, percent: int, few: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of long lists: of each list with its hub, and of up to `few` others with the list; and the lists with more others."""
     fits = lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)
-    both = lambda x, y, nx, ny: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), F.when(F.col(x) < F.col(y), F.col(nx)).otherwise(F.col(ny)).alias("na"), F.when(F.col(x) < F.col(y), F.col(ny)).otherwise(F.col(nx)).alias("nb"))
-    hubs = lists.groupBy("v").agg(F.max_by(F.struct("node", "n"), F.struct("wide", "node")).alias("h")).select("v", F.col("h.node").alias("hub"), F.col("h.n").alias("nh"))
-    spread = saved(lists.join(hubs, "v").where("node != hub").select("v", "node", "n", *both("hub", "node", "nh", "n")), "spread")
-    spokes = confirmed(spread.where(fits("na", "nb")).select("a", "b", "na", "nb").distinct())
-    free = saved(spread.join(spokes, ["a", "b"], "left_anti").select("v", F.col("node").alias("f"), F.col("n").alias("nf")), "free")
+    spread = _from_hubs(lists, classes)
+    hopeful = spread.where(fits("n", "nh") & (F.col("distance") <= _most_apart(F.col("n") + F.col("nh"), percent)))
+    spokes = saved(links.exact(hopeful.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), sets), "spokes")
+    free = saved(spread.join(spokes.select(F.col("a").alias("hub"), F.col("b").alias("node")), ["hub", "node"], "left_anti").select("v", F.col("node").alias("f"), F.col("n").alias("nf"), F.col("distance").alias("df")), "free")
     many = free.groupBy("v").count().where(F.col("count") > few).select("v")
-    left = free.join(many, "v", "left_anti").join(lists.select("v", "node", "n"), "v").where((F.col("f") != F.col("node")) & fits("nf", "n"))
-    others = confirmed(left.select(*both("f", "node", "nf", "n")).distinct())
+    near_ = F.abs(F.col("df") - F.col("distance")) <= _most_apart(F.col("nf") + F.col("n"), percent)
+    left = free.join(many, "v", "left_anti").join(spread.select("v", "node", "n", "distance"), "v").where((F.col("f") != F.col("node")) & fits("nf", "n") & near_)
+    first = F.col("f") < F.col("node")
+    pairs = left.select(F.least("f", "node").alias("a"), F.greatest("f", "node").alias("b"), F.when(first, F.col("nf")).otherwise(F.col("n")).alias("na"), F.when(first, F.col("n")).otherwise(F.col("nf")).alias("nb"))
+    others = saved(links.exact(near(pairs.distinct(), classes, percent), sets), "others")
     return spokes.union(others), saved(lists.join(many, "v", "left_semi"), "unlinked")
 
 
 def _long(lists: DataFrame, classes: DataFrame, sets: DataFrame, links: _Links, percent: int, long_list: int, few: int) -> DataFrame:
     """Links (a, b) that join all that links among the classes of long lists do."""
-    confirmed = lambda of: lambda pairs: saved(links.exact(near(pairs, of, percent), sets), "links")
-    found, rest = _with_hubs(lists, confirmed(classes), percent, few)
+    found, rest = _with_hubs(lists, classes, sets, links, percent, few)
     if not rest.limit(1).count():
         return found
     again = saved(sketched_again(sets.join(rest.select("node").distinct(), "node", "left_semi"), percent), "again")
     finer = saved(listed(again, percent, long_list), "finer")
-    short = confirmed(again)(_pairs(finer.where("not long"), percent))
-    deeper, rest = _with_hubs(finer.where("long").select("v", "node", "n", "wide"), confirmed(again), percent, few)
+    short = saved(links.exact(near(_pairs(finer.where("not long"), percent), again, percent), sets), "short")
+    deeper, rest = _with_hubs(finer.where("long").select("v", "node", "n", "own", "wide"), again, sets, links, percent, few)
     found = found.union(short).union(deeper)
-    return found.union(_around_hubs(rest, sets, percent)) if rest.limit(1).count() else found
+    return found.union(_around_hubs(rest.select("v", "node", "n", "wide"), sets, percent)) if rest.limit(1).count() else found
 
 
 def joined(docs: DataFrame, width: int = 5, percent: int = 80, long_list: int = 24, few: int = 64) -> DataFrame:
@@ -211,7 +226,7 @@ def joined(docs: DataFrame, width: int = 5, percent: int = 80, long_list: int =
     hopeful = _pairs(lists.where("not long"), percent)
     wide, known = lists.where("long").select("node").distinct(), None
     if wide.limit(1).count():
-        known = saved(_long(lists.where("long").select("v", "node", "n", "wide"), classes, links.sets(wide), links, percent, long_list, few), "known")
+        known = saved(_long(lists.where("long").select("v", "node", "n", "own", "wide"), classes, links.sets(wide), links, percent, long_list, few), "known")
         hopeful = _apart_yet(hopeful, known)
     hopeful = near(hopeful, classes, percent)
     linked = links.exact(hopeful, links.sets(hopeful.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
