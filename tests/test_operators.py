@@ -503,3 +503,50 @@ def test_chat_sessions_batch_and_stream(spark, tmp_path):
         out += _run(state.chat_stream(spark.readStream.schema(table.schema).parquet(str(tmp_path / "turns")), 3, 12), tmp_path / "c")
     wanted = {(str(s), k): row for s, ms in talks.items() for k, row in enumerate(_chat(ms, 3, 12))}
     assert len(out) == len(wanted) and {(r.session_id, r.turn_id): (r.context, r.context_tokens, r.summary, r.recent_message_count) for r in out} == wanted
+
+
+def test_resolution_of_many_names_is_the_linear_search():
+    """Names with shared parts against a search through all nodes, turns out of order too; and 100,000 names in one session."""
+    import random
+    import time
+
+    rng = random.Random(17)
+    words = ["load", "store", "parse", "route", "index", "token", "merge", "split", "cache", "graph"]
+    made = graph.Graph()
+    nodes = []  # [etype, name, parts, first, last, count, aliases]
+    for turn in [*range(300), 250, 12, 400, 13]:
+        named = list(dict.fromkeys((rng.choice(["file", "function"]), "_".join(rng.choices(words, k=rng.randrange(1, 6)))) for _ in range(rng.randrange(3))))
+        content = rng.choice(["", "fix it", "that file", "this function here"])
+        said = list(named)
+        for etype, pattern in graph._REFERENCES:
+            of = [n for n in nodes if etype in (None, n[0])]
+            if pattern.search(content) and of:
+                target = max(of, key=lambda n: (n[4], -nodes.index(n)))
+                use = etype or next(n[0] for n in nodes if n[1] == target[1])
+                if (use, target[1]) not in said:
+                    said.append((use, target[1]))
+        kinds = list(dict.fromkeys(t for t, _ in said))
+        for etype, name in sorted(said, key=lambda m: kinds.index(m[0])):
+            own, best, most = set(graph.name_parts(name)), name, 0.0
+            for n in nodes if own else []:
+                share = len(own & n[2]) / max(len(own), len(n[2]), 1)
+                if share >= 0.7 and share > most:
+                    best, most = n[1], share
+            known = next((n for n in nodes if (n[0], n[1]) == (etype, best)), None)
+            if known is None:
+                nodes.append([etype, best, set(graph.name_parts(best)) | own, turn, turn, 1, [name] if name != best else []])
+            else:
+                known[4], known[5] = turn, known[5] + 1
+                if name != best and name not in known[6]:
+                    known[6].append(name)
+                    known[2] |= own
+        made.add(turn, content, named)
+    found = [(n["etype"], n["name"], n["first_seen_turn"], n["last_seen_turn"], n["mention_count"], n["aliases"]) for n in made.nodes.values()]
+    assert found == [(n[0], n[1], n[3], n[4], n[5], n[6]) for n in nodes]
+    assert (made.entities, made.mentions) == (len(nodes), sum(n[5] for n in nodes))
+    begin, big = time.monotonic(), graph.Graph()
+    spelled = lambda n: "".join(chr(97 + n // 26**k % 26) for k in range(5))
+    for turn in range(20_000):
+        big.add(turn, "", [("function", f"{spelled(5 * turn + k)}_{words[turn % 10]}_{words[k]}") for k in range(5)])
+    assert big.mentions == 100_000 == big.entities
+    assert time.monotonic() - begin < 60

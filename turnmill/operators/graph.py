@@ -7,6 +7,7 @@ entities.  Everything else is joins and aggregates.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable
 
@@ -73,49 +74,137 @@ def registry(activity: DataFrame, now: Column, ttl_seconds: int = 86_400) -> Dat
     return seen.withColumn("live", F.col("last_ts").cast("timestamp") + F.make_interval(secs=F.lit(ttl_seconds)) >= now)
 
 
-class Graph:
-    """One session's entities as turns come.  `tokens_of` gives a name's parts."""
+class Memory:
+    """A graph's tables in dictionaries."""
+
+    def __init__(self):
+        self.nodes: dict[tuple[str, str], dict] = {}
+        self.postings: dict[tuple[str, int], dict[tuple[str, str], None]] = {}
+        self.types: dict[str, str] = {}  # of a name's first node
+        self.newest: dict[str | None, tuple[int, int, tuple[str, str]]] = {}  # (last turn, -order, key) by type, None for any
+
+    def node(self, key: tuple[str, str]) -> dict | None:
+        return self.nodes.get(key)
+
+    def put_node(self, key: tuple[str, str], node: dict) -> None:
+        self.nodes[key] = node
+
+    def length(self, part: str, size: int) -> int:
+        return len(self.postings.get((part, size), ()))
+
+    def posting(self, part: str, size: int) -> Iterable[tuple[str, str]]:
+        return self.postings.get((part, size), ())
+
+    def enlist(self, part: str, size: int, key: tuple[str, str]) -> None:
+        self.postings.setdefault((part, size), {})[key] = None
+
+    def strike(self, part: str, size: int, key: tuple[str, str]) -> None:
+        del self.postings[part, size][key]
 
-    def __init__(self, nodes: Iterable[dict] = ()):
-        self.nodes: dict[tuple[str, str], dict] = {(n["etype"], n["name"]): dict(n, aliases=list(n["aliases"])) for n in nodes}
-        self.parts: dict[tuple[str, str], set[str]] = {k: set().union(*(name_parts(x) for x in (n["name"], *n["aliases"]))) for k, n in self.nodes.items()}
+    def type_of(self, name: str) -> str | None:
+        return self.types.get(name)
+
+    def put_type(self, name: str, etype: str) -> None:
+        self.types[name] = etype
+
+    def latest(self, etype: str | None) -> tuple[int, int, tuple[str, str]] | None:
+        return self.newest.get(etype)
+
+    def put_latest(self, etype: str | None, value: tuple[int, int, tuple[str, str]]) -> None:
+        self.newest[etype] = value
+
+    def items(self) -> Iterable[tuple[tuple[str, str], dict]]:
+        return self.nodes.items()
+
+
+class Graph:
+    """One session's entities as turns come.
+
+    Nodes are found through an inverted index from a name's part and the node's number of parts: names that overlap by 0.7 are of
+    similar sizes and share all but few parts, so only the shortest lists of the right sizes are read, and a turn touches
+    the nodes that it meets.
+    """
+
+    def __init__(self, nodes: Iterable[dict] = (), tables: Memory | None = None, entities_: int = 0, mentions: int = 0):
+        self.tables, self.entities, self.mentions = tables or Memory(), entities_, mentions
+        for n in nodes:
+            self._insert((n["etype"], n["name"]), dict(n, aliases=list(n["aliases"])), set().union(*(name_parts(x) for x in (n["name"], *n["aliases"]))))
+
+    @property
+    def nodes(self) -> dict[tuple[str, str], dict]:
+        """All nodes in the order they came."""
+        kept = [c.split(" ")[0] for c in NODE.split(", ")][1:]
+        return {k: {c: n[c] for c in kept} for k, n in sorted(self.tables.items(), key=lambda x: x[1]["order"])}
+
+    def _list(self, key: tuple[str, str], parts: set[str], old: set[str] = frozenset()) -> None:
+        """Moves a node's entries to where its parts, and their number, now belong."""
+        if parts != old:
+            for part in old:
+                self.tables.strike(part, len(old), key)
+            for part in parts:
+                self.tables.enlist(part, len(parts), key)
+
+    def _insert(self, key: tuple[str, str], node: dict, parts: set[str]) -> None:
+        self.tables.put_node(key, node | {"parts": sorted(parts), "order": self.entities})
+        self._list(key, parts)
+        if self.tables.type_of(key[1]) is None:
+            self.tables.put_type(key[1], key[0])
+        self.entities, self.mentions = self.entities + 1, self.mentions + node["mention_count"]
+        self._seen(key, node["last_seen_turn"], self.entities - 1)
+
+    def _seen(self, key: tuple[str, str], turn_id: int, order: int) -> None:
+        for etype in (key[0], None):
+            now, mine = self.tables.latest(etype), (turn_id, -order, key)
+            if now is not None and now[2] == key and mine < now:  # a turn that comes late: another node may be the latest now
+                mine = max((n["last_seen_turn"], -n["order"], k) for k, n in self.tables.items() if etype in (None, k[0]))
+                self.tables.put_latest(etype, mine)
+            elif now is None or mine > now:
+                self.tables.put_latest(etype, mine)
 
     def resolve(self, name: str) -> str:
         """The name of the earliest entity that shares most parts (0.7 or more of either), else the name."""
         own = set(name_parts(name))
-        best, most = name, 0.0
-        for key, parts in self.parts.items() if own else ():
-            share = len(own & parts) / max(len(own), len(parts), 1)
-            if share >= OVERLAP and share > most:
-                best, most = key[1], share
-        return best
+        least = math.ceil(OVERLAP * len(own) - 1e-9)
+        best = (OVERLAP, 1, name)
+        for size in range(max(1, least), math.floor(len(own) / OVERLAP + 1e-9) + 1):
+            # of the parts, all but `least - 1` are looked up: one of these is shared
+            short = sorted(own, key=lambda part: self.tables.length(part, size))[: len(own) - max(1, least) + 1]
+            for key in {k for part in short for k in self.tables.posting(part, size)}:
+                node = self.tables.node(key)
+                share = len(own.intersection(node["parts"])) / max(len(own), size)
+                if share >= OVERLAP:
+                    best = max(best, (share, -node["order"], key[1]), key=lambda x: x[:2] if x[1] != 1 else (OVERLAP, -math.inf))
+        return best[2]
 
     def latest(self, etype: str | None) -> tuple[str, str] | None:
         """The entity (of a type) seen last; the earliest of equals."""
-        found = [(n["last_seen_turn"], -k, key) for k, (key, n) in enumerate(self.nodes.items()) if etype in (None, key[0])]
-        return max(found)[2] if found else None
+        found = self.tables.latest(etype)
+        return found[2] if found else None
 
     def add(self, turn_id: int, content: str, named: list[tuple[str, str]]) -> None:
         """A turn's entities (type, name), and what its words refer to."""
-        mentioned = list(named)
+        mentioned = dict.fromkeys(named)
         for etype, pattern in _REFERENCES:
             if pattern.search(content) and (target := self.latest(etype)) is not None:
-                use = etype or next(k[0] for k in self.nodes if k[1] == target[1])
-                if (use, target[1]) not in mentioned:
-                    mentioned.append((use, target[1]))
+                mentioned.setdefault((etype or self.tables.type_of(target[1]), target[1]))
         # types in the order in which the turn first names them, as its entities are indexed type by type
         order = {t: k for k, t in reversed(list(enumerate(dict.fromkeys(t for t, _ in mentioned))))}
         for etype, name in sorted(mentioned, key=lambda m: order[m[0]]):
             key = (etype, self.resolve(name))
-            node = self.nodes.get(key)
+            node = self.tables.node(key)
             if node is None:
-                self.nodes[key] = {"etype": etype, "name": key[1], "first_seen_turn": turn_id, "last_seen_turn": turn_id, "mention_count": 1, "aliases": [name] if name != key[1] else []}
-                self.parts[key] = set(name_parts(key[1])) | set(name_parts(name))
+                new = {"etype": etype, "name": key[1], "first_seen_turn": turn_id, "last_seen_turn": turn_id, "mention_count": 1, "aliases": [name] if name != key[1] else []}
+                self._insert(key, new, set(name_parts(key[1])) | set(name_parts(name)))
             else:
-                node["last_seen_turn"], node["mention_count"] = turn_id, node["mention_count"] + 1
+                node = dict(node, last_seen_turn=turn_id, mention_count=node["mention_count"] + 1)
                 if name != key[1] and name not in node["aliases"]:
-                    node["aliases"].append(name)
-                    self.parts[key] |= set(name_parts(name))
+                    old = set(node["parts"])
+                    parts = old | set(name_parts(name))
+                    node |= {"aliases": [*node["aliases"], name], "parts": sorted(parts)}
+                    self._list(key, parts, old)
+                self.tables.put_node(key, node)
+                self.mentions += 1
+                self._seen(key, turn_id, node["order"])
 
 
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")

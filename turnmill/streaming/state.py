@@ -18,32 +18,104 @@ from turnmill.operators import session
 from turnmill.operators.graph import Graph, named_turns
 
 TTL_MS = 86_400_000
+#: Entries of one chunk of a list in state.
+CHUNK = 128
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 NODES = "session_id string, turn_id long, entities long, mentions long, latest string"
 _STATE = "etype string, name string, first_seen_turn long, last_seen_turn long, mention_count long, aliases array<string>"
 
 
+class _StoredTables:
+    """A graph's tables in map state: a turn reads and writes the entries that it meets."""
+
+    def __init__(self, handle: StatefulProcessorHandle):
+        self.nodes = handle.getMapState("nodes", "etype string, name string", f"{_STATE}, parts array<string>, place long", TTL_MS)
+        # a list is kept in chunks, of which a new entry rewrites the last
+        self.lengths = handle.getMapState("lengths", "part string, size int", "entries long, chunks long", TTL_MS)
+        self.postings = handle.getMapState("postings", "part string, size int, chunk long", "etypes array<string>, names array<string>", TTL_MS)
+        self.types = handle.getMapState("types", "name string", "etype string", TTL_MS)
+        self.newest = handle.getMapState("newest", "etype string", "turn long, place long, etype string, name string", TTL_MS)
+
+    _FIELDS = (*(c.split(" ")[0] for c in _STATE.split(", ")), "parts", "order")
+
+    def _as_node(self, row) -> dict:
+        node = dict(zip(self._FIELDS, row, strict=True))
+        return node | {"aliases": list(node["aliases"]), "parts": list(node["parts"])}
+
+    def node(self, key):
+        return self._as_node(self.nodes.getValue(key)) if self.nodes.containsKey(key) else None
+
+    def put_node(self, key, node):
+        self.nodes.updateValue(key, tuple(node[f] for f in self._FIELDS))
+
+    def _ends(self, part, size) -> tuple[int, int]:
+        return tuple(self.lengths.getValue((part, size))) if self.lengths.containsKey((part, size)) else (0, 0)
+
+    def _chunk(self, part, size, chunk) -> list[tuple[str, str]]:
+        return list(zip(*self.postings.getValue((part, size, chunk)), strict=True))
+
+    def _put_chunk(self, part, size, chunk, keys) -> None:
+        self.postings.updateValue((part, size, chunk), ([t for t, _ in keys], [n for _, n in keys]))
+
+    def length(self, part, size):
+        return self._ends(part, size)[0]
+
+    def posting(self, part, size):
+        return (key for chunk in range(self._ends(part, size)[1]) for key in self._chunk(part, size, chunk))
+
+    def enlist(self, part, size, key):
+        n, chunks = self._ends(part, size)
+        last = self._chunk(part, size, chunks - 1) if chunks else []
+        if not chunks or len(last) >= CHUNK:
+            last, chunks = [], chunks + 1
+        self._put_chunk(part, size, chunks - 1, [*last, key])
+        self.lengths.updateValue((part, size), (n + 1, chunks))
+
+    def strike(self, part, size, key):
+        n, chunks = self._ends(part, size)
+        for chunk in range(chunks):
+            keys = self._chunk(part, size, chunk)
+            if key in keys:
+                self._put_chunk(part, size, chunk, [k for k in keys if k != key])
+                self.lengths.updateValue((part, size), (n - 1, chunks))
+                return
+
+    def type_of(self, name):
+        return self.types.getValue((name,))[0] if self.types.containsKey((name,)) else None
+
+    def put_type(self, name, etype):
+        self.types.updateValue((name,), (etype,))
+
+    def latest(self, etype):
+        found = self.newest.getValue((etype or "",)) if self.newest.containsKey((etype or "",)) else None
+        return (found[0], found[1], (found[2], found[3])) if found else None
+
+    def put_latest(self, etype, value):
+        self.newest.updateValue((etype or "",), (value[0], value[1], *value[2]))
+
+    def items(self):
+        return ((tuple(k), self._as_node(v)) for k, v in self.nodes.iterator())
+
+
 class GraphProcessor(StatefulProcessor):
     """Emits the size of a session's graph after each batch of its turns."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.nodes = handle.getListState("nodes", _STATE, TTL_MS)
+        self.tables = _StoredTables(handle)
+        self.totals = handle.getValueState("totals", "entities long, mentions long", TTL_MS)
         self.seen = handle.getMapState("turns", "turn_id long", "added boolean", TTL_MS)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        fields = [c.split(" ")[0] for c in _STATE.split(", ")]
-        graph = Graph(dict(zip(fields, row, strict=True)) for row in self.nodes.get()) if self.nodes.exists() else Graph()
+        graph = Graph((), self.tables, *(self.totals.get() if self.totals.exists() else (0, 0)))
         turn_id = -1
         for turn in pd.concat(list(rows)).sort_values("turn_id").itertuples():
             turn_id = int(turn.turn_id)
             if not self.seen.containsKey((turn_id,)):
                 self.seen.updateValue((turn_id,), (True,))
                 graph.add(turn_id, turn.content, [(e["etype"], e["name"]) for e in turn.named])
-        found = list(graph.nodes.values())
-        if found:
-            self.nodes.put([tuple(n[f] for f in fields) for n in found])
+        self.totals.update((graph.entities, graph.mentions))
         latest = graph.latest(None)
-        yield pd.DataFrame({"session_id": [str(key[0])], "turn_id": [turn_id], "entities": [len(found)], "mentions": [sum(n["mention_count"] for n in found)], "latest": [latest[1] if latest else None]})
+        yield pd.DataFrame({"session_id": [str(key[0])], "turn_id": [turn_id], "entities": [graph.entities], "mentions": [graph.mentions], "latest": [latest[1] if latest else None]})
 
     def close(self) -> None:
         pass
