@@ -550,3 +550,24 @@ def test_resolution_of_many_names_is_the_linear_search():
         big.add(turn, "", [("function", f"{spelled(5 * turn + k)}_{words[turn % 10]}_{words[k]}") for k in range(5)])
     assert big.mentions == 100_000 == big.entities
     assert time.monotonic() - begin < 60
+
+
+def test_logs_in_batch_and_stream_keep_bad_lines(spark, tmp_path):
+    said = lambda t: [{"role": "user", "content": t}]
+    parts = [
+        [json.dumps({"messages": said("a")}), '{"messages": [', json.dumps({"request": {"messages": said("b")}}), json.dumps({"other": 1})],
+        [json.dumps({"messages": said("c"), "model": "gpt-4o", "session_id": "s"}), "no json", json.dumps({"messages": []})],
+    ]
+    (tmp_path / "in").mkdir()
+    out = []
+    for n, lines in enumerate(parts):  # a stream takes each file once, over restarts too
+        (tmp_path / "in" / f"{n}.jsonl").write_text("\n".join(lines) + "\n")
+        out += _run(chat.read_log(spark, str(tmp_path / "in"), streaming=True), tmp_path / "c", "append")
+    batch = chat.read_log(spark, str(tmp_path / "in")).collect()
+    assert sorted(map(str, out)) == sorted(map(str, batch))
+    assert sorted(r.bad for r in batch if r.bad) == ["no json", '{"messages": [']
+    assert sorted(r.messages[0].content for r in batch if r.bad is None) == ["a", "b", "c"] and all((r.conv_id is None) == (r.bad is not None) for r in batch)
+    turns_ = chat.turns_of(chat.read_log(spark, str(tmp_path / "in")).where("bad is null"))
+    assert sorted(r.content for r in turns_.collect()) == ["a", "b", "c"]
+    requests = chat.read_requests(spark, str(tmp_path / "in")).collect()
+    assert len(requests) == 7 and sum(r.bad is not None for r in requests) == 2 and sum(r.session_id == "s" for r in requests) == 1

@@ -17,15 +17,22 @@ REQUEST = f"model string, messages {_MESSAGES}, compression_mode string, max_his
 LOG = f"messages {_MESSAGES}, request struct<messages: {_MESSAGES}>"
 
 
+def _json_lines(spark: SparkSession, path: str, schema: str, streaming: bool) -> DataFrame:
+    """JSON lines as rows; a line that is none is kept as it stands in the column bad, and its other columns are null."""
+    reader = spark.readStream if streaming else spark.read
+    return reader.schema(f"{schema}, bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "bad").json(path)
+
+
 def read_requests(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    """Chat requests from JSON lines; content that is no string stays as its JSON text."""
-    return (spark.readStream if streaming else spark.read).schema(REQUEST).json(path)
+    """Chat requests from JSON lines; content that is no string stays as its JSON text, a bad line is kept in the column bad."""
+    return _json_lines(spark, path, REQUEST, streaming)
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Conversations (conv_id, messages) from JSON lines with messages, or request.messages, at the top; lines without are left out."""
-    lines = spark.read.schema(LOG).json(path).select(F.coalesce("messages", "request.messages").alias("messages"))
-    return lines.where(F.size("messages") > 0).select(F.xxhash64(F.to_json("messages")).alias("conv_id"), "messages")
+def read_log(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
+    """Conversations (conv_id, messages) from JSON lines with messages, or request.messages, at the top; other lines have neither, and bad ones stand in the column bad."""
+    lines = _json_lines(spark, path, LOG, streaming).select(F.coalesce("messages", "request.messages").alias("messages"), "bad")
+    held = F.size("messages") > 0
+    return lines.where(held | F.col("bad").isNotNull()).select(F.when(held, F.xxhash64(F.to_json("messages"))).alias("conv_id"), "messages", "bad")
 
 
 def turns_of(conversations: DataFrame, key: str = "conv_id") -> DataFrame:
