@@ -195,6 +195,8 @@ def test_ranks_of_a_group_without_its_list(spark, kind):
         assert (found[g].n, found[g].p95_ms) == (len(vs), sorted(vs)[max(1, math.floor(len(vs) * 0.95)) - 1])
         assert found[g].median_ms == pytest.approx(statistics.median(vs))
     assert made.columns == ["g", "n", "min_ms", "mean_ms", "median_ms", "max_ms", "stdev_ms", "p95_ms"]
+    by_shuffle = telemetry.latency(spark.createDataFrame(rows, f"g string, v {kind}").repartition(4), "g", "v", most_broadcast=0)
+    assert {r.g: (r.n, r.median_ms, r.p95_ms) for r in by_shuffle.collect()} == {g: (r.n, r.median_ms, r.p95_ms) for g, r in found.items()}
     assert not any(x in _plan(made) for x in ("collect_list", "median(", "percentile("))
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from turnmill.functions import text as T
 from turnmill.functions import tokens
 
+from . import reuse
+
 #: Leading bits of a 64-bit key by which ranks are found, 11 bits a round.
 SHIFTS = (53, 42, 31, 20, 9, 0)
 KEEP = {"telemetry": 1000, "confidence": 1000, "attribution": 500, "gate": 500, "loss": 500}
@@ -102,19 +104,24 @@ def _keyed(samples: DataFrame, group: str, value: str) -> DataFrame:
     return given.mapInArrow(make, f"g {given.schema['g'].dataType.simpleString()}, v {kind}, k long")
 
 
-def at_ranks(samples: DataFrame, group: str, value: str, ranks: DataFrame) -> DataFrame:
+#: Places up to which they are broadcast; more are joined by shuffle.
+MOST_BROADCAST = 200_000
+
+
+def at_ranks(samples: DataFrame, group: str, value: str, ranks: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """g, which, v: the values at places of each group's order (ranks: g, which, rank from 1).
 
     Rounds of histograms: each counts the values that agree with the place's leading bits so far by their next bits, so no
-    task holds a group; `ranks` is broadcast.
+    task holds a group; `ranks` is broadcast if it has at most that many rows.
     """
-    keyed = _keyed(samples, group, value)
+    keyed, ranks = _keyed(samples, group, value), reuse.once(ranks)
+    known = F.broadcast if ranks.limit(most_broadcast + 1).count() <= most_broadcast else lambda df: df
     state, before = ranks.select("g", "which", "rank", F.lit(None).cast("long").alias("prefix")), None
     for shift in SHIFTS:
         fits = F.col("d.g").eqNullSafe(F.col("s.g"))
         if before is not None:
             fits &= F.shiftright("d.k", before) == F.col("s.prefix")
-        here = keyed.alias("d").join(F.broadcast(state).alias("s"), fits)
+        here = keyed.alias("d").join(known(state).alias("s"), fits)
         counts = here.groupBy("s.g", "s.which", "s.rank", F.shiftright("d.k", shift).alias("prefix")).agg(F.count("*").alias("n"), F.min("d.v").alias("v"))
         upto = F.sum("n").over(Window.partitionBy("g", "which").orderBy("prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow))
         found = counts.withColumn("upto", upto).where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank")))
@@ -123,14 +130,14 @@ def at_ranks(samples: DataFrame, group: str, value: str, ranks: DataFrame) -> Da
     return state.select("g", "which", "v")
 
 
-def latency(samples: DataFrame, group: str, value: str) -> DataFrame:
+def latency(samples: DataFrame, group: str, value: str, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """min, mean, median, max, sample deviation and the value at int(0.95 n) of each group."""
     whole = samples.groupBy(F.col(group).alias("g")).agg(F.count("*").alias("n"), F.count(value).alias("_m"), F.min(value).alias("min_ms"), F.round(F.avg(value), 6).alias("mean_ms"), F.max(value).alias("max_ms"), F.round(F.coalesce(F.stddev_samp(value), F.lit(0.0)), 6).alias("stdev_ms"))
     m = F.col("_m")
     places = {"p95": F.greatest(F.lit(1), F.floor(F.col("n") * 0.95)), "low": F.floor((m + 1) / 2), "high": F.floor(m / 2) + 1}
     ranks = whole.where(m > 0).select("g", F.explode(F.array(*[F.struct(F.lit(k).alias("which"), c.cast("long").alias("rank")) for k, c in places.items()])).alias("x")).select("g", "x.which", "x.rank")
     of = lambda k: F.max(F.when(F.col("which") == k, F.col("v")))
-    found = at_ranks(samples, group, value, ranks).groupBy("g").agg(of("p95").alias("p95_ms"), (0.5 * of("low").cast("double") + 0.5 * of("high").cast("double")).alias("median_ms"))
+    found = at_ranks(samples, group, value, ranks, most_broadcast).groupBy("g").agg(of("p95").alias("p95_ms"), (0.5 * of("low").cast("double") + 0.5 * of("high").cast("double")).alias("median_ms"))
     both = whole.alias("a").join(found.alias("b"), F.col("a.g").eqNullSafe(F.col("b.g")), "left")
     return both.select(F.col("a.g").alias(group), "n", "min_ms", "mean_ms", "median_ms", "max_ms", "stdev_ms", "p95_ms")
 
