@@ -101,6 +101,9 @@ def test_sql_functions(spark):
     row = spark.sql("""SELECT ctx_token_count('a b') AS n, ctx_keyword_sim('a b', 'b c') AS s, ctx_normalize('x\\n\\n\\n\\nx  y') AS t, ctx_compress('{"message": 1}!!!') AS c""").first()
     assert (row.n, row.s, row.t, row.c) == (2, 0.5, "x\n\nx y", '{"msg":1}!')
     assert spark.sql("SELECT * FROM ctx_extract_entities('task #42')").collect()[0]["name"] == "task_42"
+    texts = spark.createDataFrame([(t,) for t in ENTITY_TEXTS], "x string")
+    rows = texts.select("x", F.expr("ctx_entities(x)").alias("by_sql"), entities.extract(F.col("x")).alias("by_column")).collect()
+    assert all(r.by_sql == r.by_column for r in rows) and any(r.by_sql for r in rows)
 
 
 def _plain_spans(text):

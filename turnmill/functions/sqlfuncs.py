@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ _SQL = {
 
 
 def register(spark: SparkSession) -> list[str]:
-    """Registers ctx_token_count, ctx_keyword_sim, ctx_normalize, ctx_compress and the table function ctx_extract_entities."""
+    """Registers ctx_token_count, ctx_keyword_sim, ctx_normalize, ctx_compress, ctx_entities (type to names) and the table function ctx_extract_entities."""
     for name, (parameters, kind, body) in _SQL.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {kind} RETURN {body}")
     spark.udf.register("ctx_rewrite_json", structural.json_rewriter())
@@ -37,7 +38,14 @@ def register(spark: SparkSession) -> list[str]:
             yield from found_entities(text or "")
 
     spark.udtf.register("ctx_extract_entities", ExtractEntities)
-    return [*_SQL, "ctx_compress", "ctx_extract_entities"]
+
+    @F.pandas_udf("map<string,array<string>>")
+    def by_type(texts: pd.Series) -> pd.Series:
+        found = (found_entities(t or "") for t in texts)
+        return pd.Series([{t: [n for u, n, _ in f if u == t] for t in dict.fromkeys(t for t, _, _ in f)} for f in found], index=texts.index)
+
+    spark.udf.register("ctx_entities", by_type)
+    return [*_SQL, "ctx_compress", "ctx_entities", "ctx_extract_entities"]
 
 
 def found_entities(text: str) -> list[tuple[str, str, int]]:

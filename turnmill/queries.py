@@ -864,6 +864,25 @@ def cache_sweep(spark, sf_dir):
     return cache.swept(_entries(spark, sf_dir), F.lit("2024-01-20").cast("timestamp")).select("key", "value")
 
 
+@query(f"""WITH {_FACTS}, e AS (SELECT 'entity_graph:' || endpoint || ':' || session_id AS key, max(request_id) AS value, max(ts) + INTERVAL 86400 SECOND AS expires_at FROM facts GROUP BY 1),
+fresh AS (SELECT key, -value AS value, TIMESTAMP '2024-01-20' + INTERVAL 3600 SECOND AS expires_at FROM e WHERE value % 10 = 0),
+held AS (SELECT * FROM e WHERE value % 10 <> 0 UNION ALL SELECT * FROM fresh)
+SELECT e.key, h.value, h.key IS NOT NULL AS hit FROM e LEFT JOIN held h ON h.key = e.key AND h.expires_at >= TIMESTAMP '2024-01-20'""")
+def cache_get_put(spark, sf_dir):
+    entries = _entries(spark, sf_dir).groupBy("key").agg(F.max("value").alias("value"), F.max("expires_at").alias("expires_at"))
+    now = F.lit("2024-01-20").cast("timestamp")
+    held = cache.put(entries, entries.where("value % 10 = 0").select("key", (-F.col("value")).alias("value")), now, 3600)
+    return cache.get(held, entries.select("key"), now).select("key", "value", "hit")
+
+
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)
+SELECT x.vec_id, round(1 - greatest(-1.0, least(1.0, list_dot_product(x.e, y.e) / (sqrt(list_dot_product(x.e, x.e)) * sqrt(list_dot_product(y.e, y.e))))), 6) AS distance FROM v x JOIN v y ON y.vec_id = x.vec_id + 1""")
+def embedding_drift(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    both = v.select("vec_id", F.col("embedding").alias("e")).join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("after")), "vec_id")
+    return both.select("vec_id", F.round(similarity.cosine_distance(F.col("e"), F.col("after")), 6).alias("distance"))
+
+
 @query(f"WITH {_FACTS} SELECT 'entity_graph:' || endpoint || ':' || session_id AS key, request_id AS value FROM facts WHERE CAST(session_id AS BIGINT) % 10 <> 0")
 def session_invalidate(spark, sf_dir):
     gone = facts(spark, sf_dir).where(F.col("session_id").cast("long") % 10 == 0).select("session_id").distinct()
