@@ -177,14 +177,20 @@ def _apart_yet(pairs: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def _from_hubs(lists: DataFrame, classes: DataFrame) -> DataFrame:
-    """v, node, n, hub, nh, distance: the Hamming distance of each document of a list from the list's hub, in the list's own kind of sketch."""
+    """v, node, n, own, hub, nh, distance: the Hamming distance of each document of a list from the list's hub, in the list's own kind of sketch."""
     hubs = lists.groupBy("v").agg(F.max_by(F.struct("node", "n", "own"), F.struct("wide", "node")).alias("h")).select("v", F.col("h.node").alias("hub"), F.col("h.n").alias("nh"), F.col("h.own").alias("hub_own"))
     spread = lists.join(hubs, "v").where("node != hub").select("v", "node", "n", "own", "hub", "nh", "hub_own")
     side = lambda c: classes.select(F.col("node").alias(c), F.col("own").alias(f"{c}_a"), F.col("up").alias(f"{c}_b"))
     met = spread.select("node", "own", "hub", "hub_own").distinct().join(side("node"), "node").join(side("hub"), "hub")
     one, other = F.when(F.col("own"), F.col("node_a")).otherwise(F.col("node_b")), F.when(F.col("hub_own"), F.col("hub_a")).otherwise(F.col("hub_b"))
     distances = met.select("node", "own", "hub", "hub_own", _hamming(one, other).alias("distance"))
-    return saved(spread.join(distances, ["node", "own", "hub", "hub_own"]).select("v", "node", "n", "hub", "nh", "distance"), "spread")
+    return saved(spread.join(distances, ["node", "own", "hub", "hub_own"]).select("v", "node", "n", "own", "hub", "nh", "distance"), "spread")
+
+
+def _in_list(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """rows (node, own, ...) with `sketch`, in the list's own kind."""
+    held = classes.select("node", F.col("own").alias("_own"), F.col("up").alias("_up"))
+    return rows.join(held, "node").withColumn("sketch", F.when(F.col("own"), F.col("_own")).otherwise(F.col("_up"))).drop("own", "_own", "_up")
 
 
 def _with_hubs(lists: DataFrame, classes: DataFrame, sets: DataFrame, links: _Links, percent: int, few: int) -> tuple[DataFrame, DataFrame]:
@@ -193,13 +199,20 @@ def _with_hubs(lists: DataFrame, classes: DataFrame, sets: DataFrame, links: _Li
     spread = _from_hubs(lists, classes)
     hopeful = spread.where(fits("n", "nh") & (F.col("distance") <= _most_apart(F.col("n") + F.col("nh"), percent)))
     spokes = saved(links.exact(hopeful.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), sets), "spokes")
-    free = saved(spread.join(spokes.select(F.col("a").alias("hub"), F.col("b").alias("node")), ["hub", "node"], "left_anti").select("v", F.col("node").alias("f"), F.col("n").alias("nf"), F.col("distance").alias("df")), "free")
+    free = saved(spread.join(spokes.select(F.col("a").alias("hub"), F.col("b").alias("node")), ["hub", "node"], "left_anti").select("v", "node", "n", "own", "distance"), "free")
     many = free.groupBy("v").count().where(F.col("count") > few).select("v")
-    near_ = F.abs(F.col("df") - F.col("distance")) <= _most_apart(F.col("nf") + F.col("n"), percent)
-    left = free.join(many, "v", "left_anti").join(spread.select("v", "node", "n", "distance"), "v").where((F.col("f") != F.col("node")) & fits("nf", "n") & near_)
-    first = F.col("f") < F.col("node")
-    pairs = left.select(F.least("f", "node").alias("a"), F.greatest("f", "node").alias("b"), F.when(first, F.col("nf")).otherwise(F.col("n")).alias("na"), F.when(first, F.col("n")).otherwise(F.col("nf")).alias("nb"))
-    others = saved(links.exact(near(pairs.distinct(), classes, percent), sets), "others")
+    # a list's unlinked documents, `few` at most, in one row: each document of the list meets them there, and pairs are formed only of those near it
+    met = _in_list(free.join(many, "v", "left_anti"), classes).groupBy("v").agg(F.collect_list(F.struct("node", "n", "distance", "sketch")).alias("free"))
+    rest = _in_list(spread.select("v", "node", "n", "own", "distance").join(met.select("v"), "v", "left_semi"), classes)
+
+    def close(x: Column) -> Column:
+        most = _most_apart(x["n"] + F.col("n"), percent)
+        cheap = (x["node"] != F.col("node")) & fits(x["n"], F.col("n")) & (F.abs(x["distance"] - F.col("distance")) <= most)
+        return cheap & (_hamming(x["sketch"], F.col("sketch")) <= most)
+
+    near_ = rest.join(met, "v").select("node", F.explode_outer(F.transform(F.filter("free", close), lambda x: x["node"])).alias("f")).where("f is not null")
+    pairs = saved(near_.select(F.least("f", "node").alias("a"), F.greatest("f", "node").alias("b")).distinct(), "near")
+    others = saved(links.exact(pairs, sets), "others")
     return spokes.union(others), saved(lists.join(many, "v", "left_semi"), "unlinked")
 
 
