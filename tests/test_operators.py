@@ -200,6 +200,33 @@ def test_ranks_of_a_group_without_its_list(spark, kind):
     assert not any(x in _plan(made) for x in ("collect_list", "median(", "percentile("))
 
 
+def test_latency_in_two_passes(spark, monkeypatch):
+    import math
+    import random
+
+    rng = random.Random(4)
+    groups = {"a": [rng.gauss(0, 9) for _ in range(3001)], "ties": [rng.choice([1.0, 2.0, 2.5]) for _ in range(900)], "few": [3.0, float("nan"), 1.0], "b": [float(k) for k in range(201)]}
+    rows = [(g, v) for g, vs in groups.items() for v in vs]
+    nulls = [("nulls", v) for v in [float(k) for k in range(300)] + [None] * 200]
+    rounds, by_rounds = [], telemetry.at_ranks
+    monkeypatch.setattr(telemetry, "at_ranks", lambda *a, **k: rounds.append(a) or by_rounds(*a, **k))
+    last = lambda vs: sorted(vs, key=lambda v: (math.isnan(v), v))
+    table = lambda r: spark.createDataFrame(r, "g string, v double").repartition(4)
+    for most_broadcast in (100, 0):
+        found = {r.g: r for r in telemetry.latency(table(rows), "g", "v", most_broadcast, accuracy=100).collect()}
+        for g, vs in groups.items():
+            n, ordered = len(vs), last(vs)
+            assert found[g].p95_ms == ordered[max(1, math.floor(n * 0.95)) - 1]
+            assert found[g].median_ms == pytest.approx((ordered[(n - 1) // 2] + ordered[n // 2]) / 2)
+    assert not rounds  # the sketch's bounds held for every place
+    found = {r.g: r for r in telemetry.latency(table(rows + nulls), "g", "v", accuracy=100, most_values=1000).collect()}
+    assert len(rounds) == 1 and {(r.g, r.which) for r in rounds[0][3].collect()} == {("a", "p95"), ("a", "low"), ("a", "high")}
+    assert found["a"].p95_ms == last(groups["a"])[math.floor(3001 * 0.95) - 1] and found["a"].median_ms == last(groups["a"])[1500]
+    assert (found["nulls"].n, found["nulls"].median_ms, found["nulls"].p95_ms) == (500, 149.5, None)  # the 475th of 300 values
+    some = [("some", float(k)) for k in range(300)] + [("some", None)] * 10
+    assert telemetry.latency(table(some), "g", "v", accuracy=100).first().p95_ms == 293.0 and len(rounds) == 2
+
+
 def _run(stream, path, mode="update"):
     rows = []
     # with timers or a time to live a stream goes on with empty batches for ever, and so it would never end

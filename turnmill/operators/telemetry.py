@@ -130,16 +130,51 @@ def at_ranks(samples: DataFrame, group: str, value: str, ranks: DataFrame, most_
     return state.select("g", "which", "v")
 
 
-def latency(samples: DataFrame, group: str, value: str, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-    """min, mean, median, max, sample deviation and the value at int(0.95 n) of each group."""
-    whole = samples.groupBy(F.col(group).alias("g")).agg(F.count("*").alias("n"), F.count(value).alias("_m"), F.min(value).alias("min_ms"), F.round(F.avg(value), 6).alias("mean_ms"), F.max(value).alias("max_ms"), F.round(F.coalesce(F.stddev_samp(value), F.lit(0.0)), 6).alias("stdev_ms"))
+def within_bounds(samples: DataFrame, group: str, value: str, places: DataFrame) -> DataFrame:
+    """g, which, v: values at places (g, which, rank, lo, hi), by one pass that counts what is below lo and each value up to hi.
+
+    A place that its bounds don't hold gives no row, so wrong bounds give no wrong value.
+    """
+    given = samples.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).alias("v"))
+    here = given.alias("d").join(places.alias("p"), F.col("d.g").eqNullSafe(F.col("p.g")) & (F.col("d.v") <= F.col("p.hi")))
+    counts = here.groupBy("p.g", "p.which", "p.rank", F.when(F.col("d.v") >= F.col("p.lo"), F.col("d.v")).alias("v")).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("g", "which").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = counts.withColumn("upto", upto).where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank")))
+    return found.where("v is not null").select("g", "which", "v")
+
+
+def latency(samples: DataFrame, group: str, value: str, most_broadcast: int = MOST_BROADCAST, accuracy: int = 10_000, most_values: int = 100_000_000) -> DataFrame:
+    """min, mean, median, max, sample deviation and the value at int(0.95 n) of each group.
+
+    Two passes: the totals come with a mergeable sketch of each group, which bounds its places; the second counts between the bounds.
+    Places not found there (the rank counts nulls too, so many nulls move it) and those of groups beyond `most_values`, whose values
+    between bounds could be many for one window, go through the rounds of `at_ranks`.
+    """
+    off = 2 / accuracy
+    sketch = F.percentile_approx(value, [0.95 - off, min(0.95 + off, 1.0), 0.5 - off, 0.5 + off], accuracy)
+    whole = reuse.once(samples.groupBy(F.col(group).alias("g")).agg(F.count("*").alias("n"), F.count(value).alias("_m"), F.min(value).alias("min_ms"), F.round(F.avg(value), 6).alias("mean_ms"), F.max(value).alias("max_ms"), F.round(F.coalesce(F.stddev_samp(value), F.lit(0.0)), 6).alias("stdev_ms"), sketch.alias("_q")))
     m = F.col("_m")
-    places = {"p95": F.greatest(F.lit(1), F.floor(F.col("n") * 0.95)), "low": F.floor((m + 1) / 2), "high": F.floor(m / 2) + 1}
-    ranks = whole.where(m > 0).select("g", F.explode(F.array(*[F.struct(F.lit(k).alias("which"), c.cast("long").alias("rank")) for k, c in places.items()])).alias("x")).select("g", "x.which", "x.rank")
-    of = lambda k: F.max(F.when(F.col("which") == k, F.col("v")))
-    found = at_ranks(samples, group, value, ranks, most_broadcast).groupBy("g").agg(of("p95").alias("p95_ms"), (0.5 * of("low").cast("double") + 0.5 * of("high").cast("double")).alias("median_ms"))
-    both = whole.alias("a").join(found.alias("b"), F.col("a.g").eqNullSafe(F.col("b.g")), "left")
-    return both.select(F.col("a.g").alias(group), "n", "min_ms", "mean_ms", "median_ms", "max_ms", "stdev_ms", "p95_ms")
+    few = m <= 2 * accuracy  # the sketch's steps are wider than the margin: all values count
+    places = {"p95": (F.greatest(F.lit(1), F.floor(F.col("n") * 0.95)), 0), "low": (F.floor((m + 1) / 2), 2), "high": (F.floor(m / 2) + 1, 2)}
+    each = [F.struct(F.lit(k).alias("which"), rank.cast("long").alias("rank"), F.when(few, F.col("min_ms")).otherwise(F.col("_q")[q]).alias("lo"), F.when(few, F.col("max_ms")).otherwise(F.col("_q")[q + 1]).alias("hi")) for k, (rank, q) in places.items()]
+    ranks = whole.where(m > 0).select("g", "_m", F.explode(F.array(*each)).alias("x")).select("g", "_m", "x.*").where(F.col("rank") <= m)
+    bounded = ranks.where(m <= most_values).drop("_m")
+    if bounded.limit(most_broadcast + 1).count() <= most_broadcast:
+        bounded = F.broadcast(bounded)
+    values = reuse.once(within_bounds(samples, group, value, bounded))
+    same = F.col("r.g").eqNullSafe(F.col("f.g")) & (F.col("r.which") == F.col("f.which"))
+    left = reuse.once(ranks.alias("r").join(values.alias("f"), same, "left_anti").select("r.g", "r.which", "r.rank"))
+    found = [values]
+    if left.limit(1).count():
+        found.append(at_ranks(samples, group, value, left, most_broadcast))
+    of = lambda k: F.max(F.when(F.col("which") == k, F.col("v"))).alias(k)
+    both, names = whole.alias("a"), []
+    for k, df in enumerate(found):
+        names.append(f"b{k}")
+        both = both.join(df.groupBy("g").agg(*map(of, places)).alias(names[-1]), F.col("a.g").eqNullSafe(F.col(f"{names[-1]}.g")), "left")
+    at = lambda k: F.coalesce(*[F.col(f"{b}.{k}") for b in names])
+    median = 0.5 * at("low").cast("double") + 0.5 * at("high").cast("double")
+    return both.select(F.col("a.g").alias(group), "n", "min_ms", "mean_ms", median.alias("median_ms"), "max_ms", "stdev_ms", at("p95").alias("p95_ms"))
 
 
 def monthly_cost(savings: DataFrame, volumes: tuple[int, ...] = (1000, 10_000, 100_000), price: float = 5.0) -> DataFrame:
