@@ -480,6 +480,32 @@ def test_large_blocks_are_the_double_loop(spark):
     assert dedup.large(table.limit(0), "session_id") is None
 
 
+@pytest.mark.parametrize("terms", [1_000_000, 500])
+def test_large_blocks_in_chunks(spark, monkeypatch, terms):
+    """Pairs and greedy removal of blocks in one chunk or many; pairs that only share a listed term never become rows."""
+    import random
+    import re
+
+    from turnmill.operators import largeblocks
+
+    monkeypatch.setattr(largeblocks, "CHUNK", terms)
+    rng = random.Random(5)
+    base = [[f"r{k}" for k in rng.sample(range(30), 4)] + [f"c{k}" for k in rng.sample(range(12), 4)] for _ in range(120)]
+    texts = base + [[*b[:-1], "c99"] for b in base[:30]] + [list(reversed(b)) for b in base[:10]] + [[]]
+    rows = spark.createDataFrame([("x", k, " ".join(t)) for k, t in enumerate(texts)] + [("y", k, "same words here") for k in range(9)] + [(None, 0, "same"), (None, 1, "same")], "session_id string, turn_id long, content string")
+    found = largeblocks.pairs(rows, "session_id", "turn_id", "content", 0.8)
+    near = {(r.block, r.a, r.b): r.similarity for r in found.collect()}
+    every = {(r.block, r.a, r.b): r.similarity for r in dedup.tfidf_pairs(dedup.tfidf(rows, "session_id", "turn_id", "content"), 0.8).where("block is not null").collect()}
+    assert near == pytest.approx(every, abs=1e-9) and len(near) > 60
+    assert not re.search(r"row#\d+L? < row#\d+L?", found._jdf.queryExecution().executedPlan().toString())
+    wanted, held = {}, []
+    for block, k in [("x", k) for k in range(len(texts))] + [("y", k) for k in range(9)]:
+        wanted[block, k] = not any((block, j, k) in every for b, j in held if b == block)
+        held += [(block, k)] * wanted[block, k]
+    marked = dedup.deduplicated(rows.where("session_id is not null"), "session_id", "turn_id", "content", 0.8, dedup.large(rows, "session_id", 5))
+    assert {(r.session_id, r.turn_id): r.kept for r in marked.collect()} == wanted
+
+
 def _chat(messages, recent, most):
     """What each user message's prompt holds, from whole lists of messages."""
     import re

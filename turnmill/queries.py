@@ -410,9 +410,7 @@ def dedup_conversations(spark, sf_dir):
 @query(f"WITH {_TURNS}, rows_in AS (SELECT role AS session_id, session_id * 1000 + turn_id AS turn_id, content FROM turns), {_VECTORS} SELECT block AS role, a, b, round(similarity, 6) AS similarity FROM pairs WHERE similarity >= 0.8")
 def similarity_join(spark, sf_dir):
     rows = turns(spark, sf_dir).select("role", (F.col("session_id") * 1000 + F.col("turn_id")).alias("turn_no"), "content")
-    vectors = dedup.tfidf(rows, "role", "turn_no", "content")
-    unit = reuse.once(vectors.select("block", "row", "term", "df", (F.col("weight") / F.col("norm")).alias("u")))
-    return largeblocks.pairs(unit, 0.8).select(F.col("block").alias("role"), "a", "b", F.round("similarity", 6).alias("similarity"))
+    return largeblocks.pairs(rows, "role", "turn_no", "content", 0.8).select(F.col("block").alias("role"), "a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query(f"WITH RECURSIVE {_TURNS}, rows_in AS (SELECT role AS session_id, session_id * 1000 + turn_id AS turn_id, content FROM turns), {_VECTORS}, {_GREEDY.format(0.8)} SELECT block AS role, row AS turn_no, kept FROM kept")
