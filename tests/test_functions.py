@@ -186,3 +186,32 @@ def test_bpe_counts(spark):
     library = Tokenizer.from_file(path)
     assert {r.k: r.n for r in made} == {k: len(library.encode(t or "", add_special_tokens=False).ids) for k, t in enumerate(texts)}
     assert made[0].c == 3
+
+
+def test_batches_in_parts(spark, monkeypatch):
+    """Encoding and JSON work on a part of a batch at a time, whatever the batch holds."""
+    import pyarrow as pa
+
+    from turnmill.functions import text
+
+    for texts, most in ((["ab", None, "", "cdé", "x" * 50, "y", "z"], 4), ([], 4), ([None, None], 1), (["abc"] * 9, 1 << 20)):
+        found = list(text.ranges(pa.array(texts, pa.string()), most))
+        assert [k for a, b in found for k in range(a, b)] == list(range(len(texts)))
+        assert all(b - a == 1 or sum(len((t or "").encode()) for t in texts[a:b]) <= most for a, b in found)
+    public = pytest.importorskip("public_tokenizers")
+    import tokenizers
+
+    sizes, encode = [], tokenizers.Tokenizer.from_file
+
+    class Watched:
+        def __init__(self, path):
+            self.real = encode(path)
+
+        def encode_batch(self, some, **options):
+            sizes.append(sum(map(len, some)))
+            return self.real.encode_batch(some, **options)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", type("Files", (), {"from_file": staticmethod(Watched)}))
+    many = [f"some words of text {k} " * 40 for k in range(3000)]
+    counts = [n for part in tokens.bpe_counter(public.path("byte_bpe_50k.json")).func(iter([pa.array(many)])) for n in part.to_pylist()]
+    assert max(sizes) <= tokens.ENCODED < sum(sizes) == sum(map(len, many)) and len(counts) == 3000

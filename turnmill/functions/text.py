@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def ranges(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Where to cut a batch of texts into parts of `most` bytes, or of one text."""
+    upto, at = np.append(0, np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))), 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(upto, upto[at] + most, "right")) - 1)
+        yield at, end
+        at = end
+
+
 def filled(text: Column | str) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 

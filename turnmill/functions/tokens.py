@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import filled
+from .text import filled, ranges
 
 #: Tokens that frame a message list and each message.  Fixed values.
 LIST_TOKENS, MESSAGE_TOKENS = 3, 4
@@ -37,6 +37,9 @@ LISTED_MODELS = (
     ("claude-3-5-sonnet-20241022", "anthropic"), ("claude-3-5-haiku-20241022", "anthropic"), ("claude-3-opus-20240229", "anthropic"),
 )
 
+#: Bytes of text that are encoded at a time (or one text).
+ENCODED = 1 << 18
+
 
 def words(text: Column) -> Column:
     """Runs without white space."""
@@ -61,16 +64,23 @@ def of_turn(role: Column, content: Column, model: Column | str = "gpt-4o", other
 
 
 def bpe_counter(path: str) -> Callable[[Column], Column]:
-    """A counter that encodes with a tokenizer file of the `tokenizers` library, loaded once a worker."""
+    """A counter that encodes with a tokenizer file of the `tokenizers` library, loaded once a worker.
+
+    Few texts are encoded at a time: an encoding holds much more than the ids that are counted.
+    """
 
-    @F.pandas_udf("long")
-    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("long")
+    def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
         for texts in batches:
-            yield pd.Series([len(x.ids) for x in tokenizer.encode_batch(texts.fillna("").tolist(), add_special_tokens=False)], index=texts.index)
+            counts = []
+            for low, high in ranges(texts, ENCODED):
+                some = [t or "" for t in texts[low:high].to_pylist()]
+                counts += [len(x.ids) for x in tokenizer.encode_batch(some, add_special_tokens=False)]
+            yield pa.array(counts, pa.int64())
 
     return encoded
 
