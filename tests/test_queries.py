@@ -72,3 +72,33 @@ def test_json_queries_row_by_row(spark, tmp_path):
 
 def test_entry(spark):
     assert entry.entry(spark).columns[0] == "session_id"
+
+
+def _plan(spark, name):
+    return entry.queries()[name](spark, DIR)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+
+
+def _below(lines, k):
+    """The lines of a plan under a line."""
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    end = next((j for j in range(k + 1, len(lines)) if depth(lines[j]) <= depth(lines[k])), len(lines))
+    return lines[k + 1 : end]
+
+
+def test_word_sets_are_made_once(spark):
+    """removed_entities: a turn's words and its query's are found once each, not for every use in the score."""
+    assert sum(line.count("[a-z0-9']+") for line in _plan(spark, "removed_entities")) == 2
+
+
+def test_names_are_found_before_joins(spark):
+    """load_bearing_turns: a query's names aren't found again beside each turn, nor a turn's above the join of its text."""
+    lines = _plan(spark, "load_bearing_turns")
+    found = [k for k, line in enumerate(lines) if "https?://" in line]
+    assert found and not any("Join" in line for k in found for line in _below(lines, k))
+
+
+def test_names_are_found_once_for_both_windows(spark):
+    """entity_recall: the recent turns' names are those found for all turns, and below the window."""
+    lines = _plan(spark, "entity_recall")
+    found = [k for k, line in enumerate(lines) if "https?://" in line]
+    assert len(found) == 1 and not any("Window" in line for line in _below(lines, found[0]))

@@ -21,6 +21,8 @@ PATTERNS = (
 )
 #: What a text must hold (lower-cased) for a match: most texts never meet the costlier patterns.
 _NEEDS = {"file": (".",), "function": ("(",), "module": ("module",), "symbol": ("_",), "user": ("user", "@", "i am", "my name is"), "task": ("task", "ticket", "issue", "bug", "pr", "story"), "url": ("http",)}
+#: What every match of a type holds, found much sooner than a word's edge and what follows it.
+_HOLDS = {"file": r"[A-Za-z0-9_\-]\.[A-Za-z]", "class": "[A-Z][A-Za-z0-9]+[A-Z][A-Za-z0-9]", "variable": "[A-Z][A-Z0-9_]{2}"}
 TYPES = tuple(t for t, _, _ in PATTERNS)
 #: Words and extensions that are no part of a name.  Fixed values.
 GENERIC = ("module", "service", "class", "file", "function", "method", "handler", "controller", "manager", "utility", "util", "utils", "component")
@@ -41,11 +43,11 @@ def raw(text: Column, kind: str) -> Column:
     """All matches of a type, as they stand."""
     pattern, group = next((p, g) for t, p, g in PATTERNS if t == kind)
     found = F.regexp_extract_all(filled(text), F.lit(pattern), F.lit(group))
-    if kind not in _NEEDS:
-        return found
-    hint = F.lit(False)
-    for part in _NEEDS[kind]:
+    hint = F.lit(kind not in _NEEDS)
+    for part in _NEEDS.get(kind, ()):
         hint = hint | F.lower(filled(text)).contains(part)
+    if kind in _HOLDS:
+        hint = hint & filled(text).rlike(_HOLDS[kind])
     return F.when(hint, found).otherwise(F.array().cast("array<string>"))
 
 

@@ -16,7 +16,9 @@ THRESHOLD, ENTITY_WEIGHT, LOAD_BEARING, CHUNK_BUDGET = 0.15, 0.3, 0.1, 4000
 
 
 def keyword_score(text: Column, query: Column) -> Column:
-    return similarity.ochiai(word_set(text), word_set(query))
+    # bound as a lambda's variable, so that each set is made once
+    both = F.array(F.struct(word_set(text).alias("text"), word_set(query).alias("query")))
+    return F.get(F.transform(both, lambda w: similarity.ochiai(w["text"], w["query"])), 0)
 
 
 def with_entities(base: Column, names: Column, query_names: Column) -> Column:
