@@ -530,6 +530,27 @@ def test_dense_pairs_in_chunks(spark, monkeypatch, least_rows):
     assert sorted(tuple(r)[:3] for r in dedup.dense_pairs(table, "block", "row", "v", 0.5).collect()) == sorted(r[:3] for r in wanted if r[3] >= 0.5)
 
 
+def test_references_are_sought_where_something_is_named(monkeypatch):
+    """A text isn't searched for a reference to a type of which nothing is named yet."""
+    sought = []
+
+    class Watched:
+        def __init__(self, etype):
+            self.etype = etype
+
+        def search(self, content):
+            sought.append(self.etype)
+            return self.etype in content if self.etype else False
+
+    monkeypatch.setattr(graph, "_REFERENCES", [(t, Watched(t)) for t in ("file", "task", None)])
+    made = graph.Graph()
+    made.add(0, "that file", [])
+    assert sought == []
+    made.add(1, "x", [("file", "auth")])
+    made.add(2, "that file", [])
+    assert sought == ["file", None] and made.nodes["file", "auth"]["last_seen_turn"] == 2
+
+
 def _chat(messages, recent, most):
     """What each user message's prompt holds, from whole lists of messages."""
     import re

@@ -11,9 +11,11 @@ import math
 import re
 from collections.abc import Iterable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from turnmill.functions import entities
 
@@ -185,7 +187,7 @@ class Graph:
         """A turn's entities (type, name), and what its words refer to."""
         mentioned = dict.fromkeys(named)
         for etype, pattern in _REFERENCES:
-            if pattern.search(content) and (target := self.latest(etype)) is not None:
+            if (target := self.latest(etype)) is not None and pattern.search(content):
                 mentioned.setdefault((etype or self.tables.type_of(target[1]), target[1]))
         # types in the order in which the turn first names them, as its entities are indexed type by type
         order = {t: k for k, t in reversed(list(enumerate(dict.fromkeys(t for t, _ in mentioned))))}
@@ -226,12 +228,14 @@ def resolved(turns: DataFrame) -> DataFrame:
     """Entity nodes of every session, with resolution and references (columns of NODE)."""
     key = turns.schema["session_id"].dataType.simpleString()
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        graph = Graph()
-        for turn in rows.sort_values("turn_id").itertuples():
-            graph.add(int(turn.turn_id), turn.content, [(e["etype"], e["name"]) for e in turn.named])
-        out = pd.DataFrame(list(graph.nodes.values()), columns=["etype", "name", "first_seen_turn", "last_seen_turn", "mention_count", "aliases"])
-        out.insert(0, "session_id", rows["session_id"].iloc[0])
-        return out
+    kept = [c.split(" ")[0] for c in NODE.split(", ")]
+    arrow = to_arrow_schema(StructType.fromDDL(NODE.format(key=key)))
 
-    return named_turns(turns).groupBy("session_id").applyInPandas(fold, NODE.format(key=key))
+    def fold(rows: pa.Table) -> pa.Table:
+        graph, of = Graph(), rows.column("session_id")[0].as_py()
+        for turn in sorted(rows.select(["turn_id", "content", "named"]).to_pylist(), key=lambda t: t["turn_id"]):
+            graph.add(turn["turn_id"], turn["content"], [(e["etype"], e["name"]) for e in turn["named"]])
+        nodes = list(graph.nodes.values())
+        return pa.Table.from_pydict({c: [of] * len(nodes) if c == kept[0] else [n[c] for n in nodes] for c in kept}, schema=arrow)
+
+    return named_turns(turns).groupBy("session_id").applyInArrow(fold, NODE.format(key=key))
