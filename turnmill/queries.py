@@ -517,18 +517,23 @@ def entity_overlap(spark, sf_dir):
 
 @query(f"WITH {_NOTE_TURNS}, {_SPLIT}, {_ASKED} SELECT session_id, turn_id FROM shared WHERE len(hit) > 0 AND len(hit) / len(asked) >= 0.1 UNION SELECT session_id, turn_id FROM first_named")
 def load_bearing_turns(spark, sf_dir):
-    h = _asked(spark, sf_dir)
-    asked = h.select("session_id", F.explode(entities.all_names(F.col("query"))).alias("name")).distinct()
-    return relevance.load_bearing(graph.edges(h), asked)
+    every = _notes(spark, sf_dir)
+    parts = chat.split(every)
+    # a query's names are found once and not beside every turn, and a turn's names before its text would be shuffled
+    asked = parts.select("session_id", F.explode(entities.all_names(F.col("query"))).alias("name"))
+    named = every.select("session_id", "turn_id", "role", entities.all_names(F.col("content")).alias("names"), F.lit("").alias("content")).where(F.size("names") > 0)
+    told = chat.history(named, parts.select("session_id", "query_turn", "system_turn")).select("session_id", "turn_id", F.explode("names").alias("name"))
+    return relevance.load_bearing(told, asked)
 
 
 @query(f"""WITH {_NOTE_TURNS}, {_entity_rows('turns', 'named')}, recent AS (SELECT session_id, turn_id FROM turns QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY turn_id DESC) <= 3),
 a AS (SELECT session_id, count(DISTINCT name) AS n FROM named GROUP BY ALL), b AS (SELECT session_id, count(DISTINCT name) AS n FROM named JOIN recent USING (session_id, turn_id) GROUP BY ALL)
 SELECT session_id, round(CASE WHEN a.n > 0 THEN coalesce(b.n, 0) / a.n ELSE 1.0 END, 4) AS recall FROM (SELECT DISTINCT session_id FROM turns) LEFT JOIN a USING (session_id) LEFT JOIN b USING (session_id)""")
 def entity_recall(spark, sf_dir):
-    every = _notes(spark, sf_dir)
-    names = lambda rows, n: rows.groupBy("session_id").agg(F.array_distinct(F.flatten(F.collect_list(entities.all_names(F.col("content"))))).alias(n))
-    both = names(every, "a").join(names(summary.windowed(every, 3).where("recent"), "b"), "session_id")
+    # a text's names are found once, before the window; its text isn't shuffled
+    named = _notes(spark, sf_dir).select("session_id", "turn_id", entities.all_names(F.col("content")).alias("names"))
+    told = lambda names: F.array_distinct(F.flatten(F.collect_list(names)))
+    both = summary.windowed(named, 3).groupBy("session_id").agg(told(F.col("names")).alias("a"), told(F.when(F.col("recent"), F.col("names"))).alias("b"))
     return both.select("session_id", F.round(entities.recall(F.col("a"), F.col("b")), 4).alias("recall"))
 
 
