@@ -589,6 +589,19 @@ def test_dense_pairs_in_chunks(spark, monkeypatch, least_rows):
     assert sorted(tuple(r)[:3] for r in dedup.dense_pairs(table, "block", "row", "v", 0.5).collect()) == sorted(r[:3] for r in wanted if r[3] >= 0.5)
 
 
+def test_dense_vectors_stay_as_they_are_stored():
+    """A chunk of floats takes four bytes a value; cosines are those of doubles all the same."""
+    import numpy as np
+    import pyarrow as pa
+
+    values = np.random.default_rng(2).normal(size=(30, 16)).astype(np.float32)
+    chunk = lambda kind: dedup._vectors(pa.table({"row": pa.array(range(30)), "v": pa.array(values.tolist(), pa.list_(kind))}))
+    few, many = chunk(pa.float32()), chunk(pa.float64())
+    assert few[1].dtype == np.float32 and few[1].nbytes * 2 == many[1].nbytes
+    for one, other in zip(dedup._cosines(few, few, None, None), dedup._cosines(many, many, None, None), strict=True):
+        assert all(np.array_equal(p, q) for p, q in zip(one, other, strict=True))
+
+
 def test_references_are_sought_where_something_is_named(monkeypatch):
     """A text isn't searched for a reference to a type of which nothing is named yet."""
     sought = []
